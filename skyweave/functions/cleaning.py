@@ -41,6 +41,15 @@ def fixed(c: Column | str, places: int = 6) -> Column:
     return F.floor(as_col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def decimal_text(c: Column | str, places: int) -> Column:
+    """Text with a fixed number of decimals, rounded from the exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal form up instead.
+    """
+    pattern = "0." + "0" * places if places else "0"
+    return F.call_function("format_number", as_col(c).cast("double"), F.lit(pattern))
+
+
 def ensure_columns(df: DataFrame, names: Iterable[str], dtype: str = "double") -> DataFrame:
     """Add the columns that are absent as nulls."""
     absent = [n for n in names if n not in df.columns]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aqi import aqi_pm25
+from .cleaning import decimal_text
 from .labels import CLASSES, label_of
 from .weather import cycle, ratio
 
@@ -38,13 +39,13 @@ DEFAULTS = {
 }
 # Explanation formats.
 EXPLANATIONS = {
-    "Fire": "PM2.5=%.0f + CO=%.2f together signal active combustion. PM2.5/PM10 ratio=%.2f (high = fine particles from fire).",
-    "Dust": "PM10=%.0f dominates. PM2.5/PM10 ratio=%.2f (low = coarse mineral dust, not combustion). CO/NO2 are quiet.",
-    "Gas": "SO2=%.0f µg/m³ is %.0f× the safe limit — sudden chemical/industrial release signature.",
-    "Industrial": "SO2=%.0f + NO2=%.0f elevated together — characteristic of industrial stack emissions sustained over time.",
-    "Normal": "All pollutants within expected urban ranges. AQI≈%.0f.",
+    "Fire": "PM2.5=%s + CO=%s together signal active combustion. PM2.5/PM10 ratio=%s (high = fine particles from fire).",
+    "Dust": "PM10=%s dominates. PM2.5/PM10 ratio=%s (low = coarse mineral dust, not combustion). CO/NO2 are quiet.",
+    "Gas": "SO2=%s µg/m³ is %s× the safe limit — sudden chemical/industrial release signature.",
+    "Industrial": "SO2=%s + NO2=%s elevated together — characteristic of industrial stack emissions sustained over time.",
+    "Normal": "All pollutants within expected urban ranges. AQI≈%s.",
 }
-LIMIT_FORMAT = "%s=%.1f (%.1f× safe limit)"
+LIMIT_FORMAT = "%s=%s (%s× safe limit)"
 CONFIDENCE_CAP = 95.0
 
 NORMAL, FIRE, DUST, GAS, INDUSTRIAL = range(len(CLASSES))
@@ -150,19 +151,23 @@ def above_limits() -> Column:
 
 
 def above_safe_text(limits: Column) -> Column:
-    return F.transform(limits, lambda s: F.format_string(LIMIT_FORMAT, s["pollutant"], s["value"], s["times"]))
+    return F.transform(limits, lambda s: F.format_string(LIMIT_FORMAT, s["pollutant"], decimal_text(s["value"], 1), decimal_text(s["times"], 1)))
 
 
 def explanation(code: Column, index: Column) -> Column:
     """One sentence for the class."""
-    pm25, pm10, so2, co, no2 = (F.col(n).cast("double") for n in ("PM2_5", "PM10", "SO2", "CO", "NO2"))
+
+    def sentence(name: str, *parts: tuple[Column, int]) -> Column:
+        return F.format_string(EXPLANATIONS[name], *[decimal_text(c, places) for c, places in parts])
+
+    pm25, pm10, so2, co, no2 = (F.col(n) for n in ("PM2_5", "PM10", "SO2", "CO", "NO2"))
     share = ratio(pm25, pm10)
     return (
-        F.when(code == FIRE, F.format_string(EXPLANATIONS["Fire"], pm25, co, share))
-        .when(code == DUST, F.format_string(EXPLANATIONS["Dust"], pm10, share))
-        .when(code == GAS, F.format_string(EXPLANATIONS["Gas"], so2, so2 / SAFE_LIMITS["SO2"]))
-        .when(code == INDUSTRIAL, F.format_string(EXPLANATIONS["Industrial"], so2, no2))
-        .otherwise(F.format_string(EXPLANATIONS["Normal"], index))
+        F.when(code == FIRE, sentence("Fire", (pm25, 0), (co, 2), (share, 2)))
+        .when(code == DUST, sentence("Dust", (pm10, 0), (share, 2)))
+        .when(code == GAS, sentence("Gas", (so2, 0), (so2 / SAFE_LIMITS["SO2"], 0)))
+        .when(code == INDUSTRIAL, sentence("Industrial", (so2, 0), (no2, 0)))
+        .otherwise(sentence("Normal", (index, 0)))
     )
 
 

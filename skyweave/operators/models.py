@@ -86,13 +86,11 @@ def fit_classifier(
         stages = []
         for code in range(len(CLASSES)):
             data = data.withColumn(f"_is_{code}", (F.col(label) == code).cast("double"))
-            stages.append(
-                GBTClassifier(
-                    featuresCol="_features", labelCol=f"_is_{code}", weightCol="_weight", maxIter=trees, maxDepth=depth,
-                    stepSize=rate, subsamplingRate=subsample, seed=seed, probabilityCol=f"_prob_{code}",
-                    rawPredictionCol=f"_raw_{code}", predictionCol=f"_pred_{code}",
-                )
+            boost = GBTClassifier(
+                featuresCol="_features", labelCol=f"_is_{code}", weightCol="_weight", maxIter=trees, maxDepth=depth,
+                stepSize=rate, subsamplingRate=subsample, seed=seed, predictionCol=f"_pred_{code}",
             )
+            stages.append(boost.setProbabilityCol(f"_prob_{code}").setRawPredictionCol(f"_raw_{code}"))
     else:
         raise ValueError("algo is 'rf' or 'gbt'")
     return Pipeline(stages=[assemble, *stages]).fit(data)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aqi import aqi_band
-from ..functions.cleaning import clip
+from ..functions.cleaning import clip, decimal_text
 from ..functions.labels import CLASSES
 from ..functions.scoring import half_even
 from ..operators.features import over_chunks
@@ -172,18 +172,18 @@ def report_kpis(df: DataFrame, keys: Sequence[str] = ("city",), order: str = "da
         F.max("so2").alias("so2"),
     )
 
-    def text(fmt: str, c: Column) -> Column:
-        return F.coalesce(F.when(c.isNotNull(), F.format_string(fmt, c)), F.lit("—"))
+    def text(c: Column, places: int) -> Column:
+        return F.coalesce(decimal_text(c, places), F.lit("—"))
 
     return figures.select(
         *keys,
         F.format_number("events", 0).alias("events"),
-        text("%.0f", F.col("peak.v")).alias("peak_aqi"),
-        text("%.0f", F.col("mean")).alias("mean_aqi"),
+        text(F.col("peak.v"), 0).alias("peak_aqi"),
+        text(F.col("mean"), 0).alias("mean_aqi"),
         F.coalesce(F.date_format("peak.t", "dd MMM yyyy"), F.lit("—")).alias("worst_day"),
         F.coalesce(F.col("top.display_label"), F.lit("None")).alias("top_label"),
-        text("%.2f", F.col("no2")).alias("peak_no2"),
-        text("%.2f", F.col("so2")).alias("peak_so2"),
+        text(F.col("no2"), 2).alias("peak_no2"),
+        text(F.col("so2"), 2).alias("peak_so2"),
     )
 
 
