@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES, code_of
+from ..session import Stage, lazy
 from .series import CHUNK_ROWS, POS, chunk_window, home_rows, neighbours, with_halo, with_position
 
 NORMAL = CLASSES[0]
@@ -34,13 +35,15 @@ def label_events(
     key: str = "city",
     order: str = "datetime",
     inclusive_end: str = "midnight",
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Add event_label and event_code: type of the window a row falls in, else Normal.
 
     ``events`` has (key, start, end, type, seq); where windows overlap the highest ``seq``
     wins. Windows are resolved per (key, day) before the join, so a row meets at most one
     row of the other side and nothing is aggregated afterwards. Neither side is forced to
-    be broadcast: the optimizer does so when the size it measures allows.
+    be broadcast: the optimizer does so when the size it measures allows; ``stage`` may
+    store the resolved windows so that it can measure them.
     """
     slices = day_slices(events, inclusive_end)
     midnight = F.col("_date").cast("timestamp_ntz")
@@ -56,7 +59,7 @@ def label_events(
     inside = F.filter("_parts", lambda p: (t >= p["start"]) & (t <= p["end"]))
     partial = F.array_max(F.transform(inside, lambda p: F.struct(p["seq"].alias("seq"), p["type"].alias("type"))))
     winner = F.greatest(F.col("_whole"), partial)
-    joined = df.withColumn("_date", t.cast("date")).join(resolved, [key, "_date"], "left")
+    joined = df.withColumn("_date", t.cast("date")).join(stage(resolved, "windows"), [key, "_date"], "left")
     label = F.coalesce(winner["type"], F.lit(NORMAL))
     out = joined.withColumn("event_label", label).withColumn("event_code", code_of("event_label"))
     return out.select(*[c for c in df.columns if c not in ("event_label", "event_code")], "event_label", "event_code")
@@ -114,9 +117,8 @@ def detection_total(validated: DataFrame) -> DataFrame:
 
 def event_markers(df: DataFrame, label: str = "event_label", keys: Sequence[str] = ("city",), order: str = "datetime") -> DataFrame:
     """First row of every non-Normal label per series, with its AQI (50 when missing)."""
-    first = F.min(F.struct(F.col(order).alias("t"), F.col("AQI").alias("aqi")))
-    picked = df.filter(F.col(label) != NORMAL).groupBy(*keys, label).agg(first.alias("_f"))
-    return picked.select(*keys, label, F.col("_f.t").alias(order), F.coalesce(F.col("_f.aqi"), F.lit(50.0)).alias("AQI"))
+    picked = df.filter(F.col(label) != NORMAL).groupBy(*keys, label).agg(F.min(order).alias(order), F.min_by("AQI", order).alias("_aqi"))
+    return picked.select(*keys, label, order, F.coalesce(F.col("_aqi"), F.lit(50.0)).alias("AQI"))
 
 
 def run_starts(
@@ -125,14 +127,15 @@ def run_starts(
     keys: Sequence[str] = ("city",),
     order: str = "datetime",
     chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Add ``_run``: position where the contiguous run of the row's label begins."""
-    placed = with_position(df, keys, order)
+    placed = with_position(df, keys, order, stage=stage)
     haloed = with_halo(placed, before=1, chunk_rows=chunk_rows)
     prev = F.lag(label).over(chunk_window(keys))
     new = prev.isNull() | (prev != F.col(label))
-    marked = home_rows(haloed.withColumn("_start", F.when(new, F.col(POS))), chunk_rows)
-    near = neighbours(marked, ["_start"], keys, chunk_rows)
+    marked = stage(home_rows(haloed.withColumn("_start", F.when(new, F.col(POS))), chunk_rows), "runs")
+    near = neighbours(marked, ["_start"], keys, chunk_rows, stage)
     return near.withColumn("_run", F.col("_prev__start")["val"]).drop("_prev__start", "_next__start")
 
 
@@ -152,9 +155,10 @@ def event_log(
     keys: Sequence[str] = ("city",),
     order: str = "datetime",
     chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Start, end, rows and peak score of every contiguous non-Normal run."""
-    runs = run_starts(df, label, keys, order, chunk_rows).filter(F.col(label) != NORMAL)
+    runs = run_starts(df, label, keys, order, chunk_rows, stage).filter(F.col(label) != NORMAL)
     return (
         runs.groupBy(*keys, label, "_run")
         .agg(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stage, lazy
 from .series import CHUNK_ROWS, POS, drop_position, neighbours, with_position
 
 GAP_LIMIT = 6
@@ -40,11 +41,12 @@ def interpolate(
     order: str = "datetime",
     limit: int = GAP_LIMIT,
     chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Linear interpolation by row position, at most ``limit`` rows from a known value."""
     cols = [c for c in cols if c in df.columns]
-    placed = with_position(df, keys, order)
-    near = neighbours(placed, cols, keys, chunk_rows)
+    placed = with_position(df, keys, order, stage=stage)
+    near = neighbours(placed, cols, keys, chunk_rows, stage)
     return _replace(near, placed.columns, {c: _linear(c, limit) for c in cols})
 
 
@@ -55,11 +57,12 @@ def carry_fill(
     order: str = "datetime",
     fill: float | None = 0.0,
     chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Forward fill, then backward fill, then a constant."""
     cols = [c for c in cols if c in df.columns]
-    placed = with_position(df, keys, order)
-    near = neighbours(placed, cols, keys, chunk_rows)
+    placed = with_position(df, keys, order, stage=stage)
+    near = neighbours(placed, cols, keys, chunk_rows, stage)
     tail = [] if fill is None else [F.lit(float(fill))]
     values = {c: F.coalesce(F.col(f"_prev_{c}")["val"], F.col(f"_next_{c}")["val"], *tail) for c in cols}
     return _replace(near, placed.columns, values)
@@ -79,6 +82,7 @@ def seasonal_fill(
     keys: Sequence[str] = ("city",),
     order: str = "datetime",
     fill: float | None = 0.0,
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Missing cells take the seasonal mean of their slot, then a constant.
 
@@ -86,7 +90,7 @@ def seasonal_fill(
     no slot is gathered in one task; the join strategy is left to the optimizer.
     """
     cols = [c for c in cols if c in df.columns]
-    means = seasonal_means(df, cols, keys, order)
+    means = stage(seasonal_means(df, cols, keys, order), "seasonal")
     joined = df.withColumns({"_m": F.month(order), "_h": F.hour(order)}).join(means, [*keys, "_m", "_h"], "left")
     tail = [] if fill is None else [F.lit(float(fill))]
     return _replace(joined, df.columns, {c: F.coalesce(F.col(c), F.col(f"_mean_{c}"), *tail) for c in cols})
@@ -100,7 +104,7 @@ def fill_gaps(
     limit: int = GAP_LIMIT,
     fill: float | None = 0.0,
     chunk_rows: int = CHUNK_ROWS,
-    stage: Callable[[DataFrame], DataFrame] | None = None,
+    stage: Stage = lazy,
     keep_position: bool = False,
 ) -> DataFrame:
     """Interpolation, then seasonal means of the interpolated column, then a constant.
@@ -108,8 +112,6 @@ def fill_gaps(
     The interpolated rows are used twice (means and rows); ``stage`` may write them to a
     table in between so that they are computed once.
     """
-    linear = interpolate(df, cols, keys, order, limit, chunk_rows)
-    if stage is not None:
-        linear = stage(linear)
-    out = seasonal_fill(linear, cols, keys, order, fill)
+    linear = stage(interpolate(df, cols, keys, order, limit, chunk_rows, stage), "interpolated")
+    out = seasonal_fill(linear, cols, keys, order, fill, stage)
     return out if keep_position else drop_position(out)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Stage, stage_table
 from .metrics import min_max_score
 from .sampling import HASH_RANGE, hash_of
 
@@ -22,6 +23,7 @@ ANOMALY_FEATURES = [
 ]
 EULER = 0.5772156649015329
 ROWS_PER_TASK = 100_000
+BROADCAST_TREES = 5_000  # about 15 kB each
 NODE_SCHEMA = "tree int, rows int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
 
@@ -145,22 +147,31 @@ def _mean_depth(x: np.ndarray, forest: pd.DataFrame) -> tuple[np.ndarray, float]
     return total / max(len(forest), 1), float(path_length(forest["rows"].to_numpy()).mean())
 
 
-def score_forest(
-    df: DataFrame,
-    forest: DataFrame,
-    feats: Sequence[str] = tuple(ANOMALY_FEATURES),
-    keys: Sequence[str] = ("city",),
-    ids: Sequence[str] = ("city", "datetime"),
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Add ``raw``: 0.5 - 2^(-mean depth / expected depth), low for outliers.
+def _score_broadcast(df: DataFrame, grown: list, feats: list[str], keys: list[str]) -> DataFrame:
+    """Every task holds all trees: rows stay where they are."""
+    forests: dict[tuple, list] = {}
+    for row in grown:
+        forests.setdefault(tuple(row[k] for k in keys), []).append(row.asDict())
+    held = df.sparkSession.sparkContext.broadcast({k: pd.DataFrame(v) for k, v in forests.items()})
+
+    @F.pandas_udf("double")
+    def score(key: pd.DataFrame, x: pd.Series) -> pd.Series:
+        raw = np.full(len(x), np.nan)
+        for name, part in key.groupby(list(key.columns)).groups.items():
+            forest = held.value.get(name if isinstance(name, tuple) else (name,))
+            if forest is not None:
+                at = key.index.get_indexer(part)
+                depth, expected = _mean_depth(np.stack(x.iloc[at].to_numpy()), forest)
+                raw[at] = 0.5 - 2.0 ** (-depth / max(expected, 1e-12))
+        return pd.Series(raw)
 
-    A series is cut by hash into pieces of about ``rows_per_task`` rows, and its trees go to
-    each piece, so a long series is scored by many tasks and no forest is broadcast.
-    """
-    keys = list(keys)
-    feats = _features(df, feats)
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_pieces"))
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
+    return df.withColumn("raw", score(F.struct(*keys), x))
+
+
+def _score_pieces(df: DataFrame, forest: DataFrame, feats: list[str], keys: list[str], ids: Sequence[str], rows_per_task: int, stage: Stage) -> DataFrame:
+    """A series is cut by hash into pieces of bounded size and its trees go to each piece."""
+    sizes = stage(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_pieces")), "sizes")
     piece = F.pmod(F.xxhash64(*ids), F.col("_pieces")).cast("int")
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
     slim = list(dict.fromkeys([*keys, *ids]))
@@ -180,6 +191,27 @@ def score_forest(
     return df.join(scored, slim, "left")
 
 
+def score_forest(
+    df: DataFrame,
+    forest: DataFrame,
+    feats: Sequence[str] = tuple(ANOMALY_FEATURES),
+    keys: Sequence[str] = ("city",),
+    ids: Sequence[str] = ("city", "datetime"),
+    rows_per_task: int = ROWS_PER_TASK,
+    broadcast_trees: int = BROADCAST_TREES,
+    stage: Stage = stage_table,
+) -> DataFrame:
+    """Add ``raw``: 0.5 - 2^(-mean depth / expected depth), low for outliers.
+
+    ``forest`` is a stored table. Its trees are counted: up to ``broadcast_trees`` they go
+    to every task and the rows are not moved; beyond, rows and trees meet in pieces.
+    """
+    keys, feats = list(keys), _features(df, feats)
+    if forest.count() <= broadcast_trees:
+        return _score_broadcast(df, forest.collect(), feats, keys)
+    return _score_pieces(df, forest, feats, keys, ids, rows_per_task, stage)
+
+
 def anomaly_scores(
     df: DataFrame,
     feats: Sequence[str] = tuple(ANOMALY_FEATURES),
@@ -190,8 +222,13 @@ def anomaly_scores(
     seed: int = 42,
     threshold: float = 0.88,
     forest: DataFrame | None = None,
+    stage: Stage = stage_table,
 ) -> DataFrame:
-    """Add anomaly_score in [0, 1] (per series, 1 is the strangest row) and is_anomaly."""
-    grown = fit_forest(df, feats, keys, ids, trees, sample, seed) if forest is None else forest
-    scored = score_forest(df, grown, feats, keys, ids)
-    return min_max_score(scored, "raw", keys).drop("raw").withColumn("is_anomaly", F.col("anomaly_score") > threshold)
+    """Add anomaly_score in [0, 1] (per series, 1 is the strangest row) and is_anomaly.
+
+    ``df`` should be a stored table; the forest and the scores, which are used twice, are
+    stored here.
+    """
+    grown = stage(fit_forest(df, feats, keys, ids, trees, sample, seed), "forest") if forest is None else forest
+    scored = stage(score_forest(df, grown, feats, keys, ids, stage=stage), "scored")
+    return min_max_score(scored, "raw", keys, stage=stage).drop("raw").withColumn("is_anomaly", F.col("anomaly_score") > threshold)

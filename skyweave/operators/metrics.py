@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES, label_of
+from ..session import Stage, lazy
 from .order_stats import below_counts
 
 
@@ -84,7 +85,7 @@ def classification_report(pred: DataFrame) -> DataFrame:
     return rows.unionByName(overall.select(F.inline(tail)))
 
 
-def roc_auc_ovr(pred: DataFrame, prob: str = "prob", classes: Sequence[int] = tuple(range(len(CLASSES))), buckets: int = 64) -> DataFrame:
+def roc_auc_ovr(pred: DataFrame, prob: str = "prob", classes: Sequence[int] = tuple(range(len(CLASSES))), buckets: int = 64, stage: Stage = lazy) -> DataFrame:
     """One-vs-rest area under the curve per class that has positives and negatives.
 
     ``prob`` is an array of class probabilities. Every positive is credited with the
@@ -93,7 +94,7 @@ def roc_auc_ovr(pred: DataFrame, prob: str = "prob", classes: Sequence[int] = tu
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("cls"), F.get(F.col(prob), F.lit(c)).alias("score"), (F.col("label") == c).cast("bigint").alias("pos")) for c in classes])
     long = pred.select(F.inline(pairs))
-    counts = long.groupBy("cls", "score").agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
+    counts = stage(long.groupBy("cls", "score").agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")), "scores")
     ranked = below_counts(counts, "score", ["neg", "pos"], "cls", buckets)
     credit = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     area = ranked.groupBy("cls").agg(credit.alias("credit"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
@@ -132,8 +133,8 @@ def fold_summary(per_fold: DataFrame, metrics: Sequence[str] = ("accuracy", "f1_
     return long.groupBy("metric").agg(F.avg(train).alias("train"), F.avg(test).alias("test"), F.stddev_pop(test).alias("std"))
 
 
-def min_max_score(df: DataFrame, raw: str, keys: Sequence[str] = ("city",), name: str = "anomaly_score") -> DataFrame:
+def min_max_score(df: DataFrame, raw: str, keys: Sequence[str] = ("city",), name: str = "anomaly_score", stage: Stage = lazy) -> DataFrame:
     """1 - (raw - min) / (max - min + 1e-9) per series; bounds are a partial aggregate."""
-    bounds = df.groupBy(*keys).agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
+    bounds = stage(df.groupBy(*keys).agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi")), "bounds")
     scaled = 1 - (F.col(raw) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-9))
     return df.join(bounds, list(keys), "left").withColumn(name, scaled).drop("_lo", "_hi")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clip
 from ..functions.labels import CLASSES, label_of
+from ..session import Stage, stage_table
 from .features import lead_target
 from .forest import ANOMALY_FEATURES
 from .metrics import classification_metrics, fold_summary
@@ -51,9 +52,12 @@ def _drop_inputs(df: DataFrame) -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str = "event_code") -> DataFrame:
     """Add ``_weight`` = largest class count / count of the row's class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.agg(F.max("_n")).scalar()
-    return df.join(counts.select(label, (most / F.col("_n")).alias("_weight")), label)
+    counts = {row[0]: row[1] for row in df.groupBy(label).count().collect()}  # one row per class
+    most = max(counts.values(), default=1)
+    weight = F.lit(1.0)
+    for code, n in sorted(counts.items()):
+        weight = F.when(F.col(label) == code, F.lit(most / n)).otherwise(weight)
+    return df.withColumn("_weight", weight)
 
 
 def fit_classifier(
@@ -171,12 +175,12 @@ def feature_importance(model: PipelineModel, k: int | None = 20) -> list[tuple[s
     return ranked if k is None else ranked[:k]
 
 
-def cross_validate(df: DataFrame, feats: Sequence[str] = tuple(CLASSIFIER_FEATURES), ids: Sequence[str] = ("city", "datetime"), label: str = "event_code", folds: int = 5, seed: int = 42, fit=fit_classifier) -> DataFrame:
+def cross_validate(df: DataFrame, feats: Sequence[str] = tuple(CLASSIFIER_FEATURES), ids: Sequence[str] = ("city", "datetime"), label: str = "event_code", folds: int = 5, seed: int = 42, fit=fit_classifier, stage: Stage = stage_table) -> DataFrame:
     """Mean train and test metrics over stratified folds, with the test deviation.
 
-    ``df`` should be a stored table: every fold reads it.
+    The dealt rows are stored, since every fold reads them.
     """
-    dealt = stratified_folds(df, label, ids, folds, seed)
+    dealt = stage(stratified_folds(df, label, ids, folds, seed), "folds")
     parts = None
     for fold in range(folds):
         model = fit(dealt.filter(F.col("fold") != fold), feats)

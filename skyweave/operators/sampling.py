@@ -98,5 +98,5 @@ def stratified_folds(
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Count and inverse-frequency weight (largest count / count) per class."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))  # one row per class from here on
     return counts.withColumn("weight", F.max("n").over(Window.partitionBy()) / F.col("n"))

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Stage, lazy
+
 POS = "_pos"
 LEN = "_len"
 CHUNK = "_chunk"
@@ -38,8 +40,12 @@ def with_position(
     order: str = "datetime",
     tiebreak: Sequence[str] = (),
     bucket_days: int = BUCKET_DAYS,
+    stage: Stage = lazy,
 ) -> DataFrame:
-    """Add ``_pos`` (0-based row number in the series) and ``_len`` (rows of the series)."""
+    """Add ``_pos`` (0-based row number in the series) and ``_len`` (rows of the series).
+
+    A row without a key or time belongs to no series and is left out.
+    """
     if POS in df.columns:
         return df
     keys = list(keys)
@@ -48,20 +54,15 @@ def with_position(
     over_key = Window.partitionBy(*keys)
     before = over_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_bucket").alias("_b"),
+        *keys,
+        "_bucket",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(over_key).alias(LEN),
     )
     local = Window.partitionBy(*keys, "_bucket").orderBy(order, *tiebreak)
-    on = F.col("_bucket").eqNullSafe(F.col("_b"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return (
-        bucketed.join(offsets, on)
-        .withColumn(POS, F.col("_offset") + F.row_number().over(local) - F.lit(1))
-        .drop("_bucket", "_b", "_offset", *[f"_k{i}" for i in range(len(keys))])
-    )
+    position = F.col("_offset") + F.row_number().over(local) - F.lit(1)
+    joined = bucketed.join(stage(offsets, "offsets"), [*keys, "_bucket"])
+    return joined.select(*[F.col(c) for c in df.columns], F.col(LEN), position.alias(POS))
 
 
 def drop_position(df: DataFrame) -> DataFrame:
@@ -107,6 +108,7 @@ def neighbours(
     cols: Sequence[str],
     keys: Sequence[str] = ("city",),
     chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = lazy,
 ) -> DataFrame:
     """Add ``_prev_<c>`` and ``_next_<c>``: struct(pos, val) of the nearest non-null value.
 
@@ -114,26 +116,35 @@ def neighbours(
     running frame over descending order; an unbounded-following frame would be quadratic.
     """
     keys = list(keys)
-    point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("pos"), F.col(c).alias("val"))) for c in cols}
+
+    def pair(pos: Column, val: Column) -> Column:
+        return F.when(pos.isNotNull(), F.struct(pos.alias("pos"), val.alias("val")))
+
+    known = {c: F.when(F.col(c).isNotNull(), F.col(POS)) for c in cols}
+    point = {c: pair(known[c], F.col(c)) for c in cols}
     chunked = df.withColumn(CHUNK, chunk_of(chunk_rows))
-    ends = chunked.groupBy(*keys, CHUNK).agg(
-        *[F.min(point[c]).alias(f"_first_{c}") for c in cols],
-        *[F.max(point[c]).alias(f"_last_{c}") for c in cols],
+    # plain numbers, not structs, keep this a hash aggregate
+    numbers = []
+    for c in cols:
+        numbers += [F.min(known[c]).alias(f"_fp_{c}"), F.min_by(c, known[c]).alias(f"_fv_{c}")]
+        numbers += [F.max(known[c]).alias(f"_lp_{c}"), F.max_by(c, known[c]).alias(f"_lv_{c}")]
+    ends = chunked.groupBy(*keys, CHUNK).agg(*numbers).select(
+        *keys,
+        CHUNK,
+        *[pair(F.col(f"_fp_{c}"), F.col(f"_fv_{c}")).alias(f"_first_{c}") for c in cols],
+        *[pair(F.col(f"_lp_{c}"), F.col(f"_lv_{c}")).alias(f"_last_{c}") for c in cols],
     )
     up = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(CHUNK).alias("_c"),
+        *keys,
+        CHUNK,
         *[F.last(f"_last_{c}", True).over(up).alias(f"_in_{c}") for c in cols],
         *[F.last(f"_first_{c}", True).over(down).alias(f"_out_{c}") for c in cols],
     )
-    on = F.col(CHUNK) == F.col("_c")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     asc = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     desc = Window.partitionBy(*keys, CHUNK).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = chunked.join(carried, on)
+    joined = chunked.join(stage(carried, "carried"), [*keys, CHUNK])
     return joined.select(
         *[F.col(n) for n in df.columns],
         *[F.coalesce(F.last(point[c], True).over(asc), F.col(f"_in_{c}")).alias(f"_prev_{c}") for c in cols],

@@ -66,7 +66,7 @@ def linear_gaps(spark, sf):
 
 @query("seasonal_gaps", "G-02 G-03 A-13", sql([STATIONS, proxied("stations"), _interpolated(FILLED), _SEASONAL], _FILLED_SPEC, "seasonal"))
 def seasonal_gaps(spark, sf):
-    return fill_gaps(_station_rows(spark, sf), FILLED, chunk_rows=CHUNK, stage=lambda d: stage_table(d, "linear"))
+    return fill_gaps(_station_rows(spark, sf), FILLED, chunk_rows=CHUNK, stage=stage_table)
 
 
 _CARRIED = (
@@ -111,7 +111,7 @@ def _smoothed(source: str, c: str, raw: str, key: str = "city") -> str:
     sql([STATIONS, proxied("stations"), _interpolated(FILLED), _SEASONAL, _smoothed("seasonal", "NO2", "NO2")], "city t:datetime f:NO2 f:NO2_smooth", "smoothed"),
 )
 def savgol_smooth(spark, sf):
-    filled = fill_gaps(_station_rows(spark, sf), ["NO2"], chunk_rows=CHUNK, stage=lambda d: stage_table(d, "linear"), keep_position=True)
+    filled = fill_gaps(_station_rows(spark, sf), ["NO2"], chunk_rows=CHUNK, stage=stage_table, keep_position=True)
     return savgol(filled, ["NO2"], prefilled=True, chunk_rows=CHUNK).select("city", "datetime", "NO2", "NO2_smooth")
 
 

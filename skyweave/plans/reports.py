@@ -19,7 +19,6 @@ NORMAL = CLASSES[0]
 MONTHLY_COLUMNS = ["PM2_5", "NO2", "SO2", "CO", "O3", "AOD", "AQI"]
 FINGERPRINT_COLUMNS = ["PM2_5", "PM10", "NO2", "SO2", "CO", "O3", "AOD"]
 CORRELATION_COLUMNS = ["PM2_5", "NO2", "SO2", "CO", "O3", "AOD", "AQI", "temp_c", "humidity", "wind_speed", "fire_count"]
-FAR_FUTURE = "9999-01-01 00:00:00"
 
 
 def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -28,7 +27,9 @@ def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
 
 def _earliest(order: str) -> Column:
     """A number that falls as time rises, so that a maximum picks the first of equals."""
-    return F.timestamp_diff("SECOND", F.col(order), F.lit(FAR_FUTURE).cast("timestamp_ntz"))
+    t = F.col(order)
+    day = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return -(day * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
 
 
 def select_range(df: DataFrame, city: str | None, start: str, end: str, order: str = "datetime") -> DataFrame:
@@ -147,20 +148,29 @@ def value_counts(df: DataFrame, col: str = "event_label", order: str = "datetime
 def report_kpis(df: DataFrame, keys: Sequence[str] = ("city",), order: str = "datetime") -> DataFrame:
     """Key figures per series as display text.
 
-    First by (series, label), which reduces the rows map side; the second step reads one
-    row per label.
+    First by (series, label, day) with plain numbers, a hash aggregate that reduces the rows
+    before the shuffle; then by label, then by series.
     """
     shown = with_display_label(df)
-    peak = F.when(F.col("AQI").isNotNull(), F.struct(F.col("AQI").alias("v"), _earliest(order).alias("e"), F.col(order).alias("t")))
-    first = shown.groupBy(*keys, "display_label").agg(
+    days = shown.groupBy(*keys, "display_label", F.col(order).cast("date").alias("t")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(_earliest(order)).alias("seen"),
-        F.max(peak).alias("peak"),
+        F.max("AQI").alias("v"),
         F.sum("AQI").alias("aqi_sum"),
         F.count("AQI").alias("aqi_n"),
         F.max("NO2").alias("no2"),
         F.max("SO2").alias("so2"),
     )
+    peak = F.when(F.col("v").isNotNull(), F.struct(F.col("v"), F.col("seen"), F.col("t")))
+    first = days.groupBy(*keys, "display_label").agg(
+        F.sum("n").alias("n"),
+        F.max("seen").alias("seen"),
+        F.max(peak).alias("peak"),
+        F.sum("aqi_sum").alias("aqi_sum"),
+        F.sum("aqi_n").alias("aqi_n"),
+        F.max("no2").alias("no2"),
+        F.max("so2").alias("so2"),
+    )
     event = F.col("display_label") != NORMAL
     top = F.max(F.when(event, F.struct("n", "seen", "display_label")))
     figures = first.groupBy(*keys).agg(

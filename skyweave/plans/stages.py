@@ -27,7 +27,7 @@ from ..operators.order_stats import clip_tail, tail_limits
 from ..operators.sampling import random_split, stratified_split, training_sample
 from ..operators.series import CHUNK_ROWS, drop_position, with_position
 from ..operators.smooth import savgol
-from ..session import stage_table
+from ..session import lazy, stage_table
 from ..sources.files import read_table, write_table
 
 
@@ -54,20 +54,15 @@ def build_features(
     on ``raw`` when not given.
     """
     keys = list(keys)
-
-    def keep(name: str):
-        return (lambda d: stage_table(d, name)) if staged else None
-
+    stage = stage_table if staged else lazy
     raw = ensure_columns(clean_doubles(raw), [*GASES, *WEATHER, "AOD", "fire_count"])
     limits = tail_limits(raw, GASES) if limits is None else limits
-    clean = with_position(clip_tail(pm_proxies(raw), limits), keys)
-    clean = keep("positioned")(clean) if staged else clean
-    filled = fill_gaps(clean, [*POLLUTANTS, *WEATHER], keys, chunk_rows=chunk_rows, stage=keep("interpolated"), keep_position=True)
-    smooth = savgol(filled, POLLUTANTS, keys, prefilled=True, chunk_rows=chunk_rows, keep_position=True)
-    smooth = keep("smoothed")(smooth) if staged else smooth
+    clean = stage(with_position(clip_tail(pm_proxies(raw), limits), keys, stage=stage), "positioned")
+    filled = fill_gaps(clean, [*POLLUTANTS, *WEATHER], keys, chunk_rows=chunk_rows, stage=stage, keep_position=True)
+    smooth = stage(savgol(filled, POLLUTANTS, keys, prefilled=True, chunk_rows=chunk_rows, keep_position=True), "smoothed")
     derived = pointwise_features(aqi_with_fallback(smooth))
     wide = lags_and_rolls(derived, keys=keys, chunk_rows=chunk_rows, keep_position=True)
-    return drop_position(label_events(wide, events, keys[0]))
+    return drop_position(label_events(wide, events, keys[0], stage=stage))
 
 
 def detect(
@@ -80,8 +75,8 @@ def detect(
     """Add anomaly score, residuals, spikes and confirmed events."""
     keys = list(keys)
     scored = anomaly_scores(features, keys=keys, ids=[*keys, "datetime"], trees=trees)
-    daily = daily_means(features, RESIDUAL_COLUMNS, keys)
-    residuals = (stl_daily if method == "stl" else classical_daily)(daily, RESIDUAL_COLUMNS, keys)
+    daily = stage_table(daily_means(features, RESIDUAL_COLUMNS, keys), "daily")
+    residuals = stage_table((stl_daily if method == "stl" else classical_daily)(daily, RESIDUAL_COLUMNS, keys), "residuals")
     joined = attach_residuals(scored, residuals, RESIDUAL_COLUMNS, keys)
     return confirm_events(spike_flags(joined, RESIDUAL_COLUMNS, keys=keys, chunk_rows=chunk_rows))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder all executors can reach.
 
@@ -36,16 +40,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _FALLBACK.setdefault(app, _FALLBACK.get(app) or tempfile.mkdtemp(prefix="run-"))
     return f"{base.rstrip('/')}/skyweave/{name}-{uuid.uuid4().hex}"
 
 
+# What an operator does with a table it reads more than once, or joins and should know the size of.
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def lazy(df: DataFrame, name: str) -> DataFrame:
+    """Leave the table as a plan."""
+    return df
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage at a durable table, so that a plan which uses ``df`` more than
-    once computes it once and a lost executor does not restart the whole chain.
+    once computes it once and a lost executor does not restart the whole chain. The
+    optimizer also knows the size of a stored table: a small one is broadcast by measured
+    size and the large side of its join is not shuffled at all.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)

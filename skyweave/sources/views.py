@@ -113,8 +113,14 @@ def items_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """Rows as an inline table, whose size the optimizer knows."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def cities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CITIES, "city string, lat double, lon double, buffer_km int")
+    return _literal(spark, CITIES, "city, lat, lon, buffer_km").withColumns({"lat": F.col("lat").cast("double"), "lon": F.col("lon").cast("double")})
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +155,7 @@ EVENT_WINDOWS = [
 
 
 def event_windows(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(EVENT_WINDOWS, "id int, seq int, city string, s string, e string, type string, name string")
+    rows = _literal(spark, EVENT_WINDOWS, "id, seq, city, s, e, type, name")
     return rows.select(
         "id", "seq", "city", F.col("s").cast("timestamp_ntz").alias("start"), F.col("e").cast("timestamp_ntz").alias("end"), "type", "name"
     )
