@@ -372,7 +372,13 @@ def residual_sigma(spark, sf):
 _EVIDENCE = (
     BASE
     + """,
-dm AS (SELECT city, CAST(datetime AS DATE) AS date, avg(PM2_5) AS PM2_5, avg(NO2) AS NO2 FROM base GROUP BY 1, 2),
+raw_days AS (SELECT city, CAST(datetime AS DATE) AS date, avg(PM2_5) AS PM2_5, avg(NO2) AS NO2 FROM base GROUP BY 1, 2),
+dm AS (
+  SELECT city, date, coalesce(last_value(PM2_5 IGNORE NULLS) OVER up, first_value(PM2_5 IGNORE NULLS) OVER down, 0) AS PM2_5,
+         coalesce(last_value(NO2 IGNORE NULLS) OVER up, first_value(NO2 IGNORE NULLS) OVER down, 0) AS NO2
+  FROM raw_days
+  WINDOW up AS (PARTITION BY city ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         down AS (PARTITION BY city ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 dr AS (
   SELECT city, date, CASE WHEN count(*) OVER (PARTITION BY city) < 20 THEN 0 ELSE PM2_5 - pt - avg(PM2_5 - pt) OVER (PARTITION BY city, isodow(date)) END AS pr,
          CASE WHEN count(*) OVER (PARTITION BY city) < 20 THEN 0 ELSE NO2 - nt - avg(NO2 - nt) OVER (PARTITION BY city, isodow(date)) END AS nr

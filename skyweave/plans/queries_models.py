@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.aqi import aqi
 from ..functions.labels import CLASSES, label_of
 from ..operators import metrics, models, sampling
 from ..operators.decompose import stl_daily
-from ..operators.features import lags_and_rolls, pointwise_features
+from ..operators.features import POLLUTANTS, WEATHER, lags_and_rolls, pointwise_features
+from ..operators.fill import fill_gaps
 from ..operators.forest import ANOMALY_FEATURES, anomaly_scores
 from ..session import shared_path, stage_table
 from ..sources import views
@@ -188,8 +190,9 @@ def forecast_error(spark, sf):
 
 
 def model_features(spark, sf):
-    """Features of the hourly city table, written once."""
-    rows = pointwise_features(staged_base(spark, sf))
+    """Features of the hourly city table without gaps, written once."""
+    rows = fill_gaps(staged_base(spark, sf), [*POLLUTANTS, *WEATHER, "AOD"], stage=stage_table, keep_position=True)
+    rows = pointwise_features(rows.withColumn("AQI", aqi("PM2_5", "PM10")))
     rows = rows.withColumn("event_code", sum((F.when(F.col("event_label") == n, i).otherwise(0) for i, n in enumerate(CLASSES)), F.lit(0)))
     return stage_table(lags_and_rolls(rows), "features")
 

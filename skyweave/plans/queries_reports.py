@@ -109,7 +109,7 @@ def city_fingerprint(spark, sf):
 
 def _corr_sql() -> str:
     cols = reports.CORRELATION_COLUMNS
-    rows = [f"SELECT '{a}' AS a, '{b}' AS b, round_even(corr({a}, {b}), 2) AS corr FROM base" for a in cols for b in cols]
+    rows = [f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) > 0 AND stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL) > 0 THEN round_even(corr({a}, {b}), 2) END AS corr FROM base" for a in cols for b in cols]
     return "x AS (" + " UNION ALL ".join(rows) + ")"
 
 

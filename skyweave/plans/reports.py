@@ -102,11 +102,17 @@ def report_monthly(df: DataFrame, keys: Sequence[str] = ("city",), order: str =
 def report_correlation(df: DataFrame, cols: Sequence[str] = tuple(CORRELATION_COLUMNS)) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows that have both.
 
-    One partial aggregate for all pairs.
+    One partial aggregate for all pairs. A pair with a constant side has no correlation;
+    the built-in one would divide by zero.
     """
     cols = _present(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+
+    def deviation(a: str, b: str) -> Column:
+        return F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+
+    together = {(a, b): F.try_divide(F.covar_pop(a, b), deviation(a, b) * deviation(b, a)) for a, b in pairs}
+    row = df.agg(*[c.alias(f"{a}|{b}") for (a, b), c in together.items()])
     cells = []
     for a, b in pairs:
         value = half_even(F.col(f"`{a}|{b}`"), 2).alias("corr")

@@ -16,6 +16,7 @@ from skyweave.sources import views
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 100_000)
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
@@ -58,20 +59,6 @@ def test_filters_reach_the_scan(spark, rows):
     assert "EqualTo(city,Delhi)" in pushed and "GreaterThanOrEqual(datetime" in pushed
 
 
-PYTHON = {"isolation_forest", "stl_residual", "stream_history"}
-FITS = {
-    "event_classifier", "boosted_classifier", "pm25_forecast", "cross_validation", "feature_importance",
-    "model_round_trip", "model_scores", "stream_scores", "stream_hourly_index",
-}
-
-
-@pytest.mark.parametrize("name", sorted(set(REGISTRY) - PYTHON - FITS))
-def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    p = plan(REGISTRY[name].run(spark, sf_dir))
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "EvalPython" not in p and "InPandas" not in p and "BatchEvalPython" not in p
-
-
 def test_registry_covers_the_inventory():
     shown = {c for q in REGISTRY.values() for c in q.covers}
     for letter, last in (("S", 22), ("P", 20), ("G", 6), ("J", 7), ("A", 18), ("W", 14), ("T", 7), ("M", 15), ("R", 8)):
