@@ -45,7 +45,7 @@ QUERIES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cores, shuffle_partitions=int(cores) if cores.isdigit() else 8)
     seconds = {}
     for name in QUERIES:

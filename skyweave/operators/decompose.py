@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import fixed
+from ..session import Stage, lazy
 from .features import over_chunks
 from .fill import carry_fill
-from .series import CHUNK_ROWS, densify, drop_position
+from .series import CHUNK_ROWS, LEN, POS, densify, drop_position
 
 # Columns that are decomposed.
 RESIDUAL_COLUMNS = ["PM2_5", "NO2", "SO2", "AOD"]
@@ -24,12 +25,18 @@ def daily_means(
     keys: Sequence[str] = ("city",),
     order: str = "datetime",
     fill: bool = True,
+    stage: Stage = lazy,
+    keep_position: bool = False,
 ) -> DataFrame:
-    """Mean per key and day on a complete calendar; gaps carried forward, backward, then 0."""
+    """Mean per key and day on a complete calendar; gaps carried forward, backward, then 0.
+
+    The rows are read once if ``stage`` stores the daily table, which is small beside them.
+    """
     cols = [c for c in cols if c in df.columns]
     daily = df.groupBy(*keys, F.col(order).cast("date").alias("date")).agg(*[F.avg(c).alias(c) for c in cols])
-    full = densify(daily, keys, "date", "1 day")
-    return drop_position(carry_fill(full, cols, keys, "date")) if fill else full
+    full = densify(daily, keys, "date", "1 day", stage=stage, keep_position=fill or keep_position)
+    out = carry_fill(full, cols, keys, "date") if fill else full
+    return out if keep_position else drop_position(out)
 
 
 # ---------------------------------------------------------------- robust STL (numpy, per series)
@@ -144,14 +151,15 @@ def classical_daily(
     """
     keys = list(keys)
     cols = [c for c in cols if c in daily.columns]
-    long = daily.select(*keys, "date", *[F.col(c).cast("double") for c in cols]).unpivot([*keys, "date"], cols, "series", "value")
+    ids = [*keys, "date", *[c for c in (POS, LEN) if c in daily.columns]]
+    long = daily.select(*ids, *[F.col(c).cast("double") for c in cols]).unpivot(ids, cols, "series", "value")
     by = [*keys, "series"]
     trended = over_chunks(
         long, lambda w: {"trend": F.avg("value").over(w.rowsBetween(-3, 3))}, 3, 3, by, "date", chunk_rows, keep_position=True
     ).withColumn("_wd", F.weekday("date"))
     means = trended.groupBy(*by, "_wd").agg(F.avg(F.col("value") - F.col("trend")).alias("seasonal"))
     joined = trended.join(means, [*by, "_wd"])
-    residual = F.when(F.col("_len") < min_days, F.lit(0.0)).otherwise(F.col("value") - F.col("trend") - F.col("seasonal"))
+    residual = F.when(F.col(LEN) < min_days, F.lit(0.0)).otherwise(F.col("value") - F.col("trend") - F.col("seasonal"))
     return joined.select(*keys, "date", "series", "trend", "seasonal", residual.alias("residual"))
 
 

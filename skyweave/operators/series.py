@@ -158,18 +158,26 @@ def densify(
     order: str = "datetime",
     step: str = "1 hour",
     zero: Sequence[str] = (),
+    stage: Stage = lazy,
+    keep_position: bool = False,
 ) -> DataFrame:
     """Complete grid per series from its first to its last time; new cells are null or 0.
 
     ``df`` has one row per (key, time) on the grid. Grid rows come from the first and last
-    time of each key, so what is shuffled besides the data is the grid itself.
+    time of each key, so what is shuffled besides the data is the grid itself. ``df`` is
+    read twice: ``stage`` may store it when it is the result of a large aggregate.
+    ``keep_position`` adds the positions, which cost nothing on a grid.
     """
     keys = list(keys)
+    df = stage(df, "sparse")
     span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    grid = span.select(
-        *keys, F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.expr(f"INTERVAL {step}"))).alias(order)
-    )
+    times = span.withColumn("_grid", F.sequence(F.col("_lo"), F.col("_hi"), F.expr(f"INTERVAL {step}")))
+    if keep_position:
+        times = times.withColumn(LEN, F.size("_grid").cast("long"))
+        grid = times.select(*keys, LEN, F.posexplode("_grid").alias(POS, order)).withColumn(POS, F.col(POS).cast("long"))
+    else:
+        grid = times.select(*keys, F.explode("_grid").alias(order))
     out = grid.join(df, [*keys, order], "left")
     if zero:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(dict(df.dtypes)[c])) for c in zero})
-    return out.select(*df.columns)
+    return out.select(*df.columns, *([LEN, POS] if keep_position else []))

@@ -21,16 +21,16 @@ from .registry import query, sql
 from .stages import pm_proxies
 
 
-def base(spark, sf):
+def base(spark, sf, keep_position=False):
     """Hourly city table with particulates, index, an arithmetic anomaly score and labels."""
-    proxies = pm_proxies(views.hourly(spark, sf))
+    proxies = pm_proxies(views.hourly(spark, sf, keep_position))
     scored = proxies.withColumns({"AQI": aqi_fn.aqi("PM2_5", "PM10"), "anomaly_score": F.col("cloud_pct") / 100})
     return ev.label_events(scored, views.event_windows(spark)).drop("event_code")
 
 
 def staged_base(spark, sf):
     """The same, written once for operators that read it more than once."""
-    return stage_table(base(spark, sf), "base")
+    return stage_table(base(spark, sf, keep_position=True), "base")
 
 
 @query("particulate_proxies", "P-01", sql([HOURLY, proxied("hourly")], "city t:datetime f:AOD f:PM2_5 f:PM10", "proxied"))
@@ -333,14 +333,14 @@ residuals AS (
 
 
 def daily_series(spark, sf):
-    """Daily means of the five order series, complete and without gaps."""
+    """Daily means of the five order series, complete and without gaps, with positions."""
     rows = views.daily(spark, sf).withColumn("datetime", F.col("date").cast("timestamp_ntz"))
-    return stage_table(daily_means(rows, ["PM2_5", "NO2"]), "days")
+    return stage_table(daily_means(rows, ["PM2_5", "NO2"], stage=stage_table, keep_position=True), "days")
 
 
 @query("daily_means", "A-01 G-04 S-18", sql([DAILY, _DAYS], "city d:date f:PM2_5 f:NO2", "days"))
 def daily_city_means(spark, sf):
-    return daily_series(spark, sf)
+    return daily_series(spark, sf).select("city", "date", "PM2_5", "NO2")
 
 
 @query("classical_residual", "M-03b", sql([DAILY, _DAYS], "city d:date series f:trend f:seasonal f:residual", "residuals"))
@@ -396,7 +396,7 @@ evidence AS (SELECT *, anomaly_score > 0.82 AND stl_spike AS confirmed_event FRO
 
 def _evidence(spark, sf):
     rows = staged_base(spark, sf)
-    days = stage_table(daily_means(rows, ["PM2_5", "NO2"]), "days")
+    days = stage_table(daily_means(rows, ["PM2_5", "NO2"], stage=stage_table, keep_position=True), "days")
     residuals = classical_daily(days, ["PM2_5", "NO2"], min_days=20)
     return attach_residuals(rows, residuals, ["PM2_5", "NO2"]).select("city", "datetime", "anomaly_score", "PM2_5_residual", "NO2_residual")
 

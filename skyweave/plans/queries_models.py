@@ -182,7 +182,7 @@ def fold_summary(spark, sf):
 def forecast_error(spark, sf):
     from ..operators.features import lead_target
 
-    rows = lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5"), chunk_rows=256)
+    rows = lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5", "_pos"), chunk_rows=256)
     return metrics.regression_metrics(rows.na.drop(), value="PM2_5")
 
 

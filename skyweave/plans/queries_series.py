@@ -8,7 +8,7 @@ from ..operators import events as ev
 from ..operators.decompose import centred_residual, trailing_residual
 from ..operators.features import LAG_COLUMNS, LAGS, ROLL_COLUMNS, daily_momentum, lags_and_rolls, lead_target
 from ..operators.fill import carry_fill, fill_gaps, interpolate
-from ..operators.series import drop_position, with_position
+from ..operators.series import LEN, POS, drop_position, with_position
 from ..operators.smooth import fit_weights, savgol
 from ..session import stage_table
 from ..sources import views
@@ -55,8 +55,8 @@ _SEASONAL = (
 
 
 def _station_rows(spark, sf):
-    rows = pm_proxies(views.stations(spark, sf)).select("city", "datetime", *FILLED)
-    return stage_table(with_position(rows), "stations")
+    rows = pm_proxies(views.stations(spark, sf, keep_position=True))
+    return stage_table(rows.select("city", "datetime", *FILLED, POS, LEN), "stations")
 
 
 @query("linear_gaps", "G-01", sql([STATIONS, proxied("stations"), _interpolated(FILLED)], _FILLED_SPEC, "linear"))
@@ -156,7 +156,7 @@ def lags_rolls(spark, sf):
 
 @query("lead_target", "W-06", sql([BASE, "x AS (SELECT city, datetime, PM2_5, lead(PM2_5, 24) OVER (PARTITION BY city ORDER BY datetime) AS target_24h FROM base)"], "city t:datetime f:PM2_5 f:target_24h", "x"))
 def lead_24(spark, sf):
-    return lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5"), chunk_rows=CHUNK)
+    return lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5", POS), chunk_rows=CHUNK)
 
 
 @query(
@@ -175,7 +175,7 @@ def lead_24(spark, sf):
     ),
 )
 def timeline(spark, sf):
-    return reports.report_timeline(staged_base(spark, sf), "Delhi", "2024-01-04", "2024-01-25", chunk_rows=CHUNK)
+    return reports.report_timeline(drop_position(staged_base(spark, sf)), "Delhi", "2024-01-04", "2024-01-25", chunk_rows=CHUNK)
 
 
 @query(
@@ -250,7 +250,7 @@ def trailing(spark, sf):
     sql([BASE, "x AS (SELECT city, datetime, NO2 - avg(NO2) OVER (PARTITION BY city ORDER BY datetime ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS NO2_residual FROM base)"], "city t:datetime f:NO2_residual", "x"),
 )
 def centred(spark, sf):
-    return centred_residual(staged_base(spark, sf).select("city", "datetime", "NO2"), "NO2", chunk_rows=CHUNK).select("city", "datetime", "NO2_residual")
+    return centred_residual(staged_base(spark, sf).select("city", "datetime", "NO2", POS), "NO2", chunk_rows=CHUNK).select("city", "datetime", "NO2_residual")
 
 
 def _momentum_sql() -> tuple[str, list[str]]:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.aqi import aqi_band
 from ..functions.cleaning import clip, decimal_text
 from ..functions.labels import CLASSES
-from ..functions.scoring import half_even
 from ..operators.features import over_chunks
-from ..operators.series import densify
+from ..operators.series import densify, drop_position
 
 NORMAL = CLASSES[0]
 # Column groups of the reports.
@@ -48,7 +47,7 @@ def with_display_label(df: DataFrame) -> DataFrame:
 
 def report_timeline(df: DataFrame, city: str | None, start: str, end: str, **where) -> DataFrame:
     """AQI over the last six rows of the range, its band, forecast and anomaly score."""
-    part = select_range(df, city, start, end)
+    part = drop_position(select_range(df, city, start, end))  # the window restarts with the range
     smooth = over_chunks(part, lambda w: {"AQI_6h": F.avg("AQI").over(w.rowsBetween(-5, 0))}, before=5, **where)
     extra = _present(smooth, ["forecast_pm25_24h", "anomaly_score"])
     return smooth.select("city", "datetime", "AQI", "AQI_6h", aqi_band("AQI_6h").alias("band"), *extra)
@@ -108,18 +107,15 @@ def report_correlation(df: DataFrame, cols: Sequence[str] = tuple(CORRELATION_CO
     cols = _present(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
 
-    def deviation(a: str, b: str) -> Column:
-        return F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+    def deviation(a: str, b: str) -> str:
+        return f"stddev_pop(if(`{b}` IS NULL, NULL, `{a}`))"
 
-    together = {(a, b): F.try_divide(F.covar_pop(a, b), deviation(a, b) * deviation(b, a)) for a, b in pairs}
-    row = df.agg(*[c.alias(f"{a}|{b}") for (a, b), c in together.items()])
+    row = df.agg(*[F.expr(f"try_divide(covar_pop(`{a}`, `{b}`), {deviation(a, b)} * {deviation(b, a)})").alias(f"{a}|{b}") for a, b in pairs])
     cells = []
     for a, b in pairs:
-        value = half_even(F.col(f"`{a}|{b}`"), 2).alias("corr")
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), value))
-    return row.select(F.inline(F.array(*cells)))
+        for x, y in dict.fromkeys([(a, b), (b, a)]):
+            cells.append(f"named_struct('a', '{x}', 'b', '{y}', 'corr', rint(`{a}|{b}` * 100) / 100)")
+    return row.select(F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def residual_columns(df: DataFrame, most: int = 4) -> list[str]:

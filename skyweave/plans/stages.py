@@ -75,7 +75,7 @@ def detect(
     """Add anomaly score, residuals, spikes and confirmed events."""
     keys = list(keys)
     scored = anomaly_scores(features, keys=keys, ids=[*keys, "datetime"], trees=trees)
-    daily = stage_table(daily_means(features, RESIDUAL_COLUMNS, keys), "daily")
+    daily = stage_table(daily_means(features, RESIDUAL_COLUMNS, keys, stage=stage_table, keep_position=True), "daily")
     residuals = stage_table((stl_daily if method == "stl" else classical_daily)(daily, RESIDUAL_COLUMNS, keys), "residuals")
     joined = attach_residuals(scored, residuals, RESIDUAL_COLUMNS, keys)
     return confirm_events(spike_flags(joined, RESIDUAL_COLUMNS, keys=keys, chunk_rows=chunk_rows))

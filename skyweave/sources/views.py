@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.series import densify
+from ..session import stage_table
 from .reshape import CITIES
 
 CITY_NAMES = [c[0] for c in CITIES]
@@ -70,14 +71,14 @@ def sparse_hourly(spark: SparkSession, sf_dir: str, key=by_city) -> DataFrame:
     )
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly(spark: SparkSession, sf_dir: str, keep_position: bool = False) -> DataFrame:
     """Three cities on a complete hourly grid."""
-    return densify(sparse_hourly(spark, sf_dir))
+    return densify(sparse_hourly(spark, sf_dir), stage=stage_table, keep_position=keep_position)
 
 
-def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stations(spark: SparkSession, sf_dir: str, keep_position: bool = False) -> DataFrame:
     """Thirty stations on a complete hourly grid, with long gaps."""
-    return densify(sparse_hourly(spark, sf_dir, by_station))
+    return densify(sparse_hourly(spark, sf_dir, by_station), stage=stage_table, keep_position=keep_position)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
