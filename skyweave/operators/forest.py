@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Stage, stage_table
@@ -78,28 +78,29 @@ def tree_samples(
 ) -> DataFrame:
     """(keys, tree, x): at most ``sample`` random rows of a series for every tree.
 
-    Draws are hashes of the row's identity. A first draw keeps about 1.5 * trees * sample
-    rows of a long series, so only those are tried against every tree; a short series is
-    tried whole. Each (key, tree) then keeps its lowest draws.
+    Draws are hashes of the row's identity. A first draw keeps a little over trees * sample
+    rows of a long series and deals each to one tree; every row of a short series is tried
+    for every tree. Each (key, tree) then keeps its lowest draws.
     """
     keys = list(keys)
     feats = _features(df, feats)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    want = 1.5 * sample
+    want = sample + 8 * sample**0.5  # eight deviations above, so that no tree goes short
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
     share = F.least(F.lit(1.0), F.lit(want) / F.col("_n"))  # of a series, for one tree
     keep = F.least(F.lit(1.0), share * trees)  # of a series, for any tree
     pooled = (
         df.join(sizes, keys)
         .filter(hash_of(ids, seed) < keep * HASH_RANGE)
-        .select(*keys, (share / keep).alias("_p"), F.xxhash64(*ids).alias("_row"), x.alias("x"))
-    )
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_row"), F.col("tree")), F.lit(HASH_RANGE))
-    drawn = (
-        pooled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_draw", chance)
-        .filter(F.col("_draw") < F.col("_p") * HASH_RANGE)
+        .select(*keys, (keep < 1).alias("_long"), share.alias("_p"), F.xxhash64(*ids).alias("_row"), x.alias("x"))
     )
+
+    def chance(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_row"), tree), F.lit(HASH_RANGE))
+
+    one = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_row")), F.lit(trees)).cast("int")
+    some = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: chance(t) < F.col("_p") * HASH_RANGE)
+    drawn = pooled.withColumn("tree", F.explode(F.when(F.col("_long"), F.array(one)).otherwise(some))).withColumn("_draw", chance(F.col("tree")))
     lowest = Window.partitionBy(*keys, "tree").orderBy("_draw", "_row")
     return drawn.withColumn("_rank", F.row_number().over(lowest)).filter(F.col("_rank") <= sample).select(*keys, "tree", "x")
 

@@ -39,12 +39,13 @@ def stratified_rank(
     draw: Column,
     draw_range: int,
     ids: Sequence[str],
-    buckets: int = 256,
+    buckets: int = 8192,
 ) -> DataFrame:
     """Add ``_rank`` (1-based, in draw order) and ``_size`` within each stratum.
 
     One class may hold nearly all rows, so it is ranked in ``buckets`` ranges of the draw:
-    counts per range, a running sum over them, and a row number inside each.
+    counts per range, a running sum over them, and a row number inside each. Draws are
+    uniform, so the ranges are even; more ``buckets`` make them smaller.
     """
     drawn = df.withColumn("_draw", draw)
     drawn = drawn.withColumn("_b", F.floor(F.col("_draw") * F.lit(buckets) / F.lit(draw_range)).cast("int"))

@@ -13,6 +13,7 @@ from ..operators.decompose import attach_residuals, classical_daily, confirm_eve
 from ..operators.features import GASES, aqi_with_fallback
 from ..operators.metrics import min_max_score
 from ..operators.order_stats import clip_tail, tail_limits
+from ..operators.series import LEN, POS, drop_position
 from ..session import stage_table
 from ..sources import views
 from . import reports
@@ -398,12 +399,12 @@ def _evidence(spark, sf):
     rows = staged_base(spark, sf)
     days = stage_table(daily_means(rows, ["PM2_5", "NO2"], stage=stage_table, keep_position=True), "days")
     residuals = classical_daily(days, ["PM2_5", "NO2"], min_days=20)
-    return attach_residuals(rows, residuals, ["PM2_5", "NO2"]).select("city", "datetime", "anomaly_score", "PM2_5_residual", "NO2_residual")
+    return attach_residuals(rows, residuals, ["PM2_5", "NO2"]).select("city", "datetime", "anomaly_score", "PM2_5_residual", "NO2_residual", POS, LEN)
 
 
 @query("residual_to_hourly", "J-06 W-11", sql(_EVIDENCE, "city t:datetime f:PM2_5_residual f:NO2_residual", "evidence"))
 def residual_to_hourly(spark, sf):
-    return _evidence(spark, sf).drop("anomaly_score")
+    return drop_position(_evidence(spark, sf)).drop("anomaly_score")
 
 
 @query(

@@ -74,6 +74,7 @@ def detect(
 ) -> DataFrame:
     """Add anomaly score, residuals, spikes and confirmed events."""
     keys = list(keys)
+    features = stage_table(with_position(features, keys, stage=stage_table), "features")
     scored = anomaly_scores(features, keys=keys, ids=[*keys, "datetime"], trees=trees)
     daily = stage_table(daily_means(features, RESIDUAL_COLUMNS, keys, stage=stage_table, keep_position=True), "daily")
     residuals = stage_table((stl_daily if method == "stl" else classical_daily)(daily, RESIDUAL_COLUMNS, keys), "residuals")
