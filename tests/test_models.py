@@ -142,3 +142,15 @@ def test_model_stage(spark, built):
     assert res.filter("forecast_pm25_24h < 0 OR forecast_pm25_24h > 1500 OR anomaly_score < 0 OR anomaly_score > 1").count() == 0
     model = models.load_model(f"{saved}/classifier")
     assert models.input_features(model)[0] == "NO2" and len(models.feature_importance(model)) == 20
+
+
+def test_worker_code_travels_by_value():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    payload = cloudpickle.dumps(fo.grow_tree)
+    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); import numpy as np; print(len(f(np.arange(8.0).reshape(4, 2), 1)['feature']))"
+    done = subprocess.run([sys.executable, "-c", code], input=payload, capture_output=True, cwd="/", env={"PATH": ""})
+    assert done.returncode == 0 and int(done.stdout) == 7, done.stderr
