@@ -65,7 +65,13 @@ def _loess(y: np.ndarray, at: np.ndarray, span: int, weights: np.ndarray) -> np.
     sloped = np.sqrt(spread) > 0.001 * max(n - 1, 1)
     fit = level + np.where(sloped, (at - centre) * cross / np.where(sloped, spread, 1.0), 0.0)
     nearest = y[np.clip(np.round(at).astype(int), 0, n - 1)]
-    return np.where(total > 0, fit, nearest)
+    out = np.where(total > 0, fit, nearest)
+    # where all weights vanish the value itself stands, and beyond an end its smoothed neighbour
+    if total[0] <= 0 and at[0] < 0:
+        out[0] = out[1]
+    if total[-1] <= 0 and at[-1] > n - 1:
+        out[-1] = out[-2]
+    return out
 
 
 def _moving(y: np.ndarray, width: int) -> np.ndarray:
