@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import pack_documents
+from .page_diff import extract_pages
+from .shards import shard_documents
+from .topk import top_k
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -38,3 +41,37 @@ def id_digest(df: DataFrame) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 2048 ids."""
     return id_digest(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query(
+    "op10_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s
+    )
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every row whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op7_page_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_shared")
