@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fertility import quality_rules
 from .packing import pack_documents
 from .page_diff import extract_pages
 from .shards import shard_documents
@@ -75,3 +76,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     found = extract_pages(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_shared")
+
+
+def vocabularies() -> dict[str, str]:
+    """The public vocabularies of the quality rules."""
+    return {"pieces": public_tokenizers.path("piece_bpe_32k.model"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query("op3_fertility")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, fertility and verdict of every document."""
+    judged = quality_rules(table(spark, sf_dir, "documents"), **vocabularies(), carry=["doc_id"])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("document.doc_id", *counts, "base_failed", "kept", "language", "n_tokens", "chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
