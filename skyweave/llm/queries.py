@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fertility import quality_rules
+from .mixing import mix
 from .packing import pack_documents
 from .page_diff import extract_pages
 from .shards import shard_documents
@@ -89,3 +90,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), **vocabularies(), carry=["doc_id"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("document.doc_id", *counts, "base_failed", "kept", "language", "n_tokens", "chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
+
+
+@query("op5_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 3 : 1 : 2 by source, 150 % of all words."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
