@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fertility import quality_rules
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack_documents
 from .page_diff import extract_pages
@@ -96,3 +97,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 3 : 1 : 2 by source, 150 % of all words."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM documents
+    ), s AS (
+      SELECT doc_id, v, CASE WHEN len(v) = 0 THEN [] WHEN len(v) < 5 THEN [array_to_string(v, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' '))) END AS h FROM w
+    ), n AS (SELECT doc_id, CAST(len(h) AS BIGINT) AS n_shingles FROM s),
+    e AS (SELECT doc_id, unnest(h) AS k FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)),
+    r AS (SELECT doc_id, doc_id AS o FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.o)
+    SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = n.doc_id
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under shingle similarity of 0.75."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
