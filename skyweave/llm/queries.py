@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .fertility import quality_rules
 from .jaccard_join import jaccard_components
+from .line_templates import drop_recurring_lines
 from .mixing import mix
 from .packing import pack_documents
 from .page_diff import extract_pages
@@ -118,3 +119,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under shingle similarity of 0.75."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_templates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines of templates that recur across documents."""
+    found = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select("document.doc_id", "text", "n_lines", "n_dropped")
