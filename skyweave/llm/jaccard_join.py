@@ -119,19 +119,19 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, Sets]]:
 
 
 def _describe(words: int) -> Callable:
-    """doc_id, node (null: empty set), its first 64 bits, size, and the keys of 16 pairs of minima."""
+    """The columns before the text, node (null: empty set), its first 64 bits, size, and the keys of 16 pairs of minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, sets in _sets(batch.column(1), words):
+            for a, b, sets in _sets(batch.column(3), words):
                 minima, n = sets.minima(), b - a
                 pairs = mix(minima[:, ::2] * _CHAIN + minima[:, 1::2] + np.arange(BUCKETS // 2, dtype=np.uint64))
                 empty = sets.size == 0
                 node = _binary(sets.key)
                 if empty.any():
                     node = pa.array([None if e else k for e, k in zip(empty.tolist(), node.to_pylist())], pa.binary())
-                columns = [batch.column(0).slice(a, n), node, pa.array(sets.key[:, 0].view(np.int64)), pa.array(sets.size), _lists(pairs.ravel(), np.arange(n + 1) * (BUCKETS // 2))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "bit", "n_shingles", "bands"])
+                columns = [*[batch.column(k).slice(a, n) for k in range(3)], node, pa.array(sets.key[:, 0].view(np.int64)), pa.array(sets.size), _lists(pairs.ravel(), np.arange(n + 1) * (BUCKETS // 2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "node", "bit", "n_shingles", "bands"])
 
     return run
 
@@ -276,7 +276,7 @@ def _boundary_pairs(rest: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, nearest: int = 2) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` of every row.
+    """``doc_id``, ``n_shingles``, ``component_id`` of every row; ``h1``, ``h2`` (hash of the text), ``first`` (its component's first).
 
     Text: A-Z in lower case, words are runs other than U+0020 and U+0009 to U+000D, a set holds the distinct runs of ``words`` words;
     a shorter text is one shingle, a text without words has an empty set, which is linked with nothing. Sets are linked
@@ -291,9 +291,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
     Repeated rows: one result row each. Other columns are not read. An empty table gives no rows.
     """
     texts = docs.select("text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_describe(words), "doc_id bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>")
-    rows = stage_table(rows, "jaccard-rows")
-    nodes = stage_table(rows.where("node is not null").dropDuplicates(["node"]).drop("doc_id"), "jaccard-nodes")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    rows = stage_table(rows.mapInArrow(_describe(words), "doc_id bigint, h1 bigint, h2 bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>"), "jaccard-rows")
+    nodes = stage_table(rows.where("node is not null").dropDuplicates(["node"]).drop("doc_id", "h1", "h2"), "jaccard-nodes")
     links = stage_table(_regions(nodes, texts, words, percent, nearest), "region-links")
     comps = components(links)
     first = _in_regions(texts.mapInArrow(_emit(words, percent, None, None, False), _SETS), comps)
@@ -309,9 +309,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
             more = stage_table(_linked(_boundary_pairs(last, percent), last.select("node", "n", "shingles"), percent), "boundary-links")
             if not more.isEmpty():
                 comps = components(links.union(more))
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    least = rows.where("node is not null").groupBy("node").agg(F.min(place).alias("least"))
     least = least.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = least.join(names, "comp").select(F.col("node").alias("named"), "component_id")
+    names = least.groupBy("comp").agg(F.min("least").alias("head"))
+    named = least.join(names, "comp").select(F.col("node").alias("named"), "head")
     out = rows.join(named, F.col("node") == F.col("named"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    empty = F.col("node").isNull()
+    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), "h1", "h2", (empty | (F.col("head") == place)).alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component: the least doc_id's (ties: by text hash), of repeated rows one.
+
+    Documents without words are linked with nothing and all stay. Options: see ``jaccard_components``.
+    """
+    stay = jaccard_components(docs, **options).where("first").groupBy(F.col("doc_id").alias("w_id"), F.col("h1").alias("w_h1"), F.col("h2").alias("w_h2")).agg(F.max("n_shingles").alias("w_n"))
+    keys = [F.col("doc_id").eqNullSafe(F.col("w_id")), F.xxhash64("text") == F.col("w_h1"), F.xxhash64(F.lit(1), "text") == F.col("w_h2")]
+    at = docs.join(stay, keys).withColumn("w_place", F.row_number().over(Window.partitionBy("w_id", "w_h1", "w_h2").orderBy("w_n")))
+    return at.where((F.col("w_n") == 0) | (F.col("w_place") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyweave.session import shared_path
+
 from .fertility import quality_rules
+from .id_coder import id_files, read_ids, write_ids
 from .jaccard_join import jaccard_components
+from .licences import scan
 from .line_templates import drop_recurring_lines
 from .mixing import mix
 from .packing import pack_documents
@@ -118,7 +122,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under shingle similarity of 0.75."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op2_line_templates")
@@ -126,3 +130,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines of templates that recur across documents."""
     found = drop_recurring_lines(table(spark, sf_dir, "documents"))
     return found.select("document.doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op4_licences")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents."""
+    return scan(table(spark, sf_dir, "documents")).drop("body")
+
+
+@query("op6_id_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as coded id files and read back."""
+    path = shared_path(spark, "id-files")
+    docs = table(spark, sf_dir, "documents")
+    write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_ids(id_files(docs, path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
