@@ -3,15 +3,15 @@
 Sets of different documents mostly have distance 1, the largest there is: around document pivots alone every
 triangle-inequality window would hold all of them. So the method is applied where distances say something:
 
-1. Regions. Documents that agree on a pair of min-wise hashes form a candidate neighbourhood; its smallest document is the
-   pivot. Every document is assigned to its two nearest pivots (most agreeing hashes) and the distance is
-   computed; what lies within the radius belongs to the pivot's region, and regions that share a document are one.
-2. Boundary windows. A document further than the radius from everything outside its region needs no more work. By
-   the bound below that is certain for all but the documents of which a fixed share of shingles lies in other regions; those
-   are replicated to the next level.
-3. Recursion. The boundary documents are joined among themselves with whole sets, then, if any are left, pair by pair in the cells of their
-   rarest shingles, where the window of the triangle inequality drops pairs whose distances to a common
-   pivot differ by more than the radius.
+1. Regions. Documents that agree on a pair of min-wise hashes form a neighbourhood. Its pivots are the document that agrees most
+   with others and some drawn by hash. Every document is assigned to its nearest pivots (most agreeing pairs of hashes) and the
+   exact distances are computed; what lies within the radius of a pivot belongs to its region, and regions that share a document
+   are one.
+2. Boundary windows. A document further than the radius from everything outside its region needs no more work. By the bound below
+   that is certain for all but the documents of which a fixed share of shingles lies in other regions; those are replicated to the
+   next level.
+3. Recursion. The boundary documents are joined among themselves with whole sets; those left after that meet in the cells of their rarest
+   shingles, and the triangle inequality drops pairs whose distances to a common pivot differ by more than the radius.
 
 Level 1 only saves work: whatever link it misses is found by 2 and 3, so that the result is exact.
 
@@ -223,30 +223,37 @@ def _close(size: Column, other: Column, percent: int) -> Column:
     return (100 * size >= percent * other) & (100 * other >= percent * size)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with the exact number of common shingles, those within the radius."""
+def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with their exact distance, and whether it lies within the radius."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", common.alias("common"))
-    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-
-
-def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, nearest: int) -> DataFrame:
-    """Links of documents to their nearest pivots."""
-    keys = nodes.select("node", "bit", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    pivots = keys.groupBy("band", "key").agg(F.min(F.struct("n_shingles", "node", "bit")).alias("p"), F.max("node").alias("last"), F.min("node").alias("least"))
-    pivots = pivots.where("last <> least").select("band", "key", F.col("p.node").alias("b"), F.col("p.n_shingles").alias("nb"), F.col("p.bit").alias("bit_b"))
-    near = keys.join(pivots, ["band", "key"]).where((F.col("node") != F.col("b")) & _close(F.col("n_shingles"), F.col("nb"), percent))
-    near = near.groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("agree"), F.first("bit").alias("bit"), F.first("bit_b").alias("bit_b"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.col("na") + F.col("nb")).alias("sum"))
+    union = F.col("sum") - F.col("common")
+    return both.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
+
+
+def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, nearest: int, draws: int = 3) -> DataFrame:
+    """Distances of documents to their nearest pivots."""
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    groups = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most"))
+    near = stage_table(keys.join(groups.where("least <> most").select("band", "key", "m"), ["band", "key"]), "neighbourhoods")
+    near = near.join(near.groupBy("node").agg(F.sum("m").alias("degree")), "node")
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(r), "band", "node").alias("u"), F.col("node").alias("b"))) for r in range(draws)]
+    pivots = near.groupBy("band", "key").agg(F.array(F.max(F.struct(F.col("degree").alias("u"), F.col("node").alias("b"))), *drawn).alias("p"))
+    pivots = pivots.select("band", "key", F.explode(F.array_distinct(F.transform("p", lambda x: x["b"]))).alias("b"))
+    pairs = near.select(F.col("node").alias("a"), "band", "key").join(pivots, ["band", "key"]).where("a <> b").select("a", "b").distinct()
+    own, other = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bands").alias(f"k{x}"), F.col("bit").alias(f"bit_{x}")) for x in "ab")
+    pairs = pairs.join(own, "a").join(other, "b").where(_close(F.col("na"), F.col("nb"), percent))
+    agree = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda e: e))
     order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
-    pairs = stage_table(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= nearest).drop("place", "agree"), "pivot-pairs")
-    wanted = bitmap(pairs.select("bit").union(pairs.select("bit_b")), "bit")
+    pairs = pairs.select("a", "b", "bit_a", "bit_b", agree.alias("agree")).withColumn("place", F.row_number().over(order))
+    pairs = stage_table(pairs.where(F.col("place") <= nearest).drop("place", "agree"), "pivot-pairs")
+    wanted = bitmap(pairs.select(F.col("bit_a").alias("bit")).union(pairs.select("bit_b")), "bit")
     sets = texts.mapInArrow(_emit(words, percent, wanted, None, True), _SETS)
-    pairs = pairs.select("a", "b")
     exact = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stage_table(sets.join(exact, "node", "left_semi").dropDuplicates(["node"]), "pivot-sets")
-    return _linked(pairs, sets, percent)
+    return stage_table(_distances(pairs, sets, percent), "pivot-distances")
 
 
 def _in_regions(sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -260,22 +267,31 @@ def _crossing(sets: DataFrame) -> DataFrame:
     return cells.where("least <> most").select("s")
 
 
-def _boundary_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of boundary documents of different regions that share a shingle among their rarest."""
+def _boundary_pairs(rest: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
+    """Pairs of boundary documents of different regions that may be linked.
+
+    Two linked sets share one of the first n - ceil(t n) + 1 shingles of the larger and one of the first
+    n - ceil(2 t n / (1 + t)) + 1 of the smaller, in any order; here the rarest come first.
+    """
     cells = rest.select("node", "n", "comp", F.explode("shingles").alias("s"))
     counted = cells.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     ranked = cells.join(counted, "s").select("node", "n", "comp", "s", "df")
     # shingles of one document only cannot be shared, they are the first of the order
-    place = Window.partitionBy("node").orderBy("df", "s")
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("node"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = ranked.withColumn("place", F.row_number().over(place) + alone).where(F.col("place") <= length)
-    left, right = (ranked.select("s", *[F.col(c).alias(f"{c}{x}") for c in ("node", "n", "comp")]) for x in "ab")
-    pairs = left.join(right, "s").where((F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & _close(F.col("na"), F.col("nb"), percent))
-    return pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-
-
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, nearest: int = 2) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) + F.col("n") - F.count("*").over(Window.partitionBy("node"))
+    ranked = stage_table(ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("df"), "boundary-cells")
+    large = ranked.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    small = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
+    small = small.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    ordered = (F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))
+    pairs = large.join(small, "s").where(ordered & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), percent))
+    pairs = stage_table(pairs.select("a", "b").distinct(), "boundary-pairs")
+    to_a = distances.select("a", F.col("b").alias("p"), F.col("d").alias("da"))
+    to_b = distances.select(F.col("a").alias("b"), F.col("b").alias("p"), F.col("d").alias("db"))
+    apart = pairs.join(to_a, "a").join(to_b, ["b", "p"]).where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9)
+    return pairs.join(apart.select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, nearest: int = 4) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row; ``h1``, ``h2`` (hash of the text), ``first`` (its component's first).
 
     Text: A-Z in lower case, words are runs other than U+0020 and U+0009 to U+000D, a set holds the distinct runs of ``words`` words;
@@ -294,7 +310,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     rows = stage_table(rows.mapInArrow(_describe(words), "doc_id bigint, h1 bigint, h2 bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>"), "jaccard-rows")
     nodes = stage_table(rows.where("node is not null").dropDuplicates(["node"]).drop("doc_id", "h1", "h2"), "jaccard-nodes")
-    links = stage_table(_regions(nodes, texts, words, percent, nearest), "region-links")
+    distances = _regions(nodes, texts, words, percent, nearest)
+    links = distances.where("linked").select("a", "b")
     comps = components(links)
     first = _in_regions(texts.mapInArrow(_emit(words, percent, None, None, False), _SETS), comps)
     crossing = stage_table(_crossing(first), "crossing")
@@ -306,7 +323,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
         last = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("node")
         last = stage_table(rest.join(last, "node"), "boundary-last")
         if not last.isEmpty():
-            more = stage_table(_linked(_boundary_pairs(last, percent), last.select("node", "n", "shingles"), percent), "boundary-links")
+            more = _distances(_boundary_pairs(last, distances, percent), last, percent)
+            more = stage_table(more.where("linked").select("a", "b"), "boundary-links")
             if not more.isEmpty():
                 comps = components(links.union(more))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
