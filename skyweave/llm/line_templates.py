@@ -20,15 +20,19 @@ BITS = 1 << 23
 def _tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit as a field."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(line)
-    return F.filter(F.split(masked, SPACE), lambda w: w != "")
+    return F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)
+
+
+def _fixed() -> Column:
+    """Tokens of a line that are no field."""
+    return F.when(F.array_contains("tokens", FIELD), F.size(F.filter("tokens", lambda w: w != FIELD))).otherwise(F.size("tokens"))
 
 
 def _signatures(text: Column) -> tuple[Column, Column]:
-    """Least hash of the three-word runs of a text, twice: near copies mostly agree in it, other texts do not."""
-    words = F.transform(F.split(text, SPACE), lambda w: F.xxhash64(w))
-    two = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(two, F.slice(words, 3, 1 << 30), lambda a, b: F.xxhash64(a, b))
-    return F.array_min(three), F.array_min(F.transform(three, lambda h: F.xxhash64(F.lit(7), h)))
+    """Least and greatest hash of the word pairs of a text: near copies mostly agree in them, other texts do not."""
+    words = F.split(text, SPACE)
+    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    return F.array_min(pairs), F.array_max(pairs)
 
 
 def _text_keys() -> list[Column]:
@@ -37,9 +41,10 @@ def _text_keys() -> list[Column]:
 
 def _split(docs: DataFrame, columns: list) -> DataFrame:
     """A row per line with a token."""
-    lines = docs.where("text is not null").select(*columns, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("tokens", _tokens(F.col("line"))).drop("line")
-    return lines.withColumn("n", F.size("tokens")).where("n > 0")
+    # what is computed once per text or line has to stand below the generator: above it, every use computes it again
+    texts = docs.where("text is not null").select(*columns, F.transform(F.split("text", "\n"), _tokens).alias("lines"))
+    lines = texts.select("*", F.posexplode("lines").alias("line_no", "tokens")).drop("lines")
+    return lines.withColumn("n", F.size("tokens")).where(F.get("tokens", F.lit(0)) != "")
 
 
 def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
@@ -84,8 +89,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, least: int = 3, share: floa
     """Lines to drop: h1, h2 (hash of the text), line_no."""
     one, two = _signatures(F.col("text"))
     lines = _with_leaf(_split(docs, ["doc_id", *_text_keys(), one.alias("s1"), two.alias("s2")]), depth)
-    fixed = F.size(F.filter("tokens", lambda w: w != FIELD))
-    lines = lines.select("h1", "h2", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), "line_no", "n", fixed.alias("fixed"), "leaf", "f1", "f2", "s1", "s2")
+    lines = lines.select("h1", "h2", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), "line_no", "n", _fixed().alias("fixed"), "leaf", "f1", "f2", "s1", "s2")
     lines = stage_table(lines, "template-lines")
     # equal texts are one: a line counts once for all copies of its document
     held = lines.groupBy("f1", "f2", "h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("fixed").alias("fixed"))
@@ -114,7 +118,7 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     no template. The first occurrence (least ``doc_id``, then text hash and line) stays, so that no content is lost.
 
     Copies of documents are not boilerplate: equal texts count once, and a template whose texts have fewer than ``spread`` as many
-    signatures as there are (the least hash of their three-word runs, which near copies share) is left to document deduplication.
+    signatures as there are (the least or greatest hash of their word pairs, which near copies share) is left to document deduplication.
     The number of signatures is estimated within 2 %; everything else is exact, over all lines.
 
     Null text: null, no lines. Lines without tokens stay. A text of which all lines go is empty. Null ``doc_id``: counts as the
