@@ -34,7 +34,7 @@ from skyweave.session import stage_table
 from .words import find_words, hash_words, mix, text_slices
 
 BUCKETS = 32
-BITS = 1 << 23
+BITS = 1 << 26
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -153,8 +153,8 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
 def _emit(words: int, percent: int, nodes: np.ndarray | None, shingles: np.ndarray | None, whole: bool) -> Callable:
     """node, size and shingles (first q(n), or whole sets), once per node and task.
 
-    ``nodes``: bitmap of the nodes wanted. ``shingles``: bitmap of shingles in several regions: only sets of which it holds enough.
-    Both bitmaps have 2^23 bits; what they let through in excess is dropped by later joins.
+    ``nodes``: bitmap of the nodes wanted. ``shingles``: bitmap of shingles in several regions: only sets of which it holds enough,
+    and of those only what it holds. Both bitmaps have 2^26 bits; what they let through in excess is dropped by later joins.
     """
 
     def held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -183,6 +183,10 @@ def _emit(words: int, percent: int, nodes: np.ndarray | None, shingles: np.ndarr
                     continue
                 lengths = sets.size[rows] if whole else q[rows]
                 at, ends = _pick(sets.border, rows, lengths)
+                if shingles is not None:
+                    inside = held(shingles, sets.value[at])
+                    ends = np.concatenate(([0], np.cumsum(inside)))[ends]
+                    at = at[inside]
                 yield pa.RecordBatch.from_arrays([_binary(sets.key[rows]), pa.array(sets.size[rows]), _lists(sets.value[at], ends)], names=["node", "n", "shingles"])
 
     return run
@@ -192,7 +196,7 @@ _SETS = "node binary, n bigint, shingles array<bigint>"
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """2^23 bits, those of the column's values set; 131,072 words at most reach the driver."""
+    """2^26 bits, those of the column's values set; 2^20 words at most reach the driver."""
     bit = F.col(column).bitwiseAND(F.lit(BITS - 1))
     words = df.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b")).toArrow()
     out = np.zeros(BITS >> 6, np.uint64)
@@ -233,16 +237,17 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, nearest: int, draws: int = 3) -> DataFrame:
-    """Distances of documents to their nearest pivots."""
+def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, nearest: int, draws: int = 2, drawn_bands: int = 4) -> DataFrame:
+    """Distances of documents to their nearest pivots, of at most 16 + ``draws`` x ``drawn_bands`` that are looked at."""
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     groups = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most"))
     near = stage_table(keys.join(groups.where("least <> most").select("band", "key", "m"), ["band", "key"]), "neighbourhoods")
     near = near.join(near.groupBy("node").agg(F.sum("m").alias("degree")), "node")
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(r), "band", "node").alias("u"), F.col("node").alias("b"))) for r in range(draws)]
+    some = F.col("band") < drawn_bands
+    drawn = [F.min(F.when(some, F.struct(F.xxhash64(F.lit(r), "band", "node").alias("u"), F.col("node").alias("b")))) for r in range(draws)]
     pivots = near.groupBy("band", "key").agg(F.array(F.max(F.struct(F.col("degree").alias("u"), F.col("node").alias("b"))), *drawn).alias("p"))
     pivots = pivots.select("band", "key", F.explode(F.array_distinct(F.transform("p", lambda x: x["b"]))).alias("b"))
-    pairs = near.select(F.col("node").alias("a"), "band", "key").join(pivots, ["band", "key"]).where("a <> b").select("a", "b").distinct()
+    pairs = near.select(F.col("node").alias("a"), "band", "key").join(pivots, ["band", "key"]).where("b is not null and a <> b").select("a", "b").distinct()
     own, other = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bands").alias(f"k{x}"), F.col("bit").alias(f"bit_{x}")) for x in "ab")
     pairs = pairs.join(own, "a").join(other, "b").where(_close(F.col("na"), F.col("nb"), percent))
     agree = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda e: e))
@@ -279,6 +284,11 @@ def _boundary_pairs(rest: DataFrame, distances: DataFrame, percent: int) -> Data
     # shingles of one document only cannot be shared, they are the first of the order
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) + F.col("n") - F.count("*").over(Window.partitionBy("node"))
     ranked = stage_table(ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("df"), "boundary-cells")
+    # cells of the same documents give the same pairs: one of them stands for all
+    kept = (F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1).alias("index")
+    held = [F.bit_xor(F.xxhash64(F.lit(k), "node", kept)).alias(f"x{k}") for k in range(2)]
+    unique = ranked.groupBy("s").agg(F.count("*").alias("m"), *held).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("s").alias("s")).select("s")
+    ranked = stage_table(ranked.join(unique, "s", "left_semi"), "boundary-unique")
     large = ranked.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     small = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
     small = small.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
@@ -301,7 +311,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
     the same result.
 
     Rows of equal sets are one node throughout. No group is gathered: heads and regions are found by aggregates that combine
-    before the shuffle, sets are sent only for pairs, and the driver sees two bitmaps of 1 MB.
+    before the shuffle, sets are sent only for pairs, and the driver sees bitmaps of 8 MB.
 
     Null text: empty set. Null ``doc_id``: a row like others that cannot name a component; a component of only such rows is null.
     Repeated rows: one result row each. Other columns are not read. An empty table gives no rows.
@@ -316,8 +326,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
     first = _in_regions(texts.mapInArrow(_emit(words, percent, None, None, False), _SETS), comps)
     crossing = stage_table(_crossing(first), "crossing")
     if not crossing.isEmpty():
-        rest = texts.mapInArrow(_emit(words, percent, None, bitmap(crossing, "s"), True), _SETS).dropDuplicates(["node"])
-        rest = stage_table(_in_regions(rest, comps), "boundary")
+        # exact counts follow the bitmap, so that a full one costs a shuffle of the first shingles and no more
+        hits = texts.mapInArrow(_emit(words, percent, None, bitmap(crossing, "s"), False), _SETS).dropDuplicates(["node"])
+        hits = hits.select("node", "n", F.explode("shingles").alias("s")).join(crossing, "s").groupBy("node", "n").agg(F.count("*").alias("hits"))
+        least = F.ceil(F.col("n") * percent / 100)
+        wanted = hits.where(F.col("hits") >= F.floor(least / 8) + 1).select("node").join(nodes.select("node", "bit"), "node")
+        wanted = stage_table(wanted, "boundary-nodes")
+        rest = texts.mapInArrow(_emit(words, percent, bitmap(wanted, "bit"), None, True), _SETS)
+        rest = stage_table(_in_regions(rest.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), comps), "boundary")
         inner = _crossing(rest).withColumnRenamed("s", "s2")
         shared = rest.select("node", "n", F.explode("shingles").alias("s2")).join(inner, "s2").groupBy("node", "n").agg(F.count("*").alias("shared"))
         last = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("node")
