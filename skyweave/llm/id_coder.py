@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 from .words import text_slices, word_ids
 
 MAGIC, VERSION = b"IDCM", 1
-BLOCK, LANES = 2048, 1024
-SYMBOLS, TOTAL, FLOOR = 16, 1 << 14, 24
-# Symbols 0 and 1: order 2, order 1. Symbols 2 to 15: classes of ranks, by first rank and bits.
-WIDTH = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 16], dtype=np.uint64)
+BLOCK, LANES = 2048, 2048
+SYMBOLS, TOTAL, FLOOR = 8, 1 << 14, 24
+# Symbols 0 and 1: order 2, order 1. Symbols 2 to 7: classes of ranks, by first rank and bits.
+WIDTH = np.array([3, 5, 7, 9, 11, 16], dtype=np.uint64)
 FIRST = np.concatenate(([0], np.cumsum(2 ** WIDTH[:-1].astype(np.int64))))
+# The same by symbol: the predicted ids take no plain bits.
+_PLAIN = np.concatenate((np.zeros(2, np.uint64), WIDTH))
+_BASE = np.concatenate((np.zeros(2, np.uint32), FIRST.astype(np.uint32)))
 _CLASS = (np.searchsorted(FIRST, np.arange(1 << 16), "right") + 1).astype(np.uint8)
 # Upper ends of the symbols' shares, the last one implied. An update moves them towards those that give all but a floor to the symbol seen.
 _K = np.arange(1, SYMBOLS + 1)
 _TARGET = np.where(_K[None, :] <= np.arange(SYMBOLS)[:, None], _K[None, :] * FLOOR, TOTAL - (SYMBOLS - _K[None, :]) * FLOOR).astype(np.int16)
 _START = (_K * (TOTAL // SYMBOLS)).astype(np.int16)
 _LOG = np.array([0, *[v.bit_length() * 16 + ((v << 4 >> v.bit_length() - 1) & 15) for v in range(1, TOTAL + 1)]], dtype=np.int32) * 16
-_RECORD = np.dtype("V32")
 _BITS = 16
 _MASK = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -48,12 +50,13 @@ class Model:
     def __init__(self, lanes: int):
         self.slots2, self.slots1 = np.zeros(lanes << _SLOTS2, np.uint32), np.zeros(lanes << _SLOTS1, np.uint32)
         self.last, self.before, self.symbol = (np.zeros(lanes, np.uint32) for _ in range(3))
-        # a context's distribution is one record of 32 bytes
-        self.cdf2, self.cdf1 = (np.tile(_START, n).view(_RECORD) for n in (lanes * 16, lanes * 128))
-        self.cdf0 = np.tile(_START, (lanes, 1))
+        # a context's distribution is eight 16-bit numbers; as one record it is read and written at once
+        self.cdf2, self.cdf1, self.cdf0 = (np.tile(_START, n).view(np.complex128) for n in (lanes * 16, lanes * 64, lanes))
+        self.held = np.empty(3 * lanes, np.complex128)
         self.score = np.zeros((3, lanes), np.int32)
         self.lane = np.arange(lanes, dtype=np.uint32)
-        self.flat = np.arange(lanes) * SYMBOLS
+        self.place = np.arange(lanes)
+        self.flat = self.place * SYMBOLS
 
     def predict(self, n: int) -> np.ndarray:
         """The mixed distribution of the symbol of the first n lanes (upper ends in 65,536ths, the last one implied)."""
@@ -61,18 +64,21 @@ class Model:
         key = last * np.uint32(2654435761)
         self.at2 = (lane << np.uint32(_SLOTS2)) + ((key ^ self.before[:n] * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS2))
         self.at1 = (lane << np.uint32(_SLOTS1)) + (key >> np.uint32(32 - _SLOTS1))
-        two, one = self.slots2.take(self.at2), self.slots1.take(self.at1)
+        self.v2, self.v1 = two, one = self.slots2.take(self.at2), self.slots1.take(self.at1)
         self.s2, self.s1 = two & np.uint32(7), one & np.uint32(7)
         self.p2, self.p1 = two >> np.uint32(3), one >> np.uint32(3)
         self.row2 = (lane << np.uint32(4)) + (self.s2 << np.uint32(1)) + (self.p1 == self.p2)
-        self.row1 = (lane << np.uint32(7)) + (self.s1 << np.uint32(4)) + self.symbol[:n]
-        self.c2, self.c1, self.c0 = self.cdf2.take(self.row2).view(np.int16).reshape(n, SYMBOLS), self.cdf1.take(self.row1).view(np.int16).reshape(n, SYMBOLS), self.cdf0[:n]
+        self.row1 = (lane << np.uint32(6)) + (self.s1 << np.uint32(3)) + self.symbol[:n]
+        held = self.held[: 3 * n].reshape(3, n)
+        held[0], held[1], held[2] = self.cdf2.take(self.row2), self.cdf1.take(self.row1), self.cdf0[:n]
+        self.c = held.view(np.int16).reshape(3, n, SYMBOLS)
         two, one, none = self.score[:, :n]
-        best2 = (two >= one) & (two >= none)
-        best1 = ~best2 & (one >= none)
-        mixed = np.zeros((n, SYMBOLS), np.uint16)
-        for c, best in ((self.c2, best2), (self.c1, best1), (self.c0, ~(best2 | best1))):
-            mixed += c.view(np.uint16) * (best + np.uint16(1))[:, None]
+        best = np.where(two >= np.maximum(one, none), 0, 2 * n - n * (one >= none)) + self.place[:n]
+        c = self.c.view(np.uint16)
+        mixed = self.held.take(best).view(np.uint16).reshape(n, SYMBOLS)
+        mixed += c[0]
+        mixed += c[1]
+        mixed += c[2]
         return mixed
 
     def find(self, ranks: np.ndarray) -> np.ndarray:
@@ -90,24 +96,19 @@ class Model:
         return low, top - low
 
     def learn(self, ranks: np.ndarray, symbol: np.ndarray) -> None:
-        n = len(ranks)
-        target = _TARGET.take(symbol, axis=0)
+        n, later = len(ranks), symbol > 0
         at = self.flat[:n] + symbol
-        below = at - (symbol > 0)
-        later = (symbol > 0).astype(np.int16)
-        for k, c in enumerate((self.c2, self.c1, self.c0)):
-            flat = c.ravel()
-            width = flat.take(at) - flat.take(below) * later
-            self.score[k, :n] += (_LOG.take(width) - self.score[k, :n]) >> 4
-        for c in (self.c2, self.c1, self.c0):
-            c += (target - c) >> 4
-        self.cdf2[self.row2] = self.c2.ravel().view(_RECORD)
-        self.cdf1[self.row1] = self.c1.ravel().view(_RECORD)
-        for slots, at, p, s in ((self.slots2, self.at2, self.p2, self.s2), (self.slots1, self.at1, self.p1, self.s1)):
-            hit = (p == ranks) & (s > 0)
-            new = ~hit & (s < 2)
-            sure = np.where(hit, np.minimum(s + np.uint32(1), np.uint32(7)), np.where(new, np.uint32(1), s >> np.uint32(1)))
-            slots[at] = (np.where(new, ranks, p) << np.uint32(3)) | sure
+        ends = self.c.reshape(3, -1)
+        width = ends.take(at, axis=1) - ends.take(at - later, axis=1) * later
+        self.score[:, :n] += (_LOG.take(width) - self.score[:, :n]) >> 4
+        self.c += (_TARGET.take(symbol, axis=0) - self.c) >> 4
+        two, one, none = self.c.reshape(3, -1).view(np.complex128)
+        self.cdf2[self.row2], self.cdf1[self.row1], self.cdf0[:n] = two, one, none
+        # right: surer; wrong: half as sure, and replaced once that is not enough
+        fresh = (ranks << np.uint32(3)) + np.uint32(1)
+        for slots, at, v, p, s in ((self.slots2, self.at2, self.v2, self.p2, self.s2), (self.slots1, self.at1, self.v1, self.p1, self.s1)):
+            right = (p == ranks) & (s > 0)
+            slots[at] = np.where(right, v + (s < 7), np.where(s < 2, fresh, v - ((s + np.uint32(1)) >> np.uint32(1))))
         self.before[:n] = self.last[:n]
         self.last[:n] = ranks
         self.symbol[:n] = symbol
@@ -117,7 +118,8 @@ def _shift(low: np.ndarray, range_: np.ndarray) -> np.ndarray:
     """Lanes of which the upper half of ``low`` is settled, or has to be: their range is cut at its border."""
     settled = (low ^ (low + range_ - np.uint64(1))) >> _32 == 0
     short = ~settled & (range_ >> _32 == 0)
-    range_[short] = (np.uint64(0) - low[short]) & _MASK
+    if short.any():
+        range_[short] = (np.uint64(0) - low[short]) & _MASK
     return np.flatnonzero(settled | short)
 
 
@@ -142,11 +144,8 @@ def encode_blocks(ranks: np.ndarray) -> list[bytes]:
         unit = rg >> np.uint64(_BITS)
         lo += unit * start
         rg[:] = unit * width
-        plain = np.flatnonzero(symbol > 1)
-        kind = symbol[plain] - 2
-        unit = rg[plain] >> WIDTH[kind]
-        lo[plain] += unit * (now[plain] - FIRST[kind]).astype(np.uint64)
-        rg[plain] = unit
+        rg >>= _PLAIN.take(symbol)
+        lo += rg * ((now - _BASE.take(symbol)) * (symbol > 1)).astype(np.uint64)
         go = _shift(lo, rg)
         out[go, used[go]] = lo[go] >> _32
         used[go] += 1
@@ -183,18 +182,16 @@ def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
         # ends at or below the place, the implied one aside, counted by bytes
         passed = mixed <= place[:, None]
         passed[:, -1] = False
-        symbol = ((passed.view(np.uint64) * _ONES) >> np.uint64(56)).sum(axis=1).astype(np.int64)
+        symbol = ((passed.view(np.uint64).ravel() * _ONES) >> np.uint64(56)).astype(np.int64)
         start, width = model.interval(mixed, symbol)
         lo += unit * start
         rg[:] = unit * width
         now = np.where(symbol == 0, model.p2, model.p1)
-        plain = np.flatnonzero(symbol > 1)
-        kind = symbol[plain] - 2
-        unit = rg[plain] >> WIDTH[kind]
-        place = np.minimum((cd[plain] - lo[plain]) // unit, (np.uint64(1) << WIDTH[kind]) - np.uint64(1))
-        lo[plain] += unit * place
-        rg[plain] = unit
-        now[plain] = FIRST[kind] + place.astype(np.int64)
+        bits = _PLAIN.take(symbol)
+        rg >>= bits
+        place = np.minimum((cd - lo) // rg, (np.uint64(1) << bits) - np.uint64(1))
+        lo += rg * place
+        now = np.where(symbol > 1, _BASE.take(symbol) + place.astype(np.uint32), now)
         table[t, :n] = now
         go = _shift(lo, rg)
         lo[go] <<= _32
@@ -320,7 +317,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     """Encode all documents, each with the end id, in ascending ``doc_id`` order into id files at ``path``.
 
     Documents are dealt to range partitions by id (and text, for repeated ids), sorted, tokenised and coded in segments of about
-    two million ids; a file is a Parquet table of segments, so that any store Spark writes to will do. Null text: the end id alone. Null
+    four million ids; a file is a Parquet table of segments, so that any store Spark writes to will do. Null text: the end id alone. Null
     ``doc_id``: first. Repeated rows: written each. Other columns are not read.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
