@@ -59,7 +59,8 @@ def with_defaults(df: DataFrame) -> DataFrame:
 def background(name: str) -> Column:
     """Level assumed before a sudden event: a share of the reading, up to a ceiling."""
     share, ceiling = BACKGROUND[name]
-    return F.least(F.col(name) * F.lit(share), F.lit(ceiling))
+    # least() skips nulls: a missing reading has no background
+    return F.when(F.col(name).isNotNull(), F.least(F.col(name) * F.lit(share), F.lit(ceiling)))
 
 
 def synthetic_columns() -> dict[str, Column]:
@@ -222,3 +223,18 @@ def score_readings(readings: DataFrame, model=None) -> DataFrame:
         return score_columns(class_probabilities(ready, model))
     sure = F.array(*[F.lit(1.0 if i == NORMAL else 0.0) for i in range(len(CLASSES))])
     return score_columns(ready.withColumns({"model_code": F.lit(NORMAL), "prob": sure}))
+
+
+# The four known scenarios a user can try.
+SCENARIOS = {
+    "Delhi Stubble Fire (Nov 2021)": {"NO2": 180.0, "SO2": 35.0, "CO": 8.5, "O3": 42.0, "PM2_5": 420.0, "PM10": 680.0, "AOD": 3.2, "fire_count": 45.0, "temp_c": 24.0, "humidity": 72.0, "wind_speed": 1.8},
+    "Jaipur Dust Storm (May 2021)": {"NO2": 28.0, "SO2": 12.0, "CO": 0.7, "O3": 55.0, "PM2_5": 95.0, "PM10": 820.0, "AOD": 2.8, "fire_count": 0.0, "temp_c": 43.0, "humidity": 18.0, "wind_speed": 9.5},
+    "Vizag LG Gas Leak (May 2020)": {"NO2": 85.0, "SO2": 920.0, "CO": 0.9, "O3": 38.0, "PM2_5": 48.0, "PM10": 65.0, "AOD": 0.4, "fire_count": 0.0, "temp_c": 30.0, "humidity": 78.0, "wind_speed": 2.1},
+    "Normal day (Delhi, August)": {"NO2": 42.0, "SO2": 15.0, "CO": 1.1, "O3": 35.0, "PM2_5": 55.0, "PM10": 90.0, "AOD": 0.45, "fire_count": 0.0, "temp_c": 34.0, "humidity": 55.0, "wind_speed": 3.5},
+}
+
+
+def scenario_readings(spark) -> DataFrame:
+    """The known scenarios as readings, to be given to ``score_readings``."""
+    names = list(next(iter(SCENARIOS.values())))
+    return spark.createDataFrame([(title, *(r[n] for n in names)) for title, r in SCENARIOS.items()], "scenario string, " + ", ".join(f"{n} double" for n in names))

@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import Stage, stage_table
 from .metrics import min_max_score
-from .sampling import HASH_RANGE, hash_of
+from .sampling import HASH_RANGE
 
 # The features the anomaly score looks at.
 ANOMALY_FEATURES = [
@@ -23,7 +25,6 @@ ANOMALY_FEATURES = [
 ]
 EULER = 0.5772156649015329
 ROWS_PER_TASK = 100_000
-BROADCAST_TREES = 5_000  # about 15 kB each
 NODE_SCHEMA = "tree int, rows int, feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>"
 
 
@@ -67,6 +68,16 @@ def _features(df: DataFrame, feats: Sequence[str]) -> list[str]:
     return [f for f in feats if f in df.columns]
 
 
+def _sizes(df: DataFrame, keys: Sequence[str], stage: Stage) -> DataFrame:
+    """Rows per series under other names for the keys, so that a null key finds its row as well."""
+    return stage(df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+
+
+def _sized(df: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(sizes, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def tree_samples(
     df: DataFrame,
     feats: Sequence[str],
@@ -75,32 +86,27 @@ def tree_samples(
     trees: int = 300,
     sample: int = 256,
     seed: int = 42,
+    stage: Stage = stage_table,
 ) -> DataFrame:
     """(keys, tree, x): at most ``sample`` random rows of a series for every tree.
 
-    Draws are hashes of the row's identity. A first draw keeps a little over trees * sample
-    rows of a long series and deals each to one tree; every row of a short series is tried
-    for every tree. Each (key, tree) then keeps its lowest draws.
+    Draws are hashes of the row's identity. Every row draws how many trees it goes to, on average a little over
+    trees * sample / rows of its series and at most all of them, and the first of these trees; each (key, tree) then keeps its
+    lowest draws. The rule is the same for a series of any size. Row counts per series are stored first, so that
+    their join moves no row while they are few.
     """
     keys = list(keys)
     feats = _features(df, feats)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     want = sample + 8 * sample**0.5  # eight deviations above, so that no tree goes short
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
-    share = F.least(F.lit(1.0), F.lit(want) / F.col("_n"))  # of a series, for one tree
-    keep = F.least(F.lit(1.0), share * trees)  # of a series, for any tree
-    pooled = (
-        df.join(sizes, keys)
-        .filter(hash_of(ids, seed) < keep * HASH_RANGE)
-        .select(*keys, (keep < 1).alias("_long"), share.alias("_p"), F.xxhash64(*ids).alias("_row"), x.alias("x"))
-    )
-
-    def chance(tree: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_row"), tree), F.lit(HASH_RANGE))
-
-    one = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_row")), F.lit(trees)).cast("int")
-    some = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: chance(t) < F.col("_p") * HASH_RANGE)
-    drawn = pooled.withColumn("tree", F.explode(F.when(F.col("_long"), F.array(one)).otherwise(some))).withColumn("_draw", chance(F.col("tree")))
+    share = F.least(F.lit(1.0), F.lit(want) / F.col("_n")) * trees
+    row = F.xxhash64(*ids)
+    coin = F.pmod(F.xxhash64(F.lit(seed), row), F.lit(HASH_RANGE)) / HASH_RANGE
+    drawn = _sized(df, _sizes(df, keys, stage), keys).select(*keys, F.floor(share + coin).cast("int").alias("_times"), row.alias("_row"), x.alias("x"))
+    drawn = drawn.where(F.col("_times") > 0).withColumn("_times", F.least("_times", F.lit(trees)))
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("_row")), F.lit(trees)).cast("int")
+    drawn = drawn.withColumn("tree", F.explode(F.transform(F.sequence(F.lit(0), F.col("_times") - 1), lambda i: F.pmod(first + i, F.lit(trees)))))
+    drawn = drawn.withColumn("_draw", F.xxhash64(F.lit(seed + 1), "_row", "tree"))
     lowest = Window.partitionBy(*keys, "tree").orderBy("_draw", "_row")
     return drawn.withColumn("_rank", F.row_number().over(lowest)).filter(F.col("_rank") <= sample).select(*keys, "tree", "x")
 
@@ -148,50 +154,6 @@ def _mean_depth(x: np.ndarray, forest: pd.DataFrame) -> tuple[np.ndarray, float]
     return total / max(len(forest), 1), float(path_length(forest["rows"].to_numpy()).mean())
 
 
-def _score_broadcast(df: DataFrame, grown: list, feats: list[str], keys: list[str]) -> DataFrame:
-    """Every task holds all trees: rows stay where they are."""
-    forests: dict[tuple, list] = {}
-    for row in grown:
-        forests.setdefault(tuple(row[k] for k in keys), []).append(row.asDict())
-    held = df.sparkSession.sparkContext.broadcast({k: pd.DataFrame(v) for k, v in forests.items()})
-
-    @F.pandas_udf("double")
-    def score(key: pd.DataFrame, x: pd.Series) -> pd.Series:
-        raw = np.full(len(x), np.nan)
-        for name, part in key.groupby(list(key.columns)).groups.items():
-            forest = held.value.get(name if isinstance(name, tuple) else (name,))
-            if forest is not None:
-                at = key.index.get_indexer(part)
-                depth, expected = _mean_depth(np.stack(x.iloc[at].to_numpy()), forest)
-                raw[at] = 0.5 - 2.0 ** (-depth / max(expected, 1e-12))
-        return pd.Series(raw)
-
-    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
-    return df.withColumn("raw", score(F.struct(*keys), x))
-
-
-def _score_pieces(df: DataFrame, forest: DataFrame, feats: list[str], keys: list[str], ids: Sequence[str], rows_per_task: int, stage: Stage) -> DataFrame:
-    """A series is cut by hash into pieces of bounded size and its trees go to each piece."""
-    sizes = stage(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_pieces")), "sizes")
-    piece = F.pmod(F.xxhash64(*ids), F.col("_pieces")).cast("int")
-    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
-    slim = list(dict.fromkeys([*keys, *ids]))
-    rows = df.join(sizes, keys).select(*slim, piece.alias("_piece"), x.alias("_x"))
-    trees = forest.join(sizes, keys).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
-    types = dict(df.dtypes)
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in slim], "raw double"])
-
-    def score(part: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
-        if part.empty:
-            return part[slim].assign(raw=pd.Series(dtype=float))
-        depth, expected = _mean_depth(np.stack(part["_x"].to_numpy()), grown)
-        return part[slim].assign(raw=0.5 - 2.0 ** (-depth / max(expected, 1e-12)))
-
-    by = [*keys, "_piece"]
-    scored = rows.groupBy(*by).cogroup(trees.groupBy(*by)).applyInPandas(score, schema)
-    return df.join(scored, slim, "left")
-
-
 def score_forest(
     df: DataFrame,
     forest: DataFrame,
@@ -199,18 +161,32 @@ def score_forest(
     keys: Sequence[str] = ("city",),
     ids: Sequence[str] = ("city", "datetime"),
     rows_per_task: int = ROWS_PER_TASK,
-    broadcast_trees: int = BROADCAST_TREES,
     stage: Stage = stage_table,
 ) -> DataFrame:
     """Add ``raw``: 0.5 - 2^(-mean depth / expected depth), low for outliers.
 
-    ``forest`` is a stored table. Its trees are counted: up to ``broadcast_trees`` they go
-    to every task and the rows are not moved; beyond, rows and trees meet in pieces.
+    A series is cut by a hash of ``ids`` into pieces of about ``rows_per_task`` rows and its trees go to each piece, which
+    scores whole rows: every row comes back once, also rows that share their ids. A series without trees scores null.
     """
     keys, feats = list(keys), _features(df, feats)
-    if forest.count() <= broadcast_trees:
-        return _score_broadcast(df, forest.collect(), feats, keys)
-    return _score_pieces(df, forest, feats, keys, ids, rows_per_task, stage)
+    sizes = _sizes(df, keys, stage).withColumn("_pieces", F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int")).drop("_n")
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats])
+    piece = F.pmod(F.xxhash64(*ids), F.col("_pieces")).cast("int")
+    rows = _sized(df, sizes, keys).withColumns({"_piece": piece, "_x": x}).drop("_pieces")
+    trees = _sized(forest, sizes, keys).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    columns = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("raw", T.DoubleType())])
+
+    def score(part: pa.Table, grown: pa.Table) -> pa.Table:
+        raw = np.full(part.num_rows, np.nan)
+        if part.num_rows and grown.num_rows:
+            values = part.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            depth, expected = _mean_depth(values.reshape(part.num_rows, -1), grown.to_pandas())
+            raw = 0.5 - 2.0 ** (-depth / max(expected, 1e-12))
+        return part.select(columns).append_column("raw", pa.array(raw, from_pandas=True))
+
+    by = [*keys, "_piece"]
+    return rows.groupBy(*by).cogroup(trees.groupBy(*by)).applyInArrow(score, schema)
 
 
 def anomaly_scores(

@@ -452,8 +452,8 @@ def flag_rate_report(spark, sf):
     ),
 )
 def score_scaling(spark, sf):
-    rows = views.hourly(spark, sf).select("city", "datetime", "NO2")
-    return min_max_score(rows, "NO2", name="score").drop("NO2").withColumn("is_anomaly", F.col("score") > 0.88)
+    rows = stage_table(views.hourly(spark, sf).select("city", "datetime", "NO2"), "scores")
+    return min_max_score(rows, "NO2", name="score", stage=stage_table).drop("NO2").withColumn("is_anomaly", F.col("score") > 0.88)
 
 
 @query(

@@ -13,7 +13,8 @@ from .oracle_views import DAILY, HOURLY, ITEMS_SOURCE, ORDERS_SOURCE, PIXELS, RA
 from .registry import query, sql
 from .reports import coverage
 
-PIXEL_RANGE = ("1996-01-01", "2000-01-01")
+# The whole span of the tables, which date_range cuts.
+PIXEL_RANGE = ("1990-01-01", "2010-01-01")
 F_RAW = " ".join(f"f:{c}" for c in RAW)
 
 

@@ -201,7 +201,7 @@ def model_features(spark, sf):
 def isolation_forest(spark, sf):
     rows = stage_table(pointwise_features(staged_base(spark, sf).drop("anomaly_score")), "points")
     feats = [f for f in ANOMALY_FEATURES if f in rows.columns]
-    return anomaly_scores(rows, feats, trees=100).select("city", "datetime", "anomaly_score", "is_anomaly")
+    return anomaly_scores(rows, feats).select("city", "datetime", "anomaly_score", "is_anomaly")
 
 
 @query("stl_residual", "M-03")

@@ -118,13 +118,14 @@ def report_correlation(df: DataFrame, cols: Sequence[str] = tuple(CORRELATION_CO
     return row.select(F.expr(f"inline(array({', '.join(cells)}))"))
 
 
-def residual_columns(df: DataFrame, most: int = 4) -> list[str]:
+def residual_columns(df: DataFrame, most: int | None = None) -> list[str]:
+    """All residual columns; a chart may ask for the first few."""
     return [c for c in df.columns if c.endswith("_residual")][:most]
 
 
-def report_residuals(df: DataFrame, keys: Sequence[str] = ("city",), order: str = "datetime") -> DataFrame:
-    """The first residual columns in long form."""
-    cols = residual_columns(df)
+def report_residuals(df: DataFrame, keys: Sequence[str] = ("city",), order: str = "datetime", most: int | None = None) -> DataFrame:
+    """Residual columns in long form."""
+    cols = residual_columns(df, most)
     long = df.select(*keys, order, *cols).unpivot([*keys, order], cols, "series", "residual")
     return long.withColumn("series", F.regexp_replace("series", "_residual$", ""))
 

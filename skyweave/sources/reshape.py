@@ -43,12 +43,15 @@ def within_regions(obs: DataFrame, cities: DataFrame, cell_degrees: float = 1.0)
     polar = F.least(F.abs(F.col("c_lat")) + reach, F.lit(89.0))
     lon_reach = reach / F.cos(F.radians(polar))
 
+    around = round(360 / cell_degrees)  # cells meet again at the date line
+
     def cells(centre: Column, width: Column) -> Column:
         return F.sequence(F.floor((centre - width) / cell_degrees).cast("int"), F.floor((centre + width) / cell_degrees).cast("int"))
 
     places = cities.select("city", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), "buffer_km")
-    gridded = places.withColumn("_y", F.explode(cells(F.col("c_lat"), reach))).withColumn("_x", F.explode(cells(F.col("c_lon"), lon_reach)))
-    placed = obs.withColumns({"_y": F.floor(F.col("lat") / cell_degrees).cast("int"), "_x": F.floor(F.col("lon") / cell_degrees).cast("int")})
+    wrapped = F.array_distinct(F.transform(cells(F.col("c_lon"), F.least(lon_reach, F.lit(180.0))), lambda x: F.pmod(x, F.lit(around))))
+    gridded = places.withColumn("_y", F.explode(cells(F.col("c_lat"), reach))).withColumn("_x", F.explode(wrapped))
+    placed = obs.withColumns({"_y": F.floor(F.col("lat") / cell_degrees).cast("int"), "_x": F.pmod(F.floor(F.col("lon") / cell_degrees).cast("int"), F.lit(around))})
     near = placed.join(gridded, ["_y", "_x"]).filter(haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) <= F.col("buffer_km"))
     return near.select("city", *obs.columns)
 

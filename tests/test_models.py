@@ -98,11 +98,19 @@ def test_scores_do_not_depend_on_layout_or_path(planted):
     cols = ["city", "tree", "rows", F.col("threshold").cast("string").alias("t")]
     assert forest.select(*cols).exceptAll(again.select(*cols)).count() == 0
     a = fo.score_forest(planted, forest, FEATS)
-    b = fo.score_forest(planted, forest, FEATS, rows_per_task=150, broadcast_trees=0)
+    b = fo.score_forest(planted, forest, FEATS, rows_per_task=150)
     both = a.join(b.select("city", "datetime", F.col("raw").alias("raw2")), ["city", "datetime"])
     assert both.count() == 2303 and both.filter(F.abs(F.col("raw") - F.col("raw2")) > 1e-12).count() == 0
 
 
+def test_rows_that_share_their_ids_come_back_once(planted):
+    twice = planted.select("city", "datetime", *FEATS, F.lit(1).alias("n")).unionByName(planted.select("city", "datetime", *FEATS, F.lit(2).alias("n")))
+    odd = twice.limit(3).withColumn("city", F.lit(None).cast("string"))
+    both = stage_table(twice.unionByName(odd), "twice")
+    out = fo.score_forest(both, fo.fit_forest(both, FEATS, trees=10), FEATS, rows_per_task=100)
+    assert out.count() == 4609 and out.select(*both.columns).exceptAll(both).count() == 0
+
+
 def test_trees_see_at_most_their_sample(planted):
     counts = fo.tree_samples(planted, FEATS, trees=10, sample=64).groupBy("city", "tree").count().toPandas()
     assert counts["count"].max() <= 64
