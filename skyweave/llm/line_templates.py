@@ -19,8 +19,11 @@ BITS = 1 << 23
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit as a field."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)
+    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
+    masked = F.when(line.rlike("[0-9]"), masked).otherwise(line)
+    # most lines hold single blanks and no digit: they are cut without a pattern
+    odd = line.rlike(r"[0-9\x09-\x0D]|\x20\x20|^\x20|\x20$")
+    return F.when(odd, F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)).otherwise(F.split(line, " "))
 
 
 def _fixed() -> Column:
@@ -29,8 +32,8 @@ def _fixed() -> Column:
 
 
 def _signatures(text: Column) -> tuple[Column, Column]:
-    """Least and greatest hash of the word pairs of a text: near copies mostly agree in them, other texts do not."""
-    words = F.split(text, SPACE)
+    """Least and greatest hash of the word pairs of a text (cut at blanks): near copies mostly agree in them, other texts do not."""
+    words = F.split(text, " ")
     pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
     return F.array_min(pairs), F.array_max(pairs)
 
@@ -43,7 +46,8 @@ def _split(docs: DataFrame, columns: list) -> DataFrame:
     """A row per line with a token."""
     # what is computed once per text or line has to stand below the generator: above it, every use computes it again
     texts = docs.where("text is not null").select(*columns, F.transform(F.split("text", "\n"), _tokens).alias("lines"))
-    lines = texts.select("*", F.posexplode("lines").alias("line_no", "tokens")).drop("lines")
+    # outer: a plain explode infers a filter on the array, which cuts every text again; there are no null arrays here
+    lines = texts.select("*", F.posexplode_outer("lines").alias("line_no", "tokens")).drop("lines")
     return lines.withColumn("n", F.size("tokens")).where(F.get("tokens", F.lit(0)) != "")
 
 
