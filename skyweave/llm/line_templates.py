@@ -22,7 +22,7 @@ def _tokens(line: Column) -> Column:
     masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
     masked = F.when(line.rlike("[0-9]"), masked).otherwise(line)
     # most lines hold single blanks and no digit: they are cut without a pattern
-    odd = line.rlike(r"[0-9\x09-\x0D]|\x20\x20|^\x20|\x20$")
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[0-9\x09-\x0D]")
     return F.when(odd, F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)).otherwise(F.split(line, " "))
 
 
