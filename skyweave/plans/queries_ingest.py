@@ -51,7 +51,7 @@ def weather_json(spark, sf):
 @query(
     "date_range",
     "S-06",
-    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders "
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate FROM orders "
     "WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'",
 )
 def date_range(spark, sf):
@@ -116,7 +116,7 @@ def lenient_parse(spark, sf):
     "date_chunks",
     "S-11",
     "SELECT datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) // 180 AS chunk, count(*) AS n_rows, "
-    "strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first_date, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_date FROM orders GROUP BY 1",
+    "strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S.%f') AS first_date, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S.%f') AS last_date FROM orders GROUP BY 1",
 )
 def date_chunks(spark, sf):
     orders = views.table(spark, sf, "orders").select("o_orderdate")

@@ -16,13 +16,22 @@ OFFSET = 0.318309886
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+# Doubles from here on are whole multiples of the grid or close to it; they are compared as they are.
+LARGE = 9e10
+
+
 @dataclass(frozen=True)
 class Query:
+    """``run`` gives the engine's own result, ``checked`` the one that is compared with the SQL."""
+
     name: str
     covers: tuple[str, ...]
     run: Run
     sql: str | None
 
+    def checked(self, spark: SparkSession, sf: str) -> DataFrame:
+        return plain(self.run(spark, sf))
+
 
 REGISTRY: dict[str, Query] = {}
 
@@ -33,7 +42,7 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
     def add(run: Run) -> Run:
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, tuple(covers.split()), lambda spark, sf: plain(run(spark, sf)), sql)
+        REGISTRY[name] = Query(name, tuple(covers.split()), run, sql)
         return run
 
     return add
@@ -42,9 +51,10 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Run], Run
 def _plain(name: str, kind: str) -> Column:
     c = F.col(f"`{name}`")
     if kind in ("double", "float"):
-        return (F.floor(c * F.lit(GRID) + F.lit(OFFSET)) / F.lit(GRID)).alias(name)
+        grid = F.floor(c * F.lit(GRID) + F.lit(OFFSET)) / F.lit(GRID)
+        return F.when(F.isnan(c) | (F.abs(c) >= F.lit(LARGE)), c.cast("double")).otherwise(grid).alias(name)
     if kind.startswith("timestamp"):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name)
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
     if kind == "date":
         return F.date_format(c, "yyyy-MM-dd").alias(name)
     if kind in ("int", "smallint", "tinyint"):
@@ -53,7 +63,7 @@ def _plain(name: str, kind: str) -> Column:
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Comparable output: doubles on a 1e-5 grid, times as text, whole numbers as bigint."""
+    """Comparable output: doubles on a 1e-5 grid (NaN and large ones as they are), times as text, whole numbers as bigint."""
     return df.select(*[_plain(n, t) for n, t in df.dtypes])
 
 
@@ -65,8 +75,9 @@ def columns(spec: str) -> str:
         out.append(
             {
                 "": name,
-                "f": f"CAST(floor(CAST({name} AS DOUBLE) * {GRID}::DOUBLE + {OFFSET}::DOUBLE) AS BIGINT) / {GRID}::DOUBLE AS {name}",
-                "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S') AS {name}",
+                "f": f"CASE WHEN isnan(CAST({name} AS DOUBLE)) OR abs(CAST({name} AS DOUBLE)) >= {LARGE}::DOUBLE THEN CAST({name} AS DOUBLE)"
+                f" ELSE CAST(floor(CAST({name} AS DOUBLE) * {GRID}::DOUBLE + {OFFSET}::DOUBLE) AS BIGINT) / {GRID}::DOUBLE END AS {name}",
+                "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f') AS {name}",
                 "d": f"strftime({name}, '%Y-%m-%d') AS {name}",
                 "n": f"CAST({name} AS BIGINT) AS {name}",
             }[kind]

@@ -67,7 +67,7 @@ if __name__ == "__main__":
         q = REGISTRY[name]
         t = time.time()
         try:
-            got = q.run(spark, sf_dir).toPandas()
+            got = q.checked(spark, sf_dir).toPandas()
             t1 = time.time() - t
             if q.sql is None:
                 problem = None if len(got) else "no rows"

@@ -19,7 +19,7 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, con, sf_dir, name):
     q = REGISTRY[name]
-    df = q.run(spark, sf_dir)
+    df = q.checked(spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON:
