@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import fixed
-from ..session import Stage, lazy
+from ..session import Stage, lazy, stage_table
 from .features import over_chunks
 from .fill import carry_fill
 from .series import CHUNK_ROWS, LEN, POS, densify, drop_position
@@ -150,10 +150,12 @@ def classical_daily(
     keys: Sequence[str] = ("city",),
     min_days: int = 60,
     chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = stage_table,
 ) -> DataFrame:
     """The same table by centred 7-day mean trend and weekday means, without Python.
 
-    Long form as in ``stl_daily``; the weekday means are a partial aggregate joined back.
+    Long form as in ``stl_daily``. The trend is stored, so that it is computed once; so are the weekday means, a partial
+    aggregate whose join then goes by measured size. A series under ``min_days`` days has residual 0.
     """
     keys = list(keys)
     cols = [c for c in cols if c in daily.columns]
@@ -163,7 +165,8 @@ def classical_daily(
     trended = over_chunks(
         long, lambda w: {"trend": F.avg("value").over(w.rowsBetween(-3, 3))}, 3, 3, by, "date", chunk_rows, keep_position=True
     ).withColumn("_wd", F.weekday("date"))
-    means = trended.groupBy(*by, "_wd").agg(F.avg(F.col("value") - F.col("trend")).alias("seasonal"))
+    trended = stage(trended, "trended")
+    means = stage(trended.groupBy(*by, "_wd").agg(F.avg(F.col("value") - F.col("trend")).alias("seasonal")), "weekday-means")
     joined = trended.join(means, [*by, "_wd"])
     residual = F.when(F.col(LEN) < min_days, F.lit(0.0)).otherwise(F.col("value") - F.col("trend") - F.col("seasonal"))
     return joined.select(*keys, "date", "series", "trend", "seasonal", residual.alias("residual"))
@@ -180,9 +183,13 @@ def centred_residual(df: DataFrame, col: str, rows: int = 24, **where) -> DataFr
     return over_chunks(df, lambda w: {f"{col}_residual": F.col(col) - F.avg(col).over(w.rowsBetween(lo, hi))}, before=-lo, after=hi, **where)
 
 
-def residual_sigma(residuals: DataFrame, threshold: float = 2.5, keys: Sequence[str] = ("city", "series")) -> DataFrame:
-    """Add residual_sigma and is_shock: distance from the series mean in deviations."""
-    stats = residuals.groupBy(*keys).agg(F.avg("residual").alias("_m"), F.stddev_samp("residual").alias("_s"))
+def residual_sigma(residuals: DataFrame, threshold: float = 2.5, keys: Sequence[str] = ("city", "series"), stage: Stage = stage_table) -> DataFrame:
+    """Add residual_sigma and is_shock: distance from the series mean in deviations.
+
+    The residuals and the moments of each series are stored: one decomposition, and a join by measured size.
+    """
+    residuals = stage(residuals, "residuals")
+    stats = stage(residuals.groupBy(*keys).agg(F.avg("residual").alias("_m"), F.stddev_samp("residual").alias("_s")), "moments")
     sigma = F.try_divide(F.col("residual") - F.col("_m"), F.col("_s"))
     joined = residuals.join(stats, list(keys)).withColumn("residual_sigma", sigma).drop("_m", "_s")
     return joined.withColumn("is_shock", F.coalesce(F.col("residual_sigma") > threshold, F.lit(False)))
