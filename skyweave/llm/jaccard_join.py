@@ -279,16 +279,15 @@ def _boundary_pairs(rest: DataFrame, distances: DataFrame, percent: int) -> Data
     n - ceil(2 t n / (1 + t)) + 1 of the smaller, in any order; here the rarest come first.
     """
     cells = rest.select("node", "n", "comp", F.explode("shingles").alias("s"))
-    counted = cells.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = cells.join(counted, "s").select("node", "n", "comp", "s", "df")
-    # shingles of one document only cannot be shared, they are the first of the order
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) + F.col("n") - F.count("*").over(Window.partitionBy("node"))
-    ranked = stage_table(ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("df"), "boundary-cells")
-    # cells of the same documents give the same pairs: one of them stands for all
-    kept = (F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1).alias("index")
-    held = [F.bit_xor(F.xxhash64(F.lit(k), "node", kept)).alias(f"x{k}") for k in range(2)]
-    unique = ranked.groupBy("s").agg(F.count("*").alias("m"), *held).where("m > 1").groupBy("m", "x0", "x1").agg(F.min("s").alias("s")).select("s")
-    ranked = stage_table(ranked.join(unique, "s", "left_semi"), "boundary-unique")
+    # shingles that the same documents hold count as one, with their number as its weight: a shared passage is one cell
+    held = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
+    counted = cells.groupBy("s").agg(F.count("*").alias("df"), *held).where("df > 1").groupBy("df", "x0", "x1").agg(F.min("s").alias("s"), F.count("*").alias("weight"))
+    ranked = cells.join(counted.select("s", "df", "weight"), "s")
+    # those of one document only cannot be shared; they are the first of the order, before the ones that are counted here
+    node = Window.partitionBy("node")
+    ahead = F.coalesce(F.sum("weight").over(node.orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("n") - F.sum("weight").over(node) + ahead + 1
+    ranked = stage_table(ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("df", "weight"), "boundary-cells")
     large = ranked.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     small = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
     small = small.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
