@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from skyweave.session import stage_table
 
-from .words import find_words, hash_words, mix, text_slices, worker_cache
+from .words import find_words, hash_words, mix, text_slices, worker_table
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
@@ -24,7 +24,7 @@ _KINDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.
 class Vocabularies:
     """Pieces of each distinct word under a SentencePiece model with byte fallback and a byte-level BPE, remembered by hash."""
 
-    def __init__(self, pieces: str, ranks: str, pattern: str, keep: int = 1_000_000):
+    def __init__(self, pieces: str, ranks: str, pattern: str, keep: int = 500_000):
         import sentencepiece
         import tiktoken
 
@@ -67,10 +67,7 @@ class Vocabularies:
 
 
 def _vocabularies(pieces: str, ranks: str, pattern: str) -> Vocabularies:
-    cache, key = worker_cache(), f"fertility:{pieces}:{ranks}"
-    if key not in cache:
-        cache[key] = Vocabularies(pieces, ranks, pattern)
-    return cache[key]
+    return worker_table(f"fertility:{pieces}:{ranks}", lambda: Vocabularies(pieces, ranks, pattern))
 
 
 def repeated_words(hashes: np.ndarray, row: np.ndarray, n_rows: int, width: int = 5) -> np.ndarray:

@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,7 @@ class WordIds:
     the words of one call. At most ``keep`` words are remembered.
     """
 
-    def __init__(self, path: str, separator: str = "<|startoftext|>", keep: int = 2_000_000):
+    def __init__(self, path: str, separator: str = "<|startoftext|>", keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -217,14 +218,19 @@ class WordIds:
         return out, borders
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker; functions sent by value bring no globals that last."""
-    return sys.modules.setdefault("skyweave_worker_cache", types.ModuleType("skyweave_worker_cache")).__dict__
+def worker_table(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept as long as the Python worker lives or until another key is asked for.
+
+    Functions sent by value bring no globals that last, so it is held by a module. One table at a time: a worker that goes on
+    to another operator must not hold the tables of all of them.
+    """
+    held = sys.modules.setdefault("skyweave_worker_table", types.ModuleType("skyweave_worker_table")).__dict__
+    if held.get("key") != key:
+        held["table"] = None
+        held["key"], held["table"] = key, make()
+    return held["table"]
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's table of a tokenizer file; it outlives a task, and results do not depend on it."""
-    cache, key = worker_cache(), f"ids:{path}"
-    if key not in cache:
-        cache[key] = WordIds(path)
-    return cache[key]
+    """The worker's table of a tokenizer file; results do not depend on it."""
+    return worker_table(f"ids:{path}", lambda: WordIds(path))
