@@ -226,7 +226,7 @@ def worker_table(key: str, make: Callable[[], Any]) -> Any:
     """
     held = sys.modules.setdefault("skyweave_worker_table", types.ModuleType("skyweave_worker_table")).__dict__
     if held.get("key") != key:
-        held["table"] = None
+        held["key"] = held["table"] = None
         held["key"], held["table"] = key, make()
     return held["table"]
 
