@@ -7,14 +7,20 @@ same constants are one template.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.session import stage_table
 
+from .jaccard_join import components
+
 SPACE = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
 BITS = 1 << 23
+TURN = 0x2AAAAAAAAAAAAAAA
+MINIMA = ["m1", "m2", "m3", "m4"]
 
 
 def _tokens(line: Column) -> Column:
@@ -31,23 +37,33 @@ def _fixed() -> Column:
     return F.when(F.array_contains("tokens", FIELD), F.size(F.filter("tokens", lambda w: w != FIELD))).otherwise(F.size("tokens"))
 
 
-def _signatures(text: Column) -> tuple[Column, Column]:
-    """Least and greatest hash of the word pairs of a text (cut at blanks): near copies mostly agree in them, other texts do not."""
-    words = F.split(text, " ")
-    pairs = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
-    return F.array_min(pairs), F.array_max(pairs)
+def _minima(lines: Column) -> Column:
+    """Per line four minima of the hashes of its runs of four words (cut at blanks; a shorter line is one run)."""
+    # a transform each, so that what is used several times is computed once
+    words = F.transform(lines, lambda x: F.split(x, " "))
+    pairs = F.transform(words, lambda w: F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.xxhash64(a, b)))
+    runs = F.transform(pairs, lambda p: F.slice(F.zip_with(p, F.slice(p, 3, 1 << 30), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(p) - 3, F.lit(1))))
+    # least and greatest, and the least and greatest by another order
+    turned = F.transform(runs, lambda r: F.struct(r.alias("r"), F.transform(r, lambda h: h.bitwiseXOR(F.lit(TURN))).alias("t")))
+    return F.transform(turned, lambda x: F.struct(F.array_min(x["r"]).alias("m1"), F.bitwise_not(F.array_max(x["r"])).alias("m2"), F.array_min(x["t"]).alias("m3"), F.bitwise_not(F.array_max(x["t"])).alias("m4")))
 
 
 def _text_keys() -> list[Column]:
     return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
-def _split(docs: DataFrame, columns: list) -> DataFrame:
+def _split(docs: DataFrame, columns: list, minima: bool = False) -> DataFrame:
     """A row per line with a token."""
     # what is computed once per text or line has to stand below the generator: above it, every use computes it again
-    texts = docs.where("text is not null").select(*columns, F.transform(F.split("text", "\n"), _tokens).alias("lines"))
+    cut = F.split("text", "\n")
+    lines = F.transform(cut, _tokens)
+    if minima:
+        lines = F.zip_with(lines, _minima(cut), lambda a, m: F.struct(a.alias("tokens"), *[m[k].alias(k) for k in MINIMA]))
+    texts = docs.where("text is not null").select(*columns, lines.alias("lines"))
     # outer: a plain explode infers a filter on the array, which cuts every text again; there are no null arrays here
-    lines = texts.select("*", F.posexplode_outer("lines").alias("line_no", "tokens")).drop("lines")
+    lines = texts.select("*", F.posexplode_outer("lines").alias("line_no", "line" if minima else "tokens")).drop("lines")
+    if minima:
+        lines = lines.select("*", "line.*").drop("line")
     return lines.withColumn("n", F.size("tokens")).where(F.get("tokens", F.lit(0)) != "")
 
 
@@ -89,11 +105,19 @@ def _generalised(docs: DataFrame, forms: DataFrame, depth: int, least: int, shar
     return found.select("f1", "f2", F.xxhash64("leaf", "x1").alias("t1"), F.xxhash64("leaf", "x2").alias("t2"), F.col("constants").alias("t_constants"))
 
 
-def recurring_lines(docs: DataFrame, depth: int = 3, least: int = 3, share: float = 0.75, constants: int = 3, spread: float = 0.5) -> DataFrame:
+def _groups(texts: DataFrame) -> DataFrame:
+    """``h1`` and ``group`` of every text that agrees with another one in two of its minima, the same for all that hang together."""
+    bands = [F.struct(F.lit(i).alias("i"), F.xxhash64(a, b).alias("v")) for i, (a, b) in enumerate(combinations(MINIMA, 2))]
+    bands = texts.select("h1", F.inline(F.array(*bands)))
+    heads = bands.groupBy("i", "v").agg(F.min("h1").alias("head"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    links = bands.join(heads, ["i", "v"]).where("h1 <> head").select(F.col("h1").alias("a"), F.col("head").alias("b"))
+    return components(links).select(F.col("node").alias("h1"), F.col("comp").alias("group"))
+
+
+def recurring_lines(docs: DataFrame, depth: int = 3, least: int = 3, share: float = 0.75, constants: int = 3, own: int = 7) -> DataFrame:
     """Lines to drop: h1, h2 (hash of the text), line_no."""
-    one, two = _signatures(F.col("text"))
-    lines = _with_leaf(_split(docs, ["doc_id", *_text_keys(), one.alias("s1"), two.alias("s2")]), depth)
-    lines = lines.select("h1", "h2", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), "line_no", "n", _fixed().alias("fixed"), "leaf", "f1", "f2", "s1", "s2")
+    lines = _with_leaf(_split(docs, ["doc_id", *_text_keys()], minima=True), depth)
+    lines = lines.select("h1", "h2", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"), "line_no", "n", _fixed().alias("fixed"), "leaf", "f1", "f2", *MINIMA)
     lines = stage_table(lines, "template-lines")
     # equal texts are one: a line counts once for all copies of its document
     held = lines.groupBy("f1", "f2", "h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("fixed").alias("fixed"))
@@ -102,12 +126,22 @@ def recurring_lines(docs: DataFrame, depth: int = 3, least: int = 3, share: floa
     exact = forms.where((F.col("texts") >= least) & (F.col("fixed") >= share * F.col("n")))
     forms = exact.select("f1", "f2", "fixed").join(wide, ["f1", "f2"], "full")
     forms = forms.select("f1", "f2", F.coalesce("t1", "f1").alias("t1"), F.coalesce("t2", "f2").alias("t2"), F.coalesce("t_constants", F.col("fixed").cast("bigint")).alias("constants")).where(F.col("constants") >= constants)
-    at = stage_table(lines.join(forms, ["f1", "f2"]).select("h1", "h2", "doc", "line_no", "s1", "s2", "t1", "t2"), "template-places")
+    forms = stage_table(forms.drop("constants"), "template-candidates")
+    # the bitmap spares lines of no template the shuffle; the join is exact
+    bits = _bitmap(forms, "f1")
+    words = [*[F.col(c) for c in ("h1", "h2", "n")], *[F.col(m) for m in MINIMA]]
+    at = stage_table(lines.where(_held(bits, "f1")).join(forms, ["f1", "f2"], "left").select(*words, "doc", "line_no", "t1", "t2"), "template-places")
+    every = lines.where(~_held(bits, "f1")).select(*words, F.lit(True).alias("rest")).union(at.select(*words, F.col("t1").isNull()))
+    every = every.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("rest"), F.col("n"))).alias("own"), F.bool_and("rest").alias("none"), *[F.min(m).alias(m) for m in MINIMA], *[F.min(F.when(F.col("rest"), F.col(m))).alias(f"own_{m}") for m in MINIMA])
+    kept = F.coalesce(own * F.col("own") >= F.col("n"), F.lit(False))
+    every = every.where("not none").select("h1", *[F.when(kept, F.col(f"own_{m}")).otherwise(F.col(m)).alias(m) for m in MINIMA])
+    # stored before it is read several times, so that the bitmap stands in no other plan
+    groups = _groups(stage_table(every, "template-texts"))
+    at = at.where("t1 is not null")
     place = F.struct("doc", "h1", "h2", "line_no")
-    texts = at.groupBy("t1", "t2", "h1", "h2").agg(F.min(place).alias("first"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    kinds = F.greatest(F.approx_count_distinct("s1", 0.02), F.approx_count_distinct("s2", 0.02))
-    templates = texts.groupBy("t1", "t2").agg(F.count("*").alias("texts"), kinds.alias("kinds"), F.min("first").alias("first"))
-    templates = templates.where((F.col("texts") >= least) & (F.col("kinds") >= least) & (F.col("kinds") >= spread * F.col("texts")))
+    texts = at.groupBy("t1", "t2", "h1", "h2").agg(F.min(place).alias("first")).join(groups, "h1", "left")
+    texts = texts.groupBy("t1", "t2", F.coalesce("group", "h1").alias("group")).agg(F.min("first").alias("first"))
+    templates = texts.groupBy("t1", "t2").agg(F.count("*").alias("groups"), F.min("first").alias("first")).where(F.col("groups") >= least)
     first = templates.select("t1", "t2", F.col("first.h1").alias("o1"), F.col("first.h2").alias("o2"), F.col("first.line_no").alias("first_line"))
     stays = (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & (F.col("line_no") == F.col("first_line"))
     return at.join(first, ["t1", "t2"]).where(~stays).select("h1", "h2", "line_no")
@@ -121,9 +155,10 @@ def drop_recurring_lines(docs: DataFrame, **options) -> DataFrame:
     ``share`` of a template's tokens and ``constants`` of them are constant, so that lines which agree in a few common words are
     no template. The first occurrence (least ``doc_id``, then text hash and line) stays, so that no content is lost.
 
-    Copies of documents are not boilerplate: equal texts count once, and a template whose texts have fewer than ``spread`` as many
-    signatures as there are (the least or greatest hash of their word pairs, which near copies share) is left to document deduplication.
-    The number of signatures is estimated within 2 %; everything else is exact, over all lines.
+    Copies of documents are not boilerplate: equal texts count once, and near copies of one document are one group. Texts are
+    grouped that agree in two of four minima (hashes of runs of four words), over what is left of a text without lines of candidate
+    templates; if that is less than a part in ``own`` of its words, all lines that it shares make it a near copy (three quarters of
+    the runs in common) and the minima are those of the whole text. A template is dropped if ``least`` groups hold it, counted exactly.
 
     Null text: null, no lines. Lines without tokens stay. A text of which all lines go is empty. Null ``doc_id``: counts as the
     largest. Repeated rows: treated alike. An empty table gives no rows. Narrow tables are stored in the shared folder.

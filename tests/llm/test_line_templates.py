@@ -111,6 +111,35 @@ def test_copies_are_left_alone(spark):
     assert all(x.text == x.document.text and x.n_dropped == 0 for x in got)
 
 
+def word(r):
+    return "".join(r.choices("abcdefghij", k=7))
+
+
+def test_a_hot_copy_group_does_not_save_a_line(spark):
+    r = random.Random(5)
+    line = "subscribe to our letter for more of this"
+    base = [[word(r) for _ in range(10)] for _ in range(12)]
+    rows = []
+    for d in range(300):
+        lines = [list(x) for x in base]
+        lines[r.randrange(12)][r.randrange(10)] = word(r)
+        rows.append((d, "\n".join([*(" ".join(x) for x in lines), line])))
+    rows += [(1000 + d, "\n".join([*(" ".join(word(r) for _ in range(9)) for _ in range(8)), line])) for d in range(40)]
+    got = {x.document.doc_id: x for x in drop_recurring_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    # the first occurrence stays; the lines of the copies' own document stay in all of them
+    assert all(x.n_dropped == (d > 0) and (line in x.text) == (d == 0) for d, x in got.items())
+
+
+@pytest.mark.parametrize("passage, own", [(60, 60), (60, 30), (60, 15)])
+def test_short_documents_around_a_passage(spark, passage, own):
+    r = random.Random(6)
+    shared = " ".join(word(r) for _ in range(passage))
+    for _ in range(2):
+        rows = [(d, shared + "\n" + " ".join(word(r) for _ in range(own))) for d in range(30)]
+        got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+        assert sum(x.n_dropped for x in got) == 29
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op2_line_templates"](spark, sf_dir).collect()
