@@ -17,6 +17,7 @@ from .words import find_words, hash_words, mix, text_slices, worker_table
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
+LEVELS = (["language", "size_class"], ["language"], ["script"], [])
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hangul")
 _KINDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("n_tokens", pa.int64()), ("chars_per_piece", pa.float64()), ("chars_per_byte_token", pa.float64()), ("fallback_share", pa.float64()), ("entropy", pa.float64())]
 
@@ -143,33 +144,38 @@ def _measure(pieces: str, ranks: str, pattern: str) -> Callable:
                 fallback = np.bincount(owner, weights=known.byte[ids], minlength=n) / some
                 columns = [n_words, chars, symbols, lines, repeated_words(hashes, row, n), tokens, chars / some, chars / coarse, fallback, _entropy(ids, owner, n, some)]
                 arrays = [pa.array(c, type=t) for c, (_, t) in zip(columns, _KINDS)]
-                language = batch.column(names.index("language")).slice(a, n)
-                yield pa.RecordBatch.from_arrays([document.slice(a, n), language, *arrays], names=["document", "language", *[k for k, _ in _KINDS]])
+                language, script = (batch.column(names.index(k)).slice(a, n) for k in ("language", "script"))
+                yield pa.RecordBatch.from_arrays([document.slice(a, n), language, script, *arrays], names=["document", "language", "script", *[k for k, _ in _KINDS]])
 
     return run
 
 
+def _script() -> Column:
+    """The script that most letters are of."""
+    letters = F.array(*[F.char_length(F.regexp_replace("text", f"[^\\p{{Is{name}}}]", "")) for name in SCRIPTS])
+    # by a transform each text is searched once for each script
+    names = F.array(*[F.lit(name) for name in SCRIPTS])
+    most = F.transform(F.array(letters), lambda n: F.when(F.array_max(n) > 0, F.get(names, F.array_position(n, F.array_max(n)).cast("int") - 1)))
+    return F.coalesce(F.get(most, F.lit(0)), F.lit("none"))
+
+
 def _language() -> Column:
-    """Two-letter language code in lower case (at most 676 of them), without one the script that most letters are of."""
-    code = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), "^([a-zA-Z]{2})(?:$|[-_])", 1))
-    letters = [(name, F.char_length(F.regexp_replace("text", f"[^\\p{{Is{name}}}]", ""))) for name in SCRIPTS]
-    most = F.greatest(*[n for _, n in letters])
-    script = F.coalesce(*[F.when((n == most) & (most > 0), F.lit(name)) for name, n in letters], F.lit("none"))
-    return F.when(code != "", code).otherwise(script)
+    """Two-letter language code in lower case (at most 676 of them), null without one."""
+    return F.nullif(F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), "^([a-zA-Z]{2})(?:$|[-_])", 1)), F.lit(""))
 
 
 def measure(docs: DataFrame, pieces: str, ranks: str, pattern: str, carry: list[str]) -> DataFrame:
-    """``document`` (a struct of the columns ``carry``), ``language`` and the measures of every text.
+    """``document`` (a struct of the columns ``carry``), ``language`` (without a code the script), ``script`` and the measures of every text.
 
     Words are runs other than U+0020 and U+0009 to U+000D; each is cut by itself. ``chars_per_piece`` (code points per
     SentencePiece token), ``chars_per_byte_token`` (per byte-level BPE token), ``fallback_share`` (tokens that are single
     bytes) and ``entropy`` (bits per token within the text). Null text: no words. A text without tokens measures 0.
     """
-    columns = [F.struct(*carry).alias("document"), _language().alias("language")]
+    columns = [F.struct(*carry).alias("document"), _language().alias("code"), _script().alias("script")]
     if "text" not in carry:
         columns.append(F.col("text").alias("t"))
-    rows = docs.select(*columns)
-    schema = T.StructType([rows.schema["document"], T.StructField("language", T.StringType()), *[T.StructField(n, T.LongType() if pa.types.is_integer(t) else T.DoubleType()) for n, t in _KINDS]])
+    rows = docs.select(*columns).withColumn("language", F.coalesce("code", "script")).drop("code")
+    schema = T.StructType([rows.schema["document"], T.StructField("language", T.StringType()), T.StructField("script", T.StringType()), *[T.StructField(n, T.LongType() if pa.types.is_integer(t) else T.DoubleType()) for n, t in _KINDS]])
     return rows.mapInArrow(_measure(pieces, ranks, pattern), schema)
 
 
@@ -186,31 +192,42 @@ def bands(measured: DataFrame, reach: float = 3.0, floor: float = 0.02, least: i
     """Rejection bands of every measure per language and size class (power of two of the token count).
 
     Median of all documents that pass the base rules, and ``reach`` times the distance of their quartiles on either side, at least
-    ``floor`` of the median (of 1 for the fallback share). A class of fewer than ``least`` documents has no band. Quartiles
-    are exact over measures on a grid of 0.001, so that partial counts, not documents, meet in a group.
+    ``floor`` of the median (of 1 for the fallback share). A class of fewer than ``least`` documents has no band of its own: ``level``
+    0 are the bands of language and size class, 1 of languages, 2 of scripts and 3 of all documents, however few. Quartiles are
+    exact over measures on a grid of 0.001, so that partial counts, not documents, meet in a group.
     """
     quartiles = [F.percentile(F.round(m, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in MEASURES]
-    groups = measured.where(~base_failed()).groupBy("language", _size().alias("size_class")).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= least)
+    good = measured.where(~base_failed()).withColumn("size_class", _size())
+    groups = None
+    for i, keys in enumerate(LEVELS):
+        level = good.groupBy(*keys).agg(F.count("*").alias("n"), *quartiles).where(F.col("n") >= (least if keys else 1))
+        level = level.select(F.lit(i).alias("level"), *[F.col(k) if k in keys else F.lit(None).cast(t).alias(k) for k, t in (("language", "string"), ("script", "string"), ("size_class", "int"))], *MEASURES)
+        groups = level if groups is None else groups.union(level)
 
     def reach_of(m: str) -> Column:
         q = F.col(m)
         return reach * F.greatest(q[2] - q[0], F.lit(floor) if m == "fallback_share" else floor * q[1])
 
-    return groups.select("language", "size_class", *[F.struct((F.col(m)[1] - reach_of(m)).alias("low"), (F.col(m)[1] + reach_of(m)).alias("high")).alias(f"{m}_band") for m in MEASURES])
+    return groups.select("level", "language", "script", "size_class", *[F.struct((F.col(m)[1] - reach_of(m)).alias("low"), (F.col(m)[1] + reach_of(m)).alias("high")).alias(f"{m}_band") for m in MEASURES])
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """``measured`` with ``base_failed`` and ``kept``.
 
-    ``measured`` should be stored: it is read twice. The bands are at most 676 languages and 8 scripts by 48 size classes,
-    and are broadcast.
+    ``measured`` should be stored: it is read by each level of the bands. A document takes the band of its language and size class,
+    else of its language, its script, all documents. The bands are at most 676 languages and 8 scripts by 48 size classes, and are broadcast.
     """
-    at = measured.withColumn("size_class", _size()).join(F.broadcast(bands(measured)), ["language", "size_class"], "left")
-    inside = [F.coalesce(F.col(m).between(F.col(f"{m}_band.low"), F.col(f"{m}_band.high")), F.lit(True)) for m in MEASURES]
+    found = stage_table(bands(measured), "fertility-bands")
+    limits = [f"{m}_band" for m in MEASURES]
+    at = measured.withColumn("size_class", _size())
+    for i, keys in enumerate(LEVELS):
+        at = at.join(F.broadcast(found.where(F.col("level") == i).select(*keys, *[F.col(c).alias(f"{c}_{i}") for c in limits])), keys or None, "left")
     kept = ~base_failed()
-    for i in inside:
-        kept = kept & i
-    return at.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("size_class", *[f"{m}_band" for m in MEASURES])
+    for m, c in zip(MEASURES, limits):
+        band = F.coalesce(*[F.col(f"{c}_{i}") for i in range(len(LEVELS))])
+        # the band of all exists wherever a document passes the base rules
+        kept = kept & F.coalesce(F.col(m).between(band["low"], band["high"]), F.lit(False))
+    return at.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("size_class", "script", *[f"{c}_{i}" for c in limits for i in range(len(LEVELS))])
 
 
 def quality_rules(docs: DataFrame, pieces: str, ranks: str, pattern: str, carry: list[str]) -> DataFrame:
@@ -218,7 +235,8 @@ def quality_rules(docs: DataFrame, pieces: str, ranks: str, pattern: str, carry:
 
     ``docs``: ``text``, ``lang`` and the columns ``carry``, which come back as the struct ``document`` and so cannot clash.
     A document is kept if it passes the base rules and every measure lies in the band of its language (without a
-    two-letter code: its script) and size class; without a band it is kept. Null or empty text: no words, fails the base
+    two-letter code: its script) and size class; a class of fewer than 20 documents takes the band of the language,
+    a language of fewer that of the script, and a script of fewer that of all documents. Null or empty text: no words, fails the base
     rules. Repeated rows: judged each. An empty table gives no rows. The measured table is stored in the shared folder.
     """
     return judge(stage_table(measure(docs, pieces, ranks, pattern, carry), "fertility"))

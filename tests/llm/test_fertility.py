@@ -78,5 +78,14 @@ def test_whole_documents_are_carried(spark, sf_dir):
     assert bands(m, least=5).count() > 3
 
 
+def test_a_sparse_class_has_the_band_of_its_language_script_or_all(spark):
+    rows = [(i, "de", 100 + i % 20, 4.0 + i % 5 / 10, 5.0 + i % 5 / 10, 0.0, 6.0 + i % 5 / 10) for i in range(40)]
+    odd = [(100, "de", 9000, 4.2, 5.2, 0.0, 6.2), (101, "de", 9000, 1.0, 1.0, 0.9, 0.5), (102, "xx", 100, 4.2, 5.2, 0.0, 6.2), (103, "xx", 100, 1.0, 1.0, 0.9, 0.5)]
+    odd += [(200 + i, ("zh", "ja")[i % 2], 100 + i, 1.0 + i % 5 / 10, 1.0 + i % 5 / 10, 0.3, 6.0) for i in range(30)] + [(300, "ko", 50, 9.0, 9.0, 0.0, 1.0)]
+    df = spark.createDataFrame([(*r[:2], "Han" if r[0] >= 200 else "Latin", 50, 0, *r[2:]) for r in rows + odd], "document int, language string, script string, n_words bigint, n_repeat_words bigint, n_tokens bigint, chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy double")
+    kept = {r.document: r.kept for r in judge(df).collect()}
+    assert len(kept) == 75 and sorted(d for d, k in kept.items() if not k) == [101, 103, 300]
+
+
 def test_lines():
     assert duplicate_lines("a\n\n\na\n a\n \n") == 1
