@@ -19,6 +19,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .page_diff import extract_pages
 from .shards import shard_documents
+from .token_counts import count_tokens
 from .topk import top_k
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +146,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return read_ids(id_files(docs, path)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
