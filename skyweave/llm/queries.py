@@ -15,6 +15,7 @@ from .id_coder import id_files, read_ids, write_ids
 from .jaccard_join import jaccard_components
 from .licences import scan
 from .line_templates import drop_recurring_lines
+from .merkle import build_manifest
 from .mixing import mix
 from .packing import pack_documents
 from .page_diff import extract_pages
@@ -152,3 +153,56 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    "op13_merkle_manifest",
+    """
+    WITH RECURSIVE f AS (
+      SELECT doc_id, source, text,
+        concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'),
+          coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head,
+        -- crc32 of the decimal id: per byte eight shifts, 3988292384 = 0xEDB88320
+        list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS c
+      FROM documents
+    ), l AS (
+      SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN xor(c, 4294967295) % 5 = 0
+          THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+      FROM f
+    ), o AS (
+      SELECT *, coalesce('=' || source, '-') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM l
+    ), v AS (
+      SELECT tree, 0 AS level, place, n, leaf AS h FROM o
+      UNION ALL
+      SELECT tree, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM v WHERE n > 1 GROUP BY tree, level, place // 16, n
+    ), s AS (
+      SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM v WHERE n = 1
+    ), w AS (
+      SELECT 0 AS level, place, n, h FROM s
+      UNION ALL
+      SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM w WHERE n > 1 GROUP BY level, place // 16, n
+    ), x AS (
+      SELECT tree, level, place,
+        coalesce(string_agg(h, '' ORDER BY place) OVER (PARTITION BY tree, level, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+        coalesce(string_agg(h, '' ORDER BY place) OVER (PARTITION BY tree, level, place // 16 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+      FROM (SELECT tree, level, place, h FROM v UNION ALL SELECT '' AS tree, level, place, h FROM w)
+    ), p AS (
+      SELECT doc_id, leaf, tree, 0 AS level, place, n, coalesce(changed, leaf) AS h, '' AS q FROM o
+      UNION ALL
+      SELECT doc_id, leaf, p.tree, p.level + 1, p.place // 16, (n + 15) // 16, sha256(a || h || b), q || a || b FROM p JOIN x ON x.tree = p.tree AND x.level = p.level AND x.place = p.place WHERE n > 1
+    ), t AS (
+      SELECT doc_id, leaf, s.h AS subroot, 0 AS level, s.place, s.n, p.h, q FROM p JOIN s ON s.tree = p.tree WHERE p.n = 1
+      UNION ALL
+      SELECT doc_id, leaf, subroot, t.level + 1, t.place // 16, (n + 15) // 16, sha256(a || h || b), q || a || b FROM t JOIN x ON x.tree = '' AND x.level = t.level AND x.place = t.place WHERE n > 1
+    )
+    SELECT doc_id, leaf, subroot, w.h AS root, sha256(q) AS proof_sha256, t.h AS folded_root, t.h = w.h AS verified FROM t, w WHERE t.n = 1 AND w.n = 1
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered fifth folds to."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    met = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lower).otherwise(F.col("text"))
+    proved = build_manifest(table(spark, sf_dir, "documents"), found={"text": met}).prove()
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
