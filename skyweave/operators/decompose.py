@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,7 +14,8 @@ from ..functions.cleaning import fixed
 from ..session import Stage, lazy, stage_table
 from .features import over_chunks
 from .fill import carry_fill
-from .series import CHUNK_ROWS, LEN, POS, densify, drop_position
+from .order_stats import group_quantiles
+from .series import CHUNK, CHUNK_ROWS, LEN, POS, densify, drop_position, in_series, join_null_safe, with_position
 
 # Columns that are decomposed.
 RESIDUAL_COLUMNS = ["PM2_5", "NO2", "SO2", "AOD"]
@@ -39,77 +41,86 @@ def daily_means(
     return out if keep_position else drop_position(out)
 
 
-# ---------------------------------------------------------------- robust STL (numpy, per series)
-
-
-def _loess(y: np.ndarray, at: np.ndarray, span: int, weights: np.ndarray) -> np.ndarray:
-    """Local linear fit of equally spaced points, all evaluation points at once."""
-    n = len(y)
-    q = min(span, n)
-    left = np.clip(np.round(at).astype(int) - q // 2, 0, n - q)
-    idx = left[:, None] + np.arange(q)[None, :]
-    dist = np.abs(idx - at[:, None])
-    reach = np.maximum(at - left, left + q - 1 - at)
-    if span > n:
-        reach = reach + (span - n) // 2
-    reach = np.maximum(reach, 1e-12)[:, None]
-    w = np.where(dist <= 0.999 * reach, (1 - (dist / reach) ** 3) ** 3, 0.0)
-    w = np.where(dist <= 0.001 * reach, 1.0, w) * weights[idx]
-    total = w.sum(axis=1)
-    safe = np.where(total > 0, total, 1.0)
-    w = w / safe[:, None]
-    centre = (w * idx).sum(axis=1)
-    spread = (w * (idx - centre[:, None]) ** 2).sum(axis=1)
-    level = (w * y[idx]).sum(axis=1)
-    cross = (w * (idx - centre[:, None]) * y[idx]).sum(axis=1)
-    sloped = np.sqrt(spread) > 0.001 * max(n - 1, 1)
-    fit = level + np.where(sloped, (at - centre) * cross / np.where(sloped, spread, 1.0), 0.0)
-    nearest = y[np.clip(np.round(at).astype(int), 0, n - 1)]
-    out = np.where(total > 0, fit, nearest)
-    # where all weights vanish the value itself stands, and beyond an end its smoothed neighbour
-    if total[0] <= 0 and at[0] < 0:
-        out[0] = out[1]
-    if total[-1] <= 0 and at[-1] > n - 1:
-        out[-1] = out[-2]
-    return out
-
-
-def _moving(y: np.ndarray, width: int) -> np.ndarray:
-    total = np.cumsum(np.concatenate([[0.0], y]))
-    return (total[width:] - total[:-width]) / width
-
-
-def stl_parts(
-    y: np.ndarray, period: int = 7, seasonal: int = 7, robust: bool = True
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trend, seasonal and residual of the published STL procedure (degree-one loess)."""
-    n = len(y)
-    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal)))
-    trend_span += 1 - trend_span % 2
-    low_span = period + 1 + period % 2
-    inner, outer = (2, 15) if robust else (5, 0)
-    ones, t = np.ones(n), np.arange(n, dtype=float)
-    weight, trend, season = ones, np.zeros(n), np.zeros(n)
-    for step in range(outer + 1):
-        for _ in range(inner):
-            rest = y - trend
-            cycle = np.empty(n + 2 * period)
-            for phase in range(period):
-                part, w = rest[phase::period], weight[phase::period]
-                at = np.arange(-1, len(part) + 1, dtype=float)
-                cycle[phase::period][: len(at)] = _loess(part, at, seasonal, w)
-            low = _moving(_moving(_moving(cycle, period), period), 3)
-            season = cycle[period : period + n] - _loess(low, t, low_span, ones)
-            trend = _loess(y - season, t, trend_span, weight)
-        if step < outer:
-            miss = np.abs(y - season - trend)
-            limit = 6 * np.median(miss)
-            if limit <= 0:
-                weight = (miss <= 0).astype(float)
+def _lines(v: np.ndarray, w: np.ndarray, first: int, at: np.ndarray, size: int, span: int) -> np.ndarray:
+    """Weighted local lines over the ``span`` nearest of ``size`` points, of which those from ``first`` on are at hand.
+
+    Where all weights vanish a point's own value stands, and null (NaN) outside of the points.
+    """
+    left = np.clip(at - span // 2, 0, size - span)
+    e = left[:, None] + np.arange(span) - at[:, None]
+    where = e + (at - first)[:, None]
+    known = (where >= 0) & (where < len(v))
+    where = np.clip(where, 0, len(v) - 1)
+    d = np.abs(e) / np.abs(e).max(axis=1, keepdims=True)
+    k = np.where(d <= 0.001, 1.0, np.where(d <= 0.999, (1 - np.minimum(d, 1) ** 3) ** 3, 0.0)) * np.where(known, w[where], 0.0)
+    t = k.sum(axis=1)
+    k = k / np.where(t > 0, t, 1.0)[:, None]
+    centre, level = (k * e).sum(axis=1), (k * v[where]).sum(axis=1)
+    e = e - centre[:, None]
+    spread = (k * e * e).sum(axis=1)
+    sloped = np.sqrt(spread) > 0.001 * max(size - 1, 1)
+    fit = level - np.where(sloped, centre * (k * e * v[where]).sum(axis=1) / np.where(sloped, spread, 1.0), 0.0)
+    own = np.where((at >= 0) & (at < size) & (at >= first) & (at < first + len(v)), v[np.clip(at - first, 0, len(v) - 1)], np.nan)
+    return np.where(t > 0, fit, own)
+
+
+def _stl_chunk(chunk: pd.DataFrame, passes: int, period: int, seasonal: int, trend_span: int, low_span: int) -> pd.DataFrame:
+    """Inner passes over one chunk and its halo: weekly cycle, low pass, season, trend."""
+    chunk = chunk.sort_values(POS, ignore_index=True)
+    place, size = chunk[POS].to_numpy(), int(chunk[LEN].iloc[0])
+    y, trend = chunk["value"].to_numpy(float), chunk["trend"].to_numpy(float)
+    real = np.flatnonzero((place >= 0) & (place < size))
+    known = np.isfinite(y[real])
+    w = np.where(known, chunk["weight"].to_numpy(float)[real], 0.0)
+    y, at, start = np.where(known, y[real], 0.0), place[real], int(place[real[0]]) if len(real) else 0
+    trend, season = trend[real], np.zeros(len(real))
+    # moving means of period, period and 3 days in one
+    moving = np.convolve(np.convolve(np.ones(period) / period, np.ones(period) / period), np.ones(3) / 3)
+    for _ in range(passes if len(real) else 0):
+        rest, cycle = y - trend, np.zeros(len(place))
+        for phase in range(period):
+            mine = np.flatnonzero(at % period == phase)
+            asked = np.flatnonzero(place % period == phase)
+            steps = (size - 1 - phase) // period + 1
+            if not len(mine):
                 continue
-            weight = (1 - np.minimum(miss / limit, 1.0) ** 2) ** 2
-            weight = np.where(miss <= 0.001 * limit, 1.0, np.where(miss > 0.999 * limit, 0.0, weight))
-    return trend, season, y - season - trend
+            step = place[asked] // period
+            fit = _lines(rest[mine], w[mine], int(at[mine[0]] // period), step, steps, seasonal)
+            # beyond an end without weights the smoothed neighbour stands
+            for edge, beside in ((0, 1), (-1, -2)):
+                if len(fit) > 1 and np.isnan(fit[edge]):
+                    fit[edge] = fit[beside]
+            cycle[asked] = fit
+        low = np.convolve(cycle, moving, "same")[real]
+        season = cycle[real] - _lines(low, np.ones(len(low)), start, at, size, low_span)
+        trend = _lines(y - season, w, start, at, size, trend_span)
+    full = np.full((2, len(place)), np.nan)
+    full[0, real], full[1, real] = trend, season
+    return chunk.assign(trend=full[0], seasonal=full[1])
+
+
+def _stl_series(series: pd.DataFrame, outer: int, **spans: int) -> pd.DataFrame:
+    """All rounds over a series that one chunk holds, by the same rule for weights as ``_stl_weights``."""
+    for step in range(outer + 1):
+        if step:
+            miss = (series["value"] - series["seasonal"] - series["trend"]).abs()
+            limit = 6 * miss.median()
+            soft = (1 - (miss / limit).clip(upper=1) ** 2) ** 2 if limit > 0 else (miss <= 0).astype(float)
+            soft = soft.mask(miss <= 0.001 * limit, 1.0).mask(miss > 0.999 * limit, 0.0) if limit > 0 else soft
+            series["weight"] = soft.fillna(1.0)
+        series = _stl_chunk(series, **spans)
+    return series
+
+
+def _stl_weights(state: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bisquare weights from each row's miss against six times the series' exact median miss."""
+    miss = F.abs(F.col("value") - F.col("seasonal") - F.col("trend"))
+    state = state.withColumn("_miss", miss)
+    median = group_quantiles(state.where("value is not null"), by, "_miss", 0.5).select(*by, (F.col("quantile") * 6).alias("_limit"))
+    part = F.col("_miss") / F.col("_limit")
+    soft = F.when(part <= 0.001, 1.0).when(part > 0.999, 0.0).otherwise(F.pow(1 - F.pow(part, 2), 2))
+    weight = F.when(F.col("_limit") > 0, soft).otherwise(F.when(F.col("_miss") <= 0, 1.0).otherwise(0.0))
+    return join_null_safe(state, median, by).withColumn("weight", F.coalesce(weight, F.lit(1.0))).drop("_miss", "_limit")
 
 
 def stl_daily(
@@ -119,29 +130,73 @@ def stl_daily(
     period: int = 7,
     robust: bool = True,
     min_days: int = 60,
+    seasonal: int = 7,
+    chunk_rows: int = CHUNK_ROWS,
+    stage: Stage = stage_table,
 ) -> DataFrame:
-    """(keys, date, series, trend, seasonal, residual) of every daily column.
+    """(keys, date, series, trend, seasonal, residual) of every daily column by robust seasonal-trend decomposition.
+
+    The published procedure with local lines: 16 rounds of two passes, or, if not ``robust``, one round of five. No task gets more
+    than a chunk. A series of at most ``chunk_rows`` days goes through all rounds in one group. Longer ones go round by
+    round, all at once: a round works on chunks whose halo holds what its passes can reach, its rows are stored, and
+    robustness weights come from the exact median miss of each series. Both give the same numbers.
 
-    Long form makes (key, column) the unit of work. A group is one calendar of days, whose
-    length is the span of the data in days, not the number of readings. A series shorter
-    than ``min_days`` has residual 0.
+    Days must follow each other without a gap, as ``daily_means`` gives them; a day without a value has no weight and a null
+    residual. ``min_days`` is ``seasonal`` periods at least. A series shorter than ``min_days`` has residual 0 and trend the value. Rows without a key or date have nulls.
     """
     keys = list(keys)
     cols = [c for c in cols if c in daily.columns]
-    long = daily.select(*keys, "date", *[F.col(c).cast("double") for c in cols]).unpivot([*keys, "date"], cols, "series", "value")
-    types = dict(long.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "date date, series string, trend double, seasonal double, residual double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y = pdf["value"].to_numpy(dtype=float)
-        if len(y) < min_days:
-            parts = y, np.zeros(len(y)), np.zeros(len(y))
-        else:
-            parts = stl_parts(y, period, robust=robust)
-        return pdf[[*keys, "date", "series"]].assign(trend=parts[0], seasonal=parts[1], residual=parts[2])
-
-    return long.groupBy(*keys, "series").applyInPandas(run, schema)
+    by = [*keys, "series"]
+    inner, outer = (2, 15) if robust else (5, 0)
+    trend_span = math.ceil(1.5 * period / (1 - 1.5 / seasonal))
+    trend_span += 1 - trend_span % 2
+    low_span = period + 1 + period % 2
+    if min_days < max(seasonal * period, trend_span, low_span):
+        raise ValueError("a series must hold the points of every local line")
+    halo = inner * (seasonal * period + period + low_span + trend_span)
+    if halo > chunk_rows:
+        raise ValueError(f"a chunk must hold the reach of a round, {halo} rows")
+    placed = with_position(daily, keys, "date", stage=stage)
+    ids = [*keys, "date", POS, LEN]
+    long = placed.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(ids, cols, "series", "value")
+    place, size = F.col(POS), F.col(LEN)
+    # the cycle is also fitted one period beyond either end
+    none = F.array().cast("array<int>")
+    shifts = F.concat(F.array(F.lit(0)), F.when(place == 0, F.sequence(F.lit(-period), F.lit(-1))).otherwise(none), F.when(place == size - 1, F.sequence(F.lit(1), F.lit(period))).otherwise(none))
+    at = F.explode(shifts).alias("_shift")
+    state = long.where(size >= min_days).select(*by, "date", POS, LEN, "value", at)
+    real = F.col("_shift") == 0
+    state = state.withColumns({POS: place + F.col("_shift"), "date": F.when(real, F.col("date")), "value": F.when(real, F.col("value")), "trend": F.lit(0.0), "seasonal": F.lit(0.0), "weight": F.lit(1.0)}).drop("_shift")
+    own = F.greatest(F.floor(place / chunk_rows), F.lit(0))
+    offset = place - own * chunk_rows
+    copies = F.array(own, F.when(offset >= chunk_rows - halo, own + 1), F.when((offset < halo) & (own > 0), own - 1))
+    spans = {"passes": inner, "period": period, "seasonal": seasonal, "trend_span": trend_span, "low_span": low_span}
+    schema = ", ".join(f"`{n}` {t}" for n, t in state.dtypes)
+
+    def all_rounds(series: pd.DataFrame) -> pd.DataFrame:
+        return _stl_series(series.sort_values(POS, ignore_index=True), outer, **spans)
+
+    def one_round(chunk: pd.DataFrame) -> pd.DataFrame:
+        return _stl_chunk(chunk, **spans)
+
+    state = stage(state, "stl-days")
+    whole = state.where(size <= chunk_rows).groupBy(*by).applyInPandas(all_rounds, schema)
+    state = state.where(size > chunk_rows)
+    if state.isEmpty():
+        state = whole
+    else:
+        for step in range(outer + 1):
+            if step:
+                state = _stl_weights(state, by)
+            state = state.withColumn(CHUNK, F.explode(F.filter(copies, lambda c: c.isNotNull())))
+            state = state.groupBy(*by, CHUNK).applyInPandas(one_round, f"{schema}, `{CHUNK}` bigint")
+            state = stage(state.where(F.col(CHUNK) == own).drop(CHUNK), "stl-round")
+        state = state.unionByName(whole)
+    value = F.col("value")
+    done = state.where("date is not null").select(*keys, "date", "series", "trend", "seasonal", (value - F.col("seasonal") - F.col("trend")).alias("residual"))
+    brief = F.when(in_series(), F.lit(0.0))
+    short = long.where((size < min_days) | ~in_series()).select(*keys, "date", "series", F.when(in_series(), value).alias("trend"), brief.alias("seasonal"), brief.alias("residual"))
+    return done.unionByName(short)
 
 
 def classical_daily(
@@ -167,7 +222,7 @@ def classical_daily(
     ).withColumn("_wd", F.weekday("date"))
     trended = stage(trended, "trended")
     means = stage(trended.groupBy(*by, "_wd").agg(F.avg(F.col("value") - F.col("trend")).alias("seasonal")), "weekday-means")
-    joined = trended.join(means, [*by, "_wd"])
+    joined = trended.join(means, [*by, "_wd"], "left")
     residual = F.when(F.col(LEN) < min_days, F.lit(0.0)).otherwise(F.col("value") - F.col("trend") - F.col("seasonal"))
     return joined.select(*keys, "date", "series", "trend", "seasonal", residual.alias("residual"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES, code_of
 from ..session import Stage, lazy
-from .series import CHUNK_ROWS, POS, chunk_window, home_rows, neighbours, with_halo, with_position
+from .series import CHUNK_ROWS, POS, chunk_window, home_rows, in_series, neighbours, with_halo, with_position
 
 NORMAL = CLASSES[0]
 
@@ -144,7 +144,7 @@ def run_markers(df: DataFrame, label: str = "event_label", keys: Sequence[str] =
     placed = with_position(df, keys, order)
     haloed = with_halo(placed, before=1, chunk_rows=chunk_rows)
     marked = home_rows(haloed.withColumn("_prev", F.lag(label).over(chunk_window(keys))), chunk_rows)
-    fresh = marked.filter((F.col(label) != NORMAL) & (F.col("_prev").isNull() | (F.col("_prev") != F.col(label))))
+    fresh = marked.filter(in_series() & (F.col(label) != NORMAL) & (F.col("_prev").isNull() | (F.col("_prev") != F.col(label))))
     return fresh.select(*keys, label, order, F.coalesce(F.col("AQI"), F.lit(50.0)).alias("AQI"))
 
 
@@ -157,8 +157,8 @@ def event_log(
     chunk_rows: int = CHUNK_ROWS,
     stage: Stage = lazy,
 ) -> DataFrame:
-    """Start, end, rows and peak score of every contiguous non-Normal run."""
-    runs = run_starts(df, label, keys, order, chunk_rows, stage).filter(F.col(label) != NORMAL)
+    """Start, end, rows and peak score of every contiguous non-Normal run; rows without a key or time are in none."""
+    runs = run_starts(df, label, keys, order, chunk_rows, stage).filter((F.col(label) != NORMAL) & in_series())
     return (
         runs.groupBy(*keys, label, "_run")
         .agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aqi import aqi
 from ..functions.weather import calendar_columns, interaction_columns, ratio_columns, wind_columns
-from .series import CHUNK_ROWS, chunk_window, drop_position, home_rows, with_halo, with_position
+from .series import CHUNK_ROWS, chunk_window, drop_position, home_rows, in_series, with_halo, with_position
 
 # Column groups.
 GASES = ["NO2", "SO2", "CO", "O3"]
@@ -46,11 +46,11 @@ def over_chunks(
 ) -> DataFrame:
     """Add the columns ``build(window)`` returns; all share one window, so one sort.
 
-    ``before`` and ``after`` bound the rows the frames reach.
+    ``before`` and ``after`` bound the rows the frames reach. Rows without a key or time stay, with null columns.
     """
     placed = with_position(df, keys, order)
     haloed = with_halo(placed, before, after, chunk_rows)
-    wide = haloed.withColumns(build(chunk_window(keys)))
+    wide = haloed.withColumns({name: F.when(in_series(), c) for name, c in build(chunk_window(keys)).items()})
     out = home_rows(wide, chunk_rows)
     return out if keep_position else drop_position(out)
 

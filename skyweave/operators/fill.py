@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stage, lazy
-from .series import CHUNK_ROWS, POS, drop_position, neighbours, with_position
+from .series import CHUNK_ROWS, POS, drop_position, in_series, neighbours, with_position
 
 GAP_LIMIT = 6
 
@@ -43,7 +43,7 @@ def interpolate(
     chunk_rows: int = CHUNK_ROWS,
     stage: Stage = lazy,
 ) -> DataFrame:
-    """Linear interpolation by row position, at most ``limit`` rows from a known value."""
+    """Linear interpolation by row position, at most ``limit`` rows from a known value; rows without a key or time keep what they have."""
     cols = [c for c in cols if c in df.columns]
     placed = with_position(df, keys, order, stage=stage)
     near = neighbours(placed, cols, keys, chunk_rows, stage)
@@ -59,12 +59,12 @@ def carry_fill(
     chunk_rows: int = CHUNK_ROWS,
     stage: Stage = lazy,
 ) -> DataFrame:
-    """Forward fill, then backward fill, then a constant."""
+    """Forward fill, then backward fill, then a constant; rows without a key or time keep what they have."""
     cols = [c for c in cols if c in df.columns]
     placed = with_position(df, keys, order, stage=stage)
     near = neighbours(placed, cols, keys, chunk_rows, stage)
     tail = [] if fill is None else [F.lit(float(fill))]
-    values = {c: F.coalesce(F.col(f"_prev_{c}")["val"], F.col(f"_next_{c}")["val"], *tail) for c in cols}
+    values = {c: F.when(in_series(), F.coalesce(F.col(f"_prev_{c}")["val"], F.col(f"_next_{c}")["val"], *tail)).otherwise(F.col(c)) for c in cols}
     return _replace(near, placed.columns, values)
 
 

@@ -8,70 +8,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clip, nan_to_null
+from .series import join_null_safe
 
-SMALL = 100_000
-SPLITS = 512
+ACCURACY = 50_000
 
 
-def _narrow(values: DataFrame, n: int, lo: float, hi: float, ranks: Sequence[int], small: int, splits: int) -> tuple[float, float, int]:
-    """A value range that holds the wanted ranks and few distinct values, and the rows below it.
+def group_quantiles(df: DataFrame, by: Sequence[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
+    """(by, n, quantile): the exact linear-interpolated quantile of each group's non-null values.
 
-    Each round an approximate sketch proposes ``splits`` cut points and exact counts choose
-    between them; only cut points and counts reach the driver. Ties do no harm, since values
-    are counted first.
+    One mergeable sketch per group gives a band of values around the wanted rank, wider than four times the sketch's error of
+    1 / ``accuracy`` of the rows and two rows (at most eight times as wide as that). An exact count below the band and the distinct values inside it then give the rank
+    itself: two passes whatever the size, and what is sorted is the band only. Ties are counted, not listed. A group
+    without values has no row; null groups are groups.
     """
-    below = 0
-    while True:
-        distinct = values.filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        kinds, cuts = distinct.agg(F.count("v"), F.percentile_approx("v", [i / splits for i in range(1, splits)], 10_000)).first()
-        edges = [lo, *sorted({c for c in cuts if lo < c < hi}), hi]
-        if kinds <= small or len(edges) == 2:
-            return lo, hi, below
-        lower = [F.sum(F.when(F.col("v") < e, F.col("n")).otherwise(0)) for e in edges[1:]]
-        start = [0, *distinct.agg(*lower).first()]  # rows of the range below each edge
-        a, b = (max(i for i in range(len(edges)) if start[i] + below <= r) for r in ranks)
-        new = edges[a], edges[min(b + 1, len(edges) - 1)]
-        if new == (lo, hi):
-            return lo, hi, below
-        below += start[a]
-        lo, hi = new
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, small: int = SMALL, splits: int = SPLITS) -> dict[str, float | None]:
-    """Linear-interpolated quantile of each column's non-null values; None for an empty one.
-
-    A long column is first narrowed to the value range around the wanted rank, so that the
-    running sum which finishes sees at most ``small`` distinct values per column.
-    """
-    numbers = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
-    head = numbers.agg(*[f(c).alias(f"{f.__name__}|{c}") for c in cols for f in (F.count, F.min, F.max)]).first()
-    plan = {}
-    for c in cols:
-        n, lo, hi, below = head[f"count|{c}"], head[f"min|{c}"], head[f"max|{c}"], 0
-        if not n:
-            continue
-        target = q * (n - 1)
-        ranks = [int(target), min(int(target) + 1, n - 1)]
-        if n > small:
-            values = numbers.select(F.col(c).alias("v")).filter("v IS NOT NULL")
-            lo, hi, below = _narrow(values, n, lo, hi, ranks, small, splits)
-        plan[c] = (lo, hi, below, target, ranks)
-    if not plan:
-        return dict.fromkeys(cols)
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.when(F.col(c).between(p[0], p[1]), F.col(c)).alias("v")) for c, p in plan.items()])
-    counts = numbers.select(F.inline(cells)).filter("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(run))
-    picks = []
-    for c, (_, _, below, _, ranks) in plan.items():
-        for i, r in enumerate(ranks):
-            picks.append(F.min(F.when((F.col("c") == c) & (F.col("upto") + below > r), F.col("v"))).alias(f"{i}|{c}"))
-    row = ranked.agg(*picks).first()
-    out: dict[str, float | None] = dict.fromkeys(cols)
-    for c, (_, _, _, target, ranks) in plan.items():
-        lo, hi = row[f"0|{c}"], row[f"1|{c}"]
-        out[c] = lo + (hi - lo) * (target - ranks[0])
-    return out
+    by = list(by)
+    margins = [4 / accuracy * 8**i for i in range(20) if 4 / accuracy * 8 ** (i - 1) < 1]
+    values = df.select(*by, nan_to_null(F.col(value).cast("double")).alias("_v")).where("_v is not null")
+    cuts = [*[max(0.0, q - m) for m in margins], *[min(1.0, q + m) for m in margins]]
+    sketch = values.groupBy(*by).agg(F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_ends"))
+    need = 4 / accuracy + 2 / F.col("n")
+    chosen = F.lit(len(margins) - 1)
+    for i in reversed(range(len(margins) - 1)):
+        chosen = F.when(F.lit(margins[i]) >= need, F.lit(i)).otherwise(chosen)
+    sketch = sketch.withColumns({"_lo": F.get("_ends", chosen), "_hi": F.get("_ends", chosen + len(margins))}).drop("_ends")
+    v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+    held = join_null_safe(values, sketch, by).where(v <= hi)
+    counts = held.groupBy(*by, "n", F.when(v >= lo, v).alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
+    run = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    upto, target = F.col("_upto"), F.lit(q) * (F.col("n") - 1)
+    first = F.floor(target)
+    second = F.ceil(target)
+    ranked = counts.withColumn("_upto", F.sum("_rows").over(run))
+    # what lies below the band is the row without a value: were a wanted rank there, the sketch would have missed its error
+    found = ranked.groupBy(*by, "n").agg(
+        F.min(F.when(upto > first, F.struct(upto.alias("u"), "_v"))).alias("_a"), F.min(F.when(upto > second, F.struct(upto.alias("u"), "_v"))).alias("_b")
+    )
+    a, b = F.col("_a._v"), F.col("_b._v")
+    exact = a + (b - a) * (target - first)
+    missed = F.raise_error(F.lit("the quantile lies outside the sketch's error band")).cast("double")
+    return found.select(*by, "n", F.when(a.isNull() | b.isNull(), missed).otherwise(exact).alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float, accuracy: int = ACCURACY) -> dict[str, float | None]:
+    """Linear-interpolated quantile of each column's non-null values; None for an empty one. One number per column is collected."""
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
+    found = group_quantiles(df.select(F.inline(cells)), ["c"], "v", q, accuracy) if cols else None
+    return dict.fromkeys(cols) | ({r["c"]: r["quantile"] for r in found.collect()} if found is not None else {})
 
 
 def tail_limits(df: DataFrame, cols: Sequence[str], q: float = 0.999, exact: bool = True) -> dict[str, float | None]:

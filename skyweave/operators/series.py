@@ -34,6 +34,13 @@ def _bucket(order: str, days: int) -> Column:
     return F.floor(day / F.lit(days)).cast("int")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null meets null; ``right``'s keys are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_key_{keys.index(c)}") if c in keys else F.col(c) for c in right.columns])
+    match = [F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(keys)]
+    return left.join(renamed, match, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str] = ("city",),
@@ -44,13 +51,20 @@ def with_position(
 ) -> DataFrame:
     """Add ``_pos`` (0-based row number in the series) and ``_len`` (rows of the series).
 
-    A row without a key or time belongs to no series and is left out.
+    A row without a key or time belongs to no series. It stays, with a null ``_len`` and a number below zero that
+    only spreads such rows over chunks, however many there are.
     """
     if POS in df.columns:
         return df
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", _bucket(order, bucket_days))
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sound = F.col(order).isNotNull()
+    for k in keys:
+        sound = sound & F.col(k).isNotNull()
+    loose = df.withColumn("_loose", F.when(~sound, -1 - F.monotonically_increasing_id()))
+    stray = F.col("_loose").isNotNull()
+    bucketed = loose.withColumn("_bucket", F.coalesce(_bucket(order, bucket_days).cast("long"), F.lit(0)))
+    bucketed = bucketed.withColumn("_bucket", F.when(stray, F.floor(F.col("_loose") / CHUNK_ROWS)).otherwise(F.col("_bucket")))
+    counts = bucketed.where(~stray).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     over_key = Window.partitionBy(*keys)
     before = over_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -59,10 +73,10 @@ def with_position(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(over_key).alias(LEN),
     )
-    local = Window.partitionBy(*keys, "_bucket").orderBy(order, *tiebreak)
-    position = F.col("_offset") + F.row_number().over(local) - F.lit(1)
-    joined = bucketed.join(stage(offsets, "offsets"), [*keys, "_bucket"])
-    return joined.select(*[F.col(c) for c in df.columns], F.col(LEN), position.alias(POS))
+    local = Window.partitionBy(*keys, "_bucket", stray).orderBy(order, *tiebreak)
+    position = F.coalesce(F.col("_loose"), F.col("_offset") + F.row_number().over(local) - F.lit(1))
+    joined = bucketed.join(stage(offsets, "offsets"), [*keys, "_bucket"], "left")
+    return joined.select(*[F.col(c) for c in df.columns], F.when(~stray, F.col(LEN)).alias(LEN), position.alias(POS))
 
 
 def drop_position(df: DataFrame) -> DataFrame:
@@ -73,6 +87,11 @@ def chunk_of(rows: int) -> Column:
     return F.floor(F.col(POS) / F.lit(rows)).cast("long")
 
 
+def in_series() -> Column:
+    """Whether the row has a place in a series, that is a key and a time."""
+    return F.col(LEN).isNotNull()
+
+
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Give every row its chunk, and also the chunks whose frames reach it.
 
@@ -85,7 +104,7 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, chunk_rows: int =
     offset = F.col(POS) - own * F.lit(chunk_rows)
     targets = [own]
     if before:  # rows at the end of a chunk are looked back at from the next one
-        targets.append(F.when(offset >= chunk_rows - before, own + 1))
+        targets.append(F.when((offset >= chunk_rows - before) & in_series(), own + 1))
     if after:  # rows at the start are looked ahead at from the previous one
         targets.append(F.when((offset < after) & (own > 0), own - 1))
     if len(targets) == 1:
@@ -112,7 +131,7 @@ def neighbours(
 ) -> DataFrame:
     """Add ``_prev_<c>`` and ``_next_<c>``: struct(pos, val) of the nearest non-null value.
 
-    The row itself counts on both sides. ``df`` must carry positions. The look-ahead is a
+    The row itself counts on both sides; rows of no series have no neighbours. ``df`` must carry positions. The look-ahead is a
     running frame over descending order; an unbounded-following frame would be quadratic.
     """
     keys = list(keys)
@@ -120,7 +139,7 @@ def neighbours(
     def pair(pos: Column, val: Column) -> Column:
         return F.when(pos.isNotNull(), F.struct(pos.alias("pos"), val.alias("val")))
 
-    known = {c: F.when(F.col(c).isNotNull(), F.col(POS)) for c in cols}
+    known = {c: F.when(F.col(c).isNotNull() & in_series(), F.col(POS)) for c in cols}
     point = {c: pair(known[c], F.col(c)) for c in cols}
     chunked = df.withColumn(CHUNK, chunk_of(chunk_rows))
     # plain numbers, not structs, keep this a hash aggregate
@@ -128,7 +147,7 @@ def neighbours(
     for c in cols:
         numbers += [F.min(known[c]).alias(f"_fp_{c}"), F.min_by(c, known[c]).alias(f"_fv_{c}")]
         numbers += [F.max(known[c]).alias(f"_lp_{c}"), F.max_by(c, known[c]).alias(f"_lv_{c}")]
-    ends = chunked.groupBy(*keys, CHUNK).agg(*numbers).select(
+    ends = chunked.where(in_series()).groupBy(*keys, CHUNK).agg(*numbers).select(
         *keys,
         CHUNK,
         *[pair(F.col(f"_fp_{c}"), F.col(f"_fv_{c}")).alias(f"_first_{c}") for c in cols],
@@ -144,7 +163,7 @@ def neighbours(
     )
     asc = Window.partitionBy(*keys, CHUNK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     desc = Window.partitionBy(*keys, CHUNK).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = chunked.join(stage(carried, "carried"), [*keys, CHUNK])
+    joined = chunked.join(stage(carried, "carried"), [*keys, CHUNK], "left")
     return joined.select(
         *[F.col(n) for n in df.columns],
         *[F.coalesce(F.last(point[c], True).over(asc), F.col(f"_in_{c}")).alias(f"_prev_{c}") for c in cols],
@@ -163,14 +182,14 @@ def densify(
 ) -> DataFrame:
     """Complete grid per series from its first to its last time; new cells are null or 0.
 
-    ``df`` has one row per (key, time) on the grid. Grid rows come from the first and last
+    ``df`` has one row per (key, time) on the grid; rows without a key or time have no cell and go. Grid rows come from the first and last
     time of each key, so what is shuffled besides the data is the grid itself. ``df`` is
     read twice: ``stage`` may store it when it is the result of a large aggregate.
     ``keep_position`` adds the positions, which cost nothing on a grid.
     """
     keys = list(keys)
     df = stage(df, "sparse")
-    span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    span = df.dropna(subset=keys).groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     times = span.withColumn("_grid", F.sequence(F.col("_lo"), F.col("_hi"), F.expr(f"INTERVAL {step}")))
     if keep_position:
         times = times.withColumn(LEN, F.size("_grid").cast("long"))

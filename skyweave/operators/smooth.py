@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fill import carry_fill
-from .series import CHUNK_ROWS, LEN, POS, chunk_window, drop_position, home_rows, with_halo, with_position
+from .series import CHUNK_ROWS, LEN, POS, chunk_window, drop_position, home_rows, in_series, with_halo, with_position
 
 
 def fit_weights(window: int, poly: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def savgol(
     """Add ``<c><suffix>``: the value of a local least-squares polynomial.
 
     Rows closer than half a window to an end take the fit of the first or last full window.
-    A series shorter than the window gets a centred 5-row mean of the unfilled values.
+    A series shorter than the window gets a centred 5-row mean of the unfilled values. Rows without a key or time get null.
     """
     cols = [c for c in cols if c in df.columns]
     half, edge = window // 2, window - 1
@@ -72,7 +72,7 @@ def savgol(
             tail = _dot(weights[window - 1 - p], [shifted[p - edge + j][c] for j in range(window)])
             smooth = smooth.when(F.col(POS) == p, head).when(from_end == p, tail)
         middle = _dot(weights[half], [shifted[j - half][c] for j in range(window)])
-        out[f"{c}{suffix}"] = smooth.otherwise(middle)
+        out[f"{c}{suffix}"] = F.when(in_series(), smooth.otherwise(middle))
     kept = home_rows(wide, chunk_rows)
     base = [F.col(f"_raw_{n}").alias(n) if n in cols else F.col(n) for n in placed.columns]
     done = kept.select(*base, *[e.alias(n) for n, e in out.items()])

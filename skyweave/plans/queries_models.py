@@ -206,7 +206,7 @@ def isolation_forest(spark, sf):
 
 @query("stl_residual", "M-03")
 def stl_residual(spark, sf):
-    return stl_daily(daily_series(spark, sf), ["PM2_5", "NO2"])
+    return stl_daily(daily_series(spark, sf), ["PM2_5", "PM10", "NO2"])
 
 
 @query("event_classifier", "M-05 M-06 T-04 T-05")

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from skyweave.operators import forest as fo
 from skyweave.operators import models
-from skyweave.operators.decompose import classical_daily, residual_sigma, stl_daily, stl_parts
+from skyweave.operators.decompose import classical_daily, residual_sigma, stl_daily
 from skyweave.plans import stages
 from skyweave.session import shared_path, stage_table
 from skyweave.sources import files, views
+from tests.stl_reference import stl_parts
 
 
 def signal(n, seed=0):
@@ -51,6 +52,27 @@ def test_a_pure_weekly_pattern_leaves_nothing():
     assert np.abs(rest).max() < 1e-6 and trend == pytest.approx(np.full(len(y), np.mean(y)), abs=0.2)
 
 
+@pytest.mark.parametrize("robust, chunk_rows", [(True, 170), (False, 400)])
+def test_distributed_stl_equals_the_procedure(spark, robust, chunk_rows):
+    rng = np.random.default_rng(11)
+    series = {"long": signal(700, 1), "flat": np.full(90, 3.0), "short": signal(64, 2), "weekly": np.tile([1.0, 2, 3, 4, 3, 2, 1], 30), "sparse": signal(300, 4) + np.where(rng.random(300) < 0.1, 50.0, 0.0), None: signal(130, 3)}
+    series["long"][rng.integers(0, 700, 30)] += 40
+    day = dt.date(2020, 1, 1)
+    rows = [(c, day + dt.timedelta(days=i), float(v), float(-v)) for c, y in series.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "city string, date date, NO2 double, AOD double").repartition(5)
+    out = stl_daily(df, ["NO2", "AOD"], robust=robust, chunk_rows=chunk_rows).toPandas().sort_values("date")
+    assert len(out) == 2 * len(rows)
+    for city, y in series.items():
+        for name, sign in (("NO2", 1), ("AOD", -1)):
+            got = out[(out["city"].isna() if city is None else out["city"] == city) & (out["series"] == name)]
+            if city is None:
+                assert got[["trend", "seasonal", "residual"]].isna().all().all()
+                continue
+            trend, season, rest = stl_parts(sign * y, robust=robust)
+            for column, want in (("trend", trend), ("seasonal", season), ("residual", rest)):
+                np.testing.assert_allclose(got[column], want, atol=1e-6, err_msg=f"{city} {name} {column}")
+
+
 def test_short_series_have_no_residual(spark):
     day = dt.date(2024, 1, 1)
     rows = [(c, day + dt.timedelta(days=i), float(v)) for c, n in (("short", 59), ("long", 60)) for i, v in enumerate(signal(n))]

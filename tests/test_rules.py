@@ -128,7 +128,7 @@ def test_quantile_is_exact_while_narrowing(spark, ties, quant):
     v = rng.lognormal(0, 2, 3000)
     v = np.where(rng.random(3000) < 0.4, 1.0, v.round(1)) if ties else v
     df = spark.createDataFrame([(float(x), None) for x in v], "v double, e double")
-    got = exact_quantiles(df, ["v", "e"], quant, small=20, splits=8)
+    got = exact_quantiles(df, ["v", "e"], quant, accuracy=20)
     assert got["v"] == pytest.approx(np.quantile(v, quant), rel=1e-12) and got["e"] is None
 
 

@@ -1,5 +1,7 @@
 """Positions, halos, filling, smoothing and frames against pandas, across chunk borders."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -214,3 +216,23 @@ def test_empty_input_gives_empty_output(spark):
     assert fill_gaps(empty, ["x"]).count() == 0
     assert savgol(empty, ["x"]).count() == 0
     assert lags_and_rolls(empty, ["x"], [1], ["x"]).count() == 0
+
+
+def test_rows_without_key_or_time_stay(spark):
+    t = [dt.datetime(2024, 1, 1, i) for i in range(5)]
+    rows = [("a", t[i], float(i)) for i in range(5)] + [(None, t[0], 7.0), (None, t[1], None), ("a", None, 8.0), (None, None, 9.0)]
+    df = spark.createDataFrame(rows, "city string, datetime timestamp_ntz, x double")
+    many = df.unionByName(spark.range(9000).selectExpr("CAST(NULL AS STRING) AS city", "CAST(NULL AS TIMESTAMP_NTZ) AS datetime", "CAST(id AS DOUBLE) AS x"))
+    for source in (df, many):
+        out = lags_and_rolls(source, ["x"], [1], ["x"]).where("x IS NULL OR x < 10").distinct().toPandas()
+        loose = out[out["city"].isna() | out["datetime"].isna()]
+        assert loose[["x_lag1", "x_roll6_mean", "x_roll6_std"]].isna().all().all()
+        series = out.dropna(subset=["city", "datetime"]).sort_values("datetime")
+        assert series["x_lag1"].tolist()[1:] == [0.0, 1.0, 2.0, 3.0] and series["x_roll6_mean"].tolist() == [0.0, 0.5, 1.0, 1.5, 2.0]
+    assert lags_and_rolls(df, ["x"], [1], ["x"]).count() == 9 and lags_and_rolls(many, ["x"], [1], ["x"]).count() == 9009
+    filled = fill_gaps(df, ["x"]).toPandas()
+    assert len(filled) == 9 and sorted(filled["x"]) == [0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 7.0, 8.0, 9.0]
+    smooth = savgol(df, ["x"]).toPandas()
+    assert len(smooth) == 9 and smooth["x_smooth"].notna().sum() == 5
+    sizes = with_position(many).where("_len IS NULL").selectExpr("floor(_pos / 4096) AS c").groupBy("c").count().toPandas()
+    assert sizes["count"].max() <= 4096
