@@ -136,13 +136,17 @@ def fit_forest(
     return samples.groupBy(*keys, "tree").applyInPandas(grow, schema)
 
 
-def _mean_depth(x: np.ndarray, forest: pd.DataFrame) -> tuple[np.ndarray, float]:
+def _mean_depth(x: np.ndarray, forest: pa.Table) -> tuple[np.ndarray, float]:
+    """Mean depth of each row over the trees, whose node arrays are taken from the columns as they lie."""
+    nodes = {}
+    for name, kind in (("feature", np.int64), ("threshold", float), ("left", np.int64), ("right", np.int64), ("depth", float)):
+        column = forest.column(name).combine_chunks()
+        nodes[name] = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
     total = np.zeros(len(x))
     every = np.arange(len(x))
-    for _, t in forest.iterrows():
-        feature = np.asarray(t["feature"], dtype=np.int64)
-        threshold = np.asarray(t["threshold"], dtype=float)
-        left, right = np.asarray(t["left"], dtype=np.int64), np.asarray(t["right"], dtype=np.int64)
+    for a, b in zip(ends[:-1], ends[1:]):
+        feature, threshold, left, right, depth = (v[a:b] for v in nodes.values())
         at, going = np.zeros(len(x), dtype=np.int64), every
         while len(going):
             node = at[going]
@@ -150,8 +154,8 @@ def _mean_depth(x: np.ndarray, forest: pd.DataFrame) -> tuple[np.ndarray, float]
             going, node, f = going[f >= 0], node[f >= 0], f[f >= 0]
             if len(going):
                 at[going] = np.where(x[going, f] <= threshold[node], left[node], right[node])
-        total += np.asarray(t["depth"], dtype=float)[at]
-    return total / max(len(forest), 1), float(path_length(forest["rows"].to_numpy()).mean())
+        total += depth[at]
+    return total / max(forest.num_rows, 1), float(path_length(forest.column("rows").to_numpy()).mean())
 
 
 def score_forest(
@@ -181,7 +185,7 @@ def score_forest(
         raw = np.full(part.num_rows, np.nan)
         if part.num_rows and grown.num_rows:
             values = part.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            depth, expected = _mean_depth(values.reshape(part.num_rows, -1), grown.to_pandas())
+            depth, expected = _mean_depth(values.reshape(part.num_rows, -1), grown)
             raw = 0.5 - 2.0 ** (-depth / max(expected, 1e-12))
         return part.select(columns).append_column("raw", pa.array(raw, from_pandas=True))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CLASSES, label_of
 from ..session import Stage, lazy
-from .order_stats import below_counts
+from .order_stats import RANGE_ROWS, below_counts
 
 
 def _safe(num: Column, den: Column) -> Column:
@@ -85,17 +85,17 @@ def classification_report(pred: DataFrame) -> DataFrame:
     return rows.unionByName(overall.select(F.inline(tail)))
 
 
-def roc_auc_ovr(pred: DataFrame, prob: str = "prob", classes: Sequence[int] = tuple(range(len(CLASSES))), buckets: int = 64, stage: Stage = lazy) -> DataFrame:
+def roc_auc_ovr(pred: DataFrame, prob: str = "prob", classes: Sequence[int] = tuple(range(len(CLASSES))), rows: int = RANGE_ROWS) -> DataFrame:
     """One-vs-rest area under the curve per class that has positives and negatives.
 
     ``prob`` is an array of class probabilities. Every positive is credited with the
     negatives scored below it and half of those tied with it; scores are first reduced to
-    their distinct values, and the running counts are bucketed.
+    their distinct values and cut into ranges of about ``rows``. The predictions are read once.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("cls"), F.get(F.col(prob), F.lit(c)).alias("score"), (F.col("label") == c).cast("bigint").alias("pos")) for c in classes])
     long = pred.select(F.inline(pairs))
-    counts = stage(long.groupBy("cls", "score").agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg")), "scores")
-    ranked = below_counts(counts, "score", ["neg", "pos"], "cls", buckets)
+    counts = long.groupBy("cls", "score").agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
+    ranked = below_counts(counts, "score", ["neg", "pos"], "cls", rows)
     credit = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     area = ranked.groupBy("cls").agg(credit.alias("credit"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return area.filter((F.col("p") > 0) & (F.col("n") > 0)).select("cls", label_of("cls").alias("name"), (F.col("credit") / (F.col("p") * F.col("n"))).alias("auc"))
@@ -106,12 +106,12 @@ def macro_auc(auc: DataFrame) -> DataFrame:
 
 
 def regression_metrics(pred: DataFrame, target: str = "target_24h", value: str = "prediction") -> DataFrame:
-    """Mean absolute error and R squared in one pass (the target mean is a scalar subquery)."""
-    mean = pred.agg(F.avg(target)).scalar()
+    """Mean absolute error and R squared in one pass; the spread of the target is its population variance, which merges stably."""
     err = F.col(target) - F.col(value)
+    both = F.when(err.isNotNull(), F.col(target))
     return pred.agg(
         F.avg(F.abs(err)).alias("mae"),
-        (1 - F.try_divide(F.sum(err * err), F.sum((F.col(target) - mean) * (F.col(target) - mean)))).alias("r2"),
+        (1 - F.try_divide(F.avg(err * err), F.var_pop(both))).alias("r2"),
     )
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clip, nan_to_null
+from ..session import stage_table
 from .series import join_null_safe
 
 ACCURACY = 50_000
+RANGE_ROWS = 1_000_000
 
 
 def group_quantiles(df: DataFrame, by: Sequence[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
@@ -73,34 +75,38 @@ def clip_tail(df: DataFrame, limits: dict[str, float | None]) -> DataFrame:
     return df.withColumns({c: clip(c, 0.0, hi) for c, hi in limits.items() if hi is not None})
 
 
-def _bucket_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Index of the half-open range (cut[i-1], cut[i]] that holds the value, by halving."""
-    if not cuts:
-        return F.lit(0)
-    mid = len(cuts) // 2
-    left, right = list(cuts[:mid]), list(cuts[mid + 1 :])
-    return F.when(value <= F.lit(float(cuts[mid])), _bucket_of(value, left)).otherwise(
-        _bucket_of(value, right) + F.lit(mid + 1)
-    )
+def in_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` stored with ``_range``: consecutive stretches of the order by (``by``, ``order``) of about ``rows`` rows each.
+
+    The number of ranges follows the row count, and their borders follow the data, so a group of any size is cut like the
+    rest. ``order`` should tell rows apart. What is computed per range and summed over the ranges before it is a prefix sum.
+    """
+    df = stage_table(df, "unranged")
+    ranges = max(1, -(-df.count() // rows))
+    return stage_table(df.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def before_ranges(ranged: DataFrame, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """(by, _range, ``_o_<name>``...): each aggregate over the group's earlier ranges, and ``_all_<name>`` over all of them."""
+    parts = ranged.groupBy(*by, "_range").agg(*[c.alias(f"_s_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    return parts.select(*by, "_range", *offsets, *[F.sum(f"_s_{n}").over(group).alias(f"_all_{n}") for n in sums])
 
 
-def below_counts(df: DataFrame, value: str, weights: Sequence[str], group: str | None = None, buckets: int = 64) -> DataFrame:
+def below_counts(df: DataFrame, value: str, weights: Sequence[str], group: str | None = None, rows: int = RANGE_ROWS) -> DataFrame:
     """Sum of each weight over the rows with a smaller value, per distinct value.
 
-    ``df`` is pre-aggregated to distinct values per group. Cut points from a quantile sketch
-    over those balance the buckets whatever the distribution; running sums are taken inside
-    a bucket and offset by a running sum over the buckets (at most ``buckets`` rows a group).
+    Rows are reduced to distinct values per group and cut into ranges; running sums are taken inside a range and offset by
+    those of the ranges before it, so the work is even whatever the distribution and the size.
     """
     by = [group] if group else []
     keyed = df.groupBy(*by, value).agg(*[F.sum(w).alias(w) for w in weights])
-    cuts_at = [i / buckets for i in range(1, buckets)]
-    cuts = keyed.agg(F.percentile_approx(value, cuts_at, 10_000)).first()[0] or []
-    split = keyed.withColumn("_b", _bucket_of(F.col(value), sorted(set(cuts))))
-    over_b = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = split.groupBy(*by, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-    offsets = sums.select(*by, "_b", *[F.coalesce(F.sum(f"_s_{w}").over(over_b), F.lit(0)).alias(f"_o_{w}") for w in weights])
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = split.join(offsets, [*by, "_b"])
+    ranged = in_ranges(keyed, by, [value], rows)
+    offsets = before_ranges(ranged, by, {w: F.sum(w) for w in weights}).drop(*[f"_all_{w}" for w in weights])
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_null_safe(ranged, offsets, [*by, "_range"])
     return joined.select(
         *by,
         value,

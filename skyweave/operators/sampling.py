@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import RANGE_ROWS, before_ranges, in_ranges
+from .series import join_null_safe
+
 HASH_RANGE = 1 << 30
 
 
@@ -33,33 +36,17 @@ def training_sample(
     return df.filter((F.col(code) > 0) | (draw < F.lit(int(normal_fraction * draw_range))))
 
 
-def stratified_rank(
-    df: DataFrame,
-    stratum: str,
-    draw: Column,
-    draw_range: int,
-    ids: Sequence[str],
-    buckets: int = 8192,
-) -> DataFrame:
-    """Add ``_rank`` (1-based, in draw order) and ``_size`` within each stratum.
+def stratified_rank(df: DataFrame, stratum: str, draw: Column, ids: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``_rank`` (1-based, in draw order, ties by ``ids``) and ``_size`` within each stratum.
 
-    One class may hold nearly all rows, so it is ranked in ``buckets`` ranges of the draw:
-    counts per range, a running sum over them, and a row number inside each. Draws are
-    uniform, so the ranges are even; more ``buckets`` make them smaller.
+    One class may hold nearly all rows: classes are cut into ranges of draws of about ``rows`` rows, counts run over the
+    ranges, and a row number inside each. The dealt rows are stored.
     """
-    drawn = df.withColumn("_draw", draw)
-    drawn = drawn.withColumn("_b", F.floor(F.col("_draw") * F.lit(buckets) / F.lit(draw_range)).cast("int"))
-    counts = drawn.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    per = Window.partitionBy(stratum)
-    offsets = counts.select(
-        stratum,
-        "_b",
-        F.coalesce(F.sum("_n").over(per.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
-        F.sum("_n").over(per).alias("_size"),
-    )
-    local = Window.partitionBy(stratum, "_b").orderBy("_draw", *ids)
-    ranked = drawn.join(offsets, [stratum, "_b"]).withColumn("_rank", F.col("_o") + F.row_number().over(local))
-    return ranked.drop("_draw", "_b", "_o")
+    ranged = in_ranges(df.withColumn("_draw", draw), [stratum], ["_draw", *ids], rows)
+    counts = before_ranges(ranged, [stratum], {"n": F.count(F.lit(1))})
+    local = Window.partitionBy(stratum, "_range").orderBy("_draw", *ids)
+    ranked = join_null_safe(ranged, counts, [stratum, "_range"]).withColumn("_rank", F.col("_o_n") + F.row_number().over(local))
+    return ranked.withColumnRenamed("_all_n", "_size").drop("_draw", "_range", "_o_n")
 
 
 def stratified_split(
@@ -69,11 +56,11 @@ def stratified_split(
     test: float = 0.2,
     seed: int = 42,
     draw: Column | None = None,
-    draw_range: int = HASH_RANGE,
+    rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add ``is_test``: the same share of every class, to the row."""
     draw = hash_of(ids, seed) if draw is None else draw
-    ranked = stratified_rank(df, stratum, draw, draw_range, ids)
+    ranked = stratified_rank(df, stratum, draw, ids, rows)
     return ranked.withColumn("is_test", F.col("_rank") <= F.floor(F.col("_size") * F.lit(test) + F.lit(0.5))).drop("_rank", "_size")
 
 
@@ -89,11 +76,11 @@ def stratified_folds(
     folds: int = 5,
     seed: int = 42,
     draw: Column | None = None,
-    draw_range: int = HASH_RANGE,
+    rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Add ``fold``; every class is dealt out evenly."""
     draw = hash_of(ids, seed) if draw is None else draw
-    ranked = stratified_rank(df, stratum, draw, draw_range, ids)
+    ranked = stratified_rank(df, stratum, draw, ids, rows)
     return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(folds)).cast("int")).drop("_rank", "_size")
 
 

@@ -190,12 +190,16 @@ def densify(
     keys = list(keys)
     df = stage(df, "sparse")
     span = df.dropna(subset=keys).groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    times = span.withColumn("_grid", F.sequence(F.col("_lo"), F.col("_hi"), F.expr(f"INTERVAL {step}")))
-    if keep_position:
-        times = times.withColumn(LEN, F.size("_grid").cast("long"))
-        grid = times.select(*keys, LEN, F.posexplode("_grid").alias(POS, order)).withColumn(POS, F.col(POS).cast("long"))
-    else:
-        grid = times.select(*keys, F.explode("_grid").alias(order))
+    # a long grid is laid out block by block: no row holds more than a block of steps
+    kind, one = dict(df.dtypes)[order], f"INTERVAL {step}"
+    blocks = span.withColumn("_blocks", F.expr(f"sequence(_lo, _hi, {one} * {CHUNK_ROWS})"))
+    last = F.expr(f"size(sequence(element_at(_blocks, -1), _hi, {one}))")
+    blocks = blocks.withColumn(LEN, ((F.size("_blocks") - 1) * CHUNK_ROWS + last).cast("long"))
+    blocks = blocks.select(*keys, "_hi", LEN, F.posexplode("_blocks").alias("_block", "_from"))
+    steps = F.expr(f"sequence(_from, least(_hi, CAST(_from + {one} * {CHUNK_ROWS - 1} AS {kind})), {one})")
+    grid = blocks.select(*keys, LEN, "_block", F.posexplode(steps).alias("_step", order))
+    place = (F.col("_block").cast("long") * CHUNK_ROWS + F.col("_step")).alias(POS)
+    grid = grid.select(*keys, order, *([LEN, place] if keep_position else []))
     out = grid.join(df, [*keys, order], "left")
     if zero:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(dict(df.dtypes)[c])) for c in zero})

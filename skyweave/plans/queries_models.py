@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -11,7 +12,8 @@ from ..operators import metrics, models, sampling
 from ..operators.decompose import stl_daily
 from ..operators.features import POLLUTANTS, WEATHER, lags_and_rolls, pointwise_features
 from ..operators.fill import fill_gaps
-from ..operators.forest import ANOMALY_FEATURES, anomaly_scores
+from ..operators.forest import ANOMALY_FEATURES, anomaly_scores, score_forest
+from ..operators.metrics import min_max_score
 from ..session import shared_path, stage_table
 from ..sources import views
 from . import reports
@@ -54,13 +56,13 @@ _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d
 
 @query("stratified_split", "T-05", sql([PREDICTIONS, _RANKED, "x AS (SELECT row_id, label, r <= floor(n * 0.2::DOUBLE + 0.5::DOUBLE) AS is_test FROM ranked)"], "row_id n:label is_test", "x"))
 def stratified_split(spark, sf):
-    return sampling.stratified_split(_predictions(spark, sf), "label", ["row_id"], draw=F.col("draw"), draw_range=MIX).select("row_id", "label", "is_test")
+    return sampling.stratified_split(_predictions(spark, sf), "label", ["row_id"], draw=F.col("draw")).select("row_id", "label", "is_test")
 
 
 @query("stratified_folds", "T-06", sql([PREDICTIONS, _RANKED, "x AS (SELECT row_id, label, (r - 1) % 5 AS fold FROM ranked)"], "row_id n:label n:fold", "x"))
 def stratified_folds(spark, sf):
     rows = _predictions(spark, sf).drop("fold")
-    return sampling.stratified_folds(rows, "label", ["row_id"], draw=F.col("draw"), draw_range=MIX).select("row_id", "label", "fold")
+    return sampling.stratified_folds(rows, "label", ["row_id"], draw=F.col("draw")).select("row_id", "label", "fold")
 
 
 @query("random_split_share", "T-05")
@@ -182,7 +184,7 @@ def fold_summary(spark, sf):
 def forecast_error(spark, sf):
     from ..operators.features import lead_target
 
-    rows = lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5", "_pos"), chunk_rows=256)
+    rows = lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5", "_pos", "_len"), chunk_rows=256).drop("_len")
     return metrics.regression_metrics(rows.na.drop(), value="PM2_5")
 
 
@@ -199,9 +201,41 @@ def model_features(spark, sf):
 
 @query("isolation_forest", "M-01 M-02")
 def isolation_forest(spark, sf):
-    rows = stage_table(pointwise_features(staged_base(spark, sf).drop("anomaly_score")), "points")
-    feats = [f for f in ANOMALY_FEATURES if f in rows.columns]
-    return anomaly_scores(rows, feats).select("city", "datetime", "anomaly_score", "is_anomaly")
+    rows = pointwise_features(staged_base(spark, sf).drop("anomaly_score"))
+    rows = stage_table(lags_and_rolls(rows, [], [], ["PM2_5", "NO2", "SO2"], means=()), "points")
+    return anomaly_scores(rows, ANOMALY_FEATURES).select("city", "datetime", "anomaly_score", "is_anomaly")
+
+
+_FOREST_FEATURES = ["NO2", "SO2", "CO", "O3", "PM2_5", "PM10", "AOD", "fire_count"]
+
+
+@query(
+    "forest_scores",
+    "M-01 M-02",
+    sql(
+        [
+            BASE,
+            f"v AS (SELECT city, datetime, [{', '.join(f'coalesce({f}, 0)' for f in _FOREST_FEATURES)}] AS x FROM base)",
+            "d AS (SELECT city, datetime, avg(CASE WHEN x[t % 8 + 1] <= t % 50 * 2.5::DOUBLE THEN 1 + t % 3 WHEN x[(t + 3) % 8 + 1] <= t % 7 * 1.5::DOUBLE THEN 2 + t % 2 ELSE 3.5::DOUBLE END) AS depth "
+            "FROM v, (SELECT unnest(range(300)) AS t) GROUP BY 1, 2)",
+            "r AS (SELECT city, datetime, 0.5::DOUBLE - pow(2.0::DOUBLE, -depth / (2 * (ln(255.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * 255.0::DOUBLE / 256)) AS raw FROM d)",
+            "x AS (SELECT *, 1 - (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w + 1e-9::DOUBLE) AS anomaly_score FROM r WINDOW w AS (PARTITION BY city))",
+        ],
+        "city t:datetime f:raw f:anomaly_score",
+        "x",
+    ),
+)
+def forest_scores(spark, sf):
+    """All rows through 300 trees of three levels whose nodes follow a rule, so that SQL can say the depth."""
+    rows = staged_base(spark, sf).select("city", "datetime", *_FOREST_FEATURES)
+    t = F.col("tree")
+    numbers = {"feature": [t % 8, -1, (t + 3) % 8, -1, -1], "left": [1, 1, 3, 3, 4], "right": [2, 1, 4, 3, 4]}
+    decimals = {"threshold": [t % 50 * 2.5, 0, t % 7 * 1.5, 0, 0], "depth": [0, 1 + t % 3, 0, 2 + t % 2, 3.5]}
+    nodes = [F.array(*[(F.lit(v) if not isinstance(v, Column) else v).cast(kind) for v in vs]).alias(n) for kind, group in (("int", numbers), ("double", decimals)) for n, vs in group.items()]
+    trees = rows.select("city").distinct().withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(299))))
+    trees = stage_table(trees.select("city", "tree", F.lit(256).alias("rows"), *nodes), "trees")
+    scored = stage_table(score_forest(rows, trees, _FOREST_FEATURES), "scored")
+    return min_max_score(scored, "raw", name="anomaly_score", stage=stage_table).select("city", "datetime", "raw", "anomaly_score")
 
 
 @query("stl_residual", "M-03")

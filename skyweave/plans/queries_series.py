@@ -156,7 +156,7 @@ def lags_rolls(spark, sf):
 
 @query("lead_target", "W-06", sql([BASE, "x AS (SELECT city, datetime, PM2_5, lead(PM2_5, 24) OVER (PARTITION BY city ORDER BY datetime) AS target_24h FROM base)"], "city t:datetime f:PM2_5 f:target_24h", "x"))
 def lead_24(spark, sf):
-    return lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5", POS), chunk_rows=CHUNK)
+    return lead_target(staged_base(spark, sf).select("city", "datetime", "PM2_5", POS, LEN), chunk_rows=CHUNK)
 
 
 @query(
@@ -250,7 +250,7 @@ def trailing(spark, sf):
     sql([BASE, "x AS (SELECT city, datetime, NO2 - avg(NO2) OVER (PARTITION BY city ORDER BY datetime ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS NO2_residual FROM base)"], "city t:datetime f:NO2_residual", "x"),
 )
 def centred(spark, sf):
-    return centred_residual(staged_base(spark, sf).select("city", "datetime", "NO2", POS), "NO2", chunk_rows=CHUNK).select("city", "datetime", "NO2_residual")
+    return centred_residual(staged_base(spark, sf).select("city", "datetime", "NO2", POS, LEN), "NO2", chunk_rows=CHUNK).select("city", "datetime", "NO2_residual")
 
 
 def _momentum_sql() -> tuple[str, list[str]]:

@@ -15,7 +15,7 @@ from skyweave.functions.labels import code_of, label_of
 from skyweave.functions.scoring import score_readings, synthesize_features
 from skyweave.operators import events as ev
 from skyweave.operators import metrics, sampling
-from skyweave.operators.order_stats import below_counts, clip_tail, exact_quantiles, tail_limits
+from skyweave.operators.order_stats import below_counts, clip_tail, exact_quantiles, in_ranges, tail_limits
 from skyweave.operators.smooth import fit_weights
 from skyweave.sources import reshape
 
@@ -143,11 +143,20 @@ def test_below_counts_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [("g" if rng.random() < 0.8 else "h", float(round(rng.random() ** 4, 2)), int(rng.integers(0, 3))) for _ in range(800)]
     df = spark.createDataFrame(rows, "k string, v double, n long")
-    got = below_counts(df, "v", ["n"], "k", buckets=7).collect()
+    got = below_counts(df, "v", ["n"], "k", rows=3).collect()
     for r in got:
         assert r["n_below"] == sum(n for k, v, n in rows if k == r["k"] and v < r["v"])
 
 
+def test_ranges_follow_the_rows_and_cut_a_hot_group(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, 1).when(F.col("id") % 101 == 0, None).otherwise(0).alias("k"))
+    sizes = in_ranges(df, ["k"], ["id"], 500).groupBy("k", "_range").count()
+    assert sizes.agg(F.max("count")).first()[0] < 1500 and sizes.where("k = 0").count() > 30
+    split = sampling.stratified_split(df, "k", ["id"], 0.2, rows=500)
+    whole = sampling.stratified_split(df, "k", ["id"], 0.2)
+    assert split.count() == 20_000 and split.exceptAll(whole).count() == 0
+
+
 def brute_auc(score, pos):
     p, n = score[pos], score[~pos]
     return ((p[:, None] > n).sum() + 0.5 * (p[:, None] == n).sum()) / (len(p) * len(n))
@@ -158,7 +167,7 @@ def test_auc_equals_brute_force_and_flips(spark):
     label = rng.integers(0, 3, 600)
     prob = np.round(rng.random((600, 5)), 2)
     make = lambda p: spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(label, p)], "label int, prob array<double>")
-    got = {r["cls"]: r["auc"] for r in metrics.roc_auc_ovr(make(prob), buckets=5).collect()}
+    got = {r["cls"]: r["auc"] for r in metrics.roc_auc_ovr(make(prob), rows=7).collect()}
     assert sorted(got) == [0, 1, 2]  # classes without positives are left out
     for c, auc in got.items():
         assert auc == pytest.approx(brute_auc(prob[:, c], label == c))

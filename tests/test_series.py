@@ -236,3 +236,14 @@ def test_rows_without_key_or_time_stay(spark):
     assert len(smooth) == 9 and smooth["x_smooth"].notna().sum() == 5
     sizes = with_position(many).where("_len IS NULL").selectExpr("floor(_pos / 4096) AS c").groupBy("c").count().toPandas()
     assert sizes["count"].max() <= 4096
+
+
+@pytest.mark.parametrize("step, count, hours", [("1 second", 20_000, 1 / 3600), ("7 hours", 9_000, 7)])
+def test_long_grids_are_laid_out_in_blocks(spark, step, count, hours):
+    first = dt.datetime(2024, 1, 1, 5)
+    last = first + dt.timedelta(hours=hours) * (count - 1)
+    df = spark.createDataFrame([("a", first, 1.0), ("a", last, 2.0), ("b", first, 3.0), (None, first, 4.0), ("a", None, 5.0)], "city string, datetime timestamp_ntz, x double")
+    out = densify(df, step=step, keep_position=True).toPandas().sort_values(["city", "_pos"])
+    a = out[out["city"] == "a"]
+    assert len(out) == count + 1 and a["_pos"].tolist() == list(range(count)) and set(a["_len"]) == {count}
+    assert a["datetime"].tolist() == [first + dt.timedelta(hours=hours) * i for i in range(count)] and a["x"].notna().sum() == 2
