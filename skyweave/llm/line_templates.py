@@ -73,20 +73,23 @@ def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
     return lines.select("*", F.xxhash64("n", *lead).alias("leaf"), F.xxhash64("tokens").alias("f1"), F.xxhash64(F.lit(1), "tokens").alias("f2"))
 
 
-def _bitmap(df: DataFrame, column: str) -> bytes:
-    """2^23 bits, those of the column's values set; 2^20 bytes at most reach the driver, in words of 8."""
+def _bitmap(df: DataFrame, column: str) -> Column:
+    """2^23 bits, those of the column's values set, as a scalar subquery over a stored row of 2^17 numbers.
+
+    2^20 bytes at most reach the driver; no plan carries them, as Spark keeps the text of finished plans.
+    """
     words = df.groupBy(F.expr(f"shiftright({column} & {BITS - 1}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("b")).collect()
-    out = bytearray(BITS >> 3)
+    out = [0] * (BITS >> 6)
     for r in words:
-        out[8 * r["w"] : 8 * r["w"] + 8] = (r["b"] & (1 << 64) - 1).to_bytes(8, "little")
-    return bytes(out)
+        out[r["w"]] = r["b"]
+    return stage_table(df.sparkSession.createDataFrame([(out,)], "bits array<bigint>"), "template-bits").scalar()
 
 
-def _held(bitmap: bytes, column: str) -> Column:
+def _held(bitmap: Column, column: str) -> Column:
     """Whether the value's bit is set."""
     bit = F.col(column).bitwiseAND(F.lit(BITS - 1))
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), bit.bitwiseAND(F.lit(7)).cast("int") + 1)) != 0
+    word = F.get(bitmap, F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
 
 
 def _generalised(docs: DataFrame, forms: DataFrame, depth: int, least: int, share: float) -> DataFrame:
