@@ -76,13 +76,12 @@ def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
 def _bitmap(df: DataFrame, column: str) -> Column:
     """2^23 bits, those of the column's values set, as a scalar subquery over a stored row of 2^17 numbers.
 
-    2^20 bytes at most reach the driver; no plan carries them, as Spark keeps the text of finished plans.
+    One row of 2^20 bytes whatever the size; no plan carries it, as Spark keeps the text of finished plans.
     """
-    words = df.groupBy(F.expr(f"shiftright({column} & {BITS - 1}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("b")).collect()
-    out = [0] * (BITS >> 6)
-    for r in words:
-        out[r["w"]] = r["b"]
-    return stage_table(df.sparkSession.createDataFrame([(out,)], "bits array<bigint>"), "template-bits").scalar()
+    words = df.groupBy(F.expr(f"shiftright({column} & {BITS - 1}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("b"))
+    every = df.sparkSession.range(BITS >> 6).withColumnRenamed("id", "w").join(words, "w", "left")
+    row = every.agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))).alias("bits"))
+    return stage_table(row.select(F.col("bits.b").alias("bits")), "template-bits").scalar()
 
 
 def _held(bitmap: Column, column: str) -> Column:
