@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clip
 from ..functions.labels import CLASSES, label_of
 from ..session import Stage, stage_table
+from .boosting import Boosted, boosted_scores, fit_boosted
 from .features import lead_target
 from .forest import ANOMALY_FEATURES
 from .metrics import classification_metrics, fold_summary
@@ -65,58 +66,46 @@ def fit_classifier(
     feats: Sequence[str] = tuple(CLASSIFIER_FEATURES),
     label: str = "event_code",
     algo: str = "rf",
-    trees: int = 100,
+    trees: int | None = None,
     depth: int = 6,
     rate: float = 0.04,
     subsample: float = 0.8,
+    columns: float = 0.75,
     seed: int = 42,
-) -> PipelineModel:
-    """A fitted model that gives one probability per class.
+) -> PipelineModel | Boosted:
+    """A fitted model that gives one probability per class; classes weigh inversely to their counts.
 
-    ``rf`` is one multi-class forest. ``gbt`` boosts one class against the rest for every
-    class (Spark's boosting is binary); ``class_probabilities`` normalises their answers.
+    ``rf`` is a forest (100 trees), ``gbt`` one boosting over all classes by softmax (500 rounds), each tree on a
+    share ``columns`` of the features.
     """
     feats = available(df, feats)
-    data = with_class_weights(zero_filled(df, feats), label)
-    assemble = VectorAssembler(inputCols=[f"_x_{f}" for f in feats], outputCol="_features")
-    if algo == "rf":
-        stages = [
-            RandomForestClassifier(
-                featuresCol="_features", labelCol=label, weightCol="_weight", numTrees=trees, maxDepth=depth,
-                subsamplingRate=subsample, seed=seed, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-            )
-        ]
-    elif algo == "gbt":
-        stages = []
-        for code in range(len(CLASSES)):
-            data = data.withColumn(f"_is_{code}", (F.col(label) == code).cast("double"))
-            boost = GBTClassifier(
-                featuresCol="_features", labelCol=f"_is_{code}", weightCol="_weight", maxIter=trees, maxDepth=depth,
-                stepSize=rate, subsamplingRate=subsample, seed=seed, predictionCol=f"_pred_{code}",
-            )
-            stages.append(boost.setProbabilityCol(f"_prob_{code}").setRawPredictionCol(f"_raw_{code}"))
-    else:
+    if algo == "gbt":
+        return fit_boosted(with_class_weights(df, label), feats, label, len(CLASSES), "_weight", rounds=trees or 500, depth=depth, rate=rate, subsample=subsample, columns=columns, seed=seed)
+    if algo != "rf":
         raise ValueError("algo is 'rf' or 'gbt'")
-    return Pipeline(stages=[assemble, *stages]).fit(data)
+    assemble = VectorAssembler(inputCols=[f"_x_{f}" for f in feats], outputCol="_features")
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol=label, weightCol="_weight", numTrees=trees or 100, maxDepth=depth,
+        subsamplingRate=subsample, seed=seed, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
+    )
+    return Pipeline(stages=[assemble, forest]).fit(with_class_weights(zero_filled(df, feats), label))
 
 
-def input_features(model: PipelineModel) -> list[str]:
+def input_features(model: PipelineModel | Boosted) -> list[str]:
     """The feature names a fitted (or loaded) model reads."""
+    if isinstance(model, Boosted):
+        return list(model.feats)
     return [c.removeprefix("_x_") for c in model.stages[0].getInputCols()]
 
 
-def class_probabilities(df: DataFrame, model: PipelineModel) -> DataFrame:
+def class_probabilities(df: DataFrame, model: PipelineModel | Boosted) -> DataFrame:
     """Add ``prob`` (array in class order) and ``model_code`` (its largest, first on a tie)."""
-    out = model.transform(zero_filled(df, input_features(model)))
-    if "_prob" in out.columns:
+    if isinstance(model, Boosted):
+        out = boosted_scores(df, model)
+    else:
         known = vector_to_array("_prob")
         prob = F.array(*[F.coalesce(F.get(known, F.lit(i)), F.lit(0.0)) for i in range(len(CLASSES))])
-    else:
-        each = F.array(*[vector_to_array(f"_prob_{i}")[1] for i in range(len(CLASSES))])
-        total = F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
-        prob = F.transform(each, lambda v: v / total)
-    out = _drop_inputs(out.withColumn("prob", prob))
-    out = out.drop(*[c for c in out.columns if c.startswith(("_prob", "_raw", "_pred", "_is_"))])
+        out = _drop_inputs(model.transform(zero_filled(df, input_features(model))).withColumn("prob", prob)).drop("_prob", "_raw", "_pred")
     return out.withColumn("model_code", (F.array_position("prob", F.array_max("prob")) - 1).cast("int"))
 
 
@@ -141,37 +130,27 @@ def forecast_rows(df: DataFrame, feats: Sequence[str] = tuple(FORECAST_FEATURES)
 def fit_forecast(
     train: DataFrame,
     feats: Sequence[str] = tuple(FORECAST_FEATURES),
-    trees: int = 50,
+    trees: int = 500,
     depth: int = 5,
     rate: float = 0.04,
     subsample: float = 0.8,
+    columns: float = 0.75,
     seed: int = 42,
-) -> PipelineModel:
+) -> Boosted:
     """Boosted regression of the value a day ahead."""
-    feats = available(train, feats)
-    assemble = VectorAssembler(inputCols=[f"_x_{f}" for f in feats], outputCol="_features")
-    boost = GBTRegressor(
-        featuresCol="_features", labelCol="target_24h", predictionCol="_forecast", maxIter=trees, maxDepth=depth,
-        stepSize=rate, subsamplingRate=subsample, seed=seed,
-    )
-    return Pipeline(stages=[assemble, boost]).fit(zero_filled(train, feats))
+    return fit_boosted(train, available(train, feats), "target_24h", rounds=trees, depth=depth, rate=rate, subsample=subsample, columns=columns, seed=seed)
 
 
-def apply_forecast(df: DataFrame, model: PipelineModel, lo: float = 0.0, hi: float = 1500.0, name: str = "forecast_pm25_24h") -> DataFrame:
+def apply_forecast(df: DataFrame, model: Boosted, lo: float = 0.0, hi: float = 1500.0, name: str = "forecast_pm25_24h") -> DataFrame:
     """Add the forecast, clipped to a plausible range."""
-    out = model.transform(zero_filled(df, input_features(model)))
-    return _drop_inputs(out.withColumn(name, clip("_forecast", lo, hi)).drop("_forecast"))
-
-
-def feature_importance(model: PipelineModel, k: int | None = 20) -> list[tuple[str, float]]:
-    """(feature, importance), largest first; boosted classifiers average over classes."""
-    names = input_features(model)
-    total = [0.0] * len(names)
-    trees = model.stages[1:]
-    for stage in trees:
-        for i, v in enumerate(stage.featureImportances.toArray()):
-            total[i] += float(v) / len(trees)
-    ranked = sorted(zip(names, total), key=lambda p: (-p[1], p[0]))
+    out = boosted_scores(df, model, "_forecast").withColumn("_forecast", F.col("_forecast")[0])
+    return out.withColumn(name, clip("_forecast", lo, hi)).drop("_forecast")
+
+
+def feature_importance(model: PipelineModel | Boosted, k: int | None = 20) -> list[tuple[str, float]]:
+    """(feature, importance), largest first: mean gain of a boosting's splits, impurity in a forest."""
+    values = model.importance() if isinstance(model, Boosted) else [float(v) for v in model.stages[1].featureImportances.toArray()]
+    ranked = sorted(zip(input_features(model), values), key=lambda p: (-p[1], p[0]))
     return ranked if k is None else ranked[:k]
 
 
@@ -195,9 +174,17 @@ def cross_validate(df: DataFrame, feats: Sequence[str] = tuple(CLASSIFIER_FEATUR
     return fold_summary(parts)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | Boosted, path: str) -> None:
+    if isinstance(model, Boosted):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | Boosted:
+    try:
+        return Boosted.load(SparkSession.active(), path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     return PipelineModel.load(path)

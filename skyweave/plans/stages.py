@@ -83,7 +83,7 @@ def detect(
 
 
 def train(
-    features: DataFrame, keys: Sequence[str] = ("city",), algo: str = "rf", classifier_trees: int = 100, forecast_trees: int = 50
+    features: DataFrame, keys: Sequence[str] = ("city",), algo: str = "gbt", classifier_trees: int = 500, forecast_trees: int = 500
 ):
     """Fit both models on their training parts: (classifier, forecast, test rows of each)."""
     ids = [*keys, "datetime"]
