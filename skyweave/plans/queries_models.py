@@ -16,7 +16,7 @@ from ..operators.forest import ANOMALY_FEATURES, anomaly_scores, score_forest
 from ..operators.metrics import min_max_score
 from ..session import shared_path, stage_table
 from ..sources import views
-from . import reports
+from . import reports, stages, validation
 from .oracle_views import BASE
 from .queries_clean import _CODE, _CONTINUOUS, _READINGS, daily_series, staged_base
 from .registry import query, sql
@@ -277,7 +277,7 @@ def label_override(spark, sf):
 @query("boosted_classifier", "M-05 M-09")
 def boosted_classifier(spark, sf):
     feats = model_features(spark, sf)
-    model = models.fit_classifier(feats, ANOMALY_FEATURES, algo="gbt", trees=3, depth=3)
+    model = models.fit_classifier(feats, algo="gbt", trees=5)
     pred = models.class_probabilities(feats, model).select(F.col("event_code").alias("label"), F.col("model_code").alias("pred"))
     return metrics.classification_metrics(pred)
 
@@ -297,7 +297,18 @@ def cross_validation(spark, sf):
     def fit(df, names):
         return models.fit_classifier(df, names, trees=5, depth=4)
 
-    return models.cross_validate(feats, ANOMALY_FEATURES, folds=3, fit=fit)
+    return models.cross_validate(feats, ANOMALY_FEATURES, fit=fit)
+
+
+@query("model_validation", "M-05 M-07 M-08 M-09 M-12 M-14")
+def model_validation(spark, sf):
+    """Both models fitted on their training parts and the figures of the held-out rows."""
+    feats = model_features(spark, sf)
+    classes, ahead = stage_table(stages.classifier_parts(feats), "parts"), stage_table(stages.forecast_parts(feats), "parts")
+    classifier = models.fit_classifier(classes.filter("NOT is_test"), trees=20)
+    forecast = models.fit_forecast(ahead.filter("NOT is_test"), trees=5)
+    predicted = stage_table(validation.class_predictions(classes, classifier), "predicted")
+    return validation.summary(validation.validation_tables(predicted, validation.forecast_predictions(ahead, forecast)))
 
 
 @query("feature_importance", "M-15 T-02")

@@ -82,16 +82,25 @@ def detect(
     return confirm_events(spike_flags(joined, RESIDUAL_COLUMNS, keys=keys, chunk_rows=chunk_rows))
 
 
+def classifier_parts(features: DataFrame, keys: Sequence[str] = ("city",)) -> DataFrame:
+    """The classifier's rows with ``is_test``, a fifth of every class."""
+    ids = [*keys, "datetime"]
+    return stratified_split(training_sample(features, ids), "event_code", ids)
+
+
+def forecast_parts(features: DataFrame, keys: Sequence[str] = ("city",)) -> DataFrame:
+    """The forecast's rows with ``is_test``, about 15 in a hundred."""
+    return random_split(forecast_rows(features, FORECAST_FEATURES, keys=keys), [*keys, "datetime"])
+
+
 def train(
     features: DataFrame, keys: Sequence[str] = ("city",), algo: str = "gbt", classifier_trees: int = 500, forecast_trees: int = 500
 ):
-    """Fit both models on their training parts: (classifier, forecast, test rows of each)."""
-    ids = [*keys, "datetime"]
-    sample = stratified_split(training_sample(features, ids), "event_code", ids)
+    """Fit both models on their training parts: (classifier, forecast, parts of each with ``is_test``)."""
+    sample, rows = classifier_parts(features, keys), forecast_parts(features, keys)
     classifier = fit_classifier(sample.filter(~F.col("is_test")), CLASSIFIER_FEATURES, algo=algo, trees=classifier_trees)
-    rows = random_split(forecast_rows(features, FORECAST_FEATURES, keys=keys), ids)
     forecast = fit_forecast(rows.filter(~F.col("is_test")), FORECAST_FEATURES, trees=forecast_trees)
-    return classifier, forecast, sample.filter("is_test"), rows.filter("is_test")
+    return classifier, forecast, sample, rows
 
 
 def run_features(spark: SparkSession, raw_path: str, events: DataFrame, out_path: str, keys: Sequence[str] = ("city",)) -> None:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from skyweave.operators import forest as fo
 from skyweave.operators import models
 from skyweave.operators.decompose import classical_daily, residual_sigma, stl_daily
-from skyweave.plans import stages
+from skyweave.plans import stages, validation
 from skyweave.session import shared_path, stage_table
 from skyweave.sources import files, views
 from tests.stl_reference import stl_parts
@@ -174,9 +175,15 @@ def test_feature_stage(spark, built, sf_dir):
     assert feats.select(*cols).exceptAll(unstaged.select(*cols)).count() == 0
 
 
-def test_model_stage(spark, built):
+@pytest.fixture(scope="module")
+def modelled(spark, built):
     out, saved = shared_path(spark, "results"), shared_path(spark, "models")
-    stages.run_model(spark, built, out, saved, classifier_trees=5, forecast_trees=3)
+    stages.run_model(spark, built, out, saved, classifier_trees=3, forecast_trees=3)
+    return out, saved
+
+
+def test_model_stage(spark, modelled):
+    out, saved = modelled
     res = files.read_table(spark, out)
     probs = sum((F.col(f"prob_{n}") for n in models.CLASSES), F.lit(0.0))
     assert res.filter(F.abs(probs - 1) > 1e-6).count() == 0
@@ -186,6 +193,43 @@ def test_model_stage(spark, built):
     assert models.input_features(model)[0] == "NO2" and len(models.feature_importance(model)) == 20
 
 
+def test_validation_stage(spark, built, modelled):
+    results, saved = modelled
+    out = shared_path(spark, "validation")
+
+    def fit(df, names):
+        return models.fit_classifier(df, names, trees=3, depth=3)
+
+    tables = validation.run_validation(spark, built, results, saved, views.event_windows(spark), out, folds=5, fit=fit)
+    tables = {n: t.toPandas() for n, t in tables.items()}
+    db = duckdb.connect()
+    pred = f"read_parquet('{out}/predictions/*.parquet')"
+    ahead = f"read_parquet('{out}/forecast_predictions/*.parquet')"
+    got = tables["train_test"].set_index("metric")
+    for part in ("train", "test"):
+        n, right = db.sql(f"SELECT count(*), count(*) FILTER (WHERE label = pred) FROM {pred} WHERE part = '{part}'").fetchall()[0]
+        assert n > 0 and got.loc["accuracy", part] == pytest.approx(right / n)
+    assert got.loc["accuracy", "gap"] == pytest.approx(got.loc["accuracy", "train"] - got.loc["accuracy", "test"])
+    cells = {(r.label, c): getattr(r, f"pred_{c}") for r in tables["confusion"].itertuples() for c in range(5)}
+    for label, code, n in db.sql(f"SELECT label, pred, count(*) FROM {pred} WHERE part = 'test' GROUP BY ALL").fetchall():
+        assert cells.pop((label, code)) == n
+    assert not any(cells.values())
+    for row in tables["auc"].itertuples():
+        won = f"""SELECT avg(CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END)
+                  FROM (SELECT prob[{row.cls + 1}] AS s FROM {pred} WHERE part = 'test' AND label = {row.cls}) a,
+                       (SELECT prob[{row.cls + 1}] AS s FROM {pred} WHERE part = 'test' AND label <> {row.cls}) b"""
+        assert row.auc == pytest.approx(db.sql(won).fetchall()[0][0])
+    mae, r2 = db.sql(f"SELECT avg(abs(target_24h - prediction)), 1 - avg((target_24h - prediction) ^ 2) / nullif(var_pop(target_24h), 0) FROM {ahead}").fetchall()[0]
+    assert tables["forecast"].iloc[0].tolist() == pytest.approx([mae, np.nan if r2 is None else r2], nan_ok=True)  # no spread, no R squared
+    assert set(tables["folds"]["metric"]) == {"accuracy", "f1_macro", "f1_weighted"} and (tables["folds"]["std"] >= 0).all()
+    assert len(tables["events"]) == views.event_windows(spark).count() and len(tables["importance"]) == 20
+    short = tables["summary"].set_index("metric")["value"]
+    assert len(short) == 12 and short["forecast_mae"] == pytest.approx(mae) and short["macro_auc"] == pytest.approx(tables["auc"]["auc"].mean())
+    # test rows are those that training left out
+    kept = stages.classifier_parts(files.read_table(spark, built)).filter("is_test").select("city", "datetime")
+    assert kept.count() == db.sql(f"SELECT count(*) FROM {pred} WHERE part = 'test'").fetchall()[0][0]
+
+
 def test_worker_code_travels_by_value():
     import subprocess
     import sys
