@@ -171,7 +171,7 @@ def measure(docs: DataFrame, pieces: str, ranks: str, pattern: str, carry: list[
     SentencePiece token), ``chars_per_byte_token`` (per byte-level BPE token), ``fallback_share`` (tokens that are single
     bytes) and ``entropy`` (bits per token within the text). Null text: no words. A text without tokens measures 0.
     """
-    columns = [F.struct(*carry).alias("document"), _language().alias("code"), _script().alias("script")]
+    columns = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("document"), _language().alias("code"), _script().alias("script")]
     if "text" not in carry:
         columns.append(F.col("text").alias("t"))
     rows = docs.select(*columns).withColumn("language", F.coalesce("code", "script")).drop("code")

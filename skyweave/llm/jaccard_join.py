@@ -355,9 +355,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each component: the least doc_id's (ties: by text hash), of repeated rows one.
 
-    Documents without words are linked with nothing and all stay. Options: see ``jaccard_components``.
+    Documents without words (null and empty texts among them) are linked with nothing and all stay. Null ``doc_id``: counts as the
+    largest. Any other columns, whatever their names, are kept. An empty table gives no rows. Options: see ``jaccard_components``.
     """
     stay = jaccard_components(docs, **options).where("first").groupBy(F.col("doc_id").alias("w_id"), F.col("h1").alias("w_h1"), F.col("h2").alias("w_h2")).agg(F.max("n_shingles").alias("w_n"))
-    keys = [F.col("doc_id").eqNullSafe(F.col("w_id")), F.xxhash64("text") == F.col("w_h1"), F.xxhash64(F.lit(1), "text") == F.col("w_h2")]
-    at = docs.join(stay, keys).withColumn("w_place", F.row_number().over(Window.partitionBy("w_id", "w_h1", "w_h2").orderBy("w_n")))
-    return at.where((F.col("w_n") == 0) | (F.col("w_place") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row is one struct, so that its names meet no others
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    keys = [F.col("id").eqNullSafe(F.col("w_id")), F.col("h1") == F.col("w_h1"), F.col("h2") == F.col("w_h2")]
+    at = rows.join(stay, keys).withColumn("place", F.row_number().over(Window.partitionBy("w_id", "w_h1", "w_h2").orderBy("w_n")))
+    return at.where((F.col("w_n") == 0) | (F.col("place") == 1)).select("document.*")

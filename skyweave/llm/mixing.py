@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from skyweave.session import stage_table
 WORD = r"[^\x20\x09-\x0D]+"
 # Passes over a pattern's distinct words at which a further word gets dearer: the cost of repetition is convex.
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16)
+CELL = ["pattern", "src"]
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[int], total: Fraction, most: int = 2) -> list[Fraction]:
@@ -126,36 +128,64 @@ def route(patterns: Sequence[tuple[int, dict[int, int]]], quotas: Sequence[int],
     return [{s: flow.room[e ^ 1] for s, e in of.items()} for of in edges]
 
 
-def _patterns(rows: DataFrame, most_patterns: int) -> tuple[list, dict[int, list], DataFrame | None]:
-    """Overlapping patterns (id, distinct words, words per source), single-source sums, and the pattern of each overlapping text."""
+def _patterns(rows: DataFrame, most_patterns: int, bundles: int) -> tuple[DataFrame, DataFrame, list, dict, list]:
+    """What texts several sources hold: their patterns, and what the driver routes.
+
+    ``texts`` (h1, h2, pattern) and ``parts`` (pattern, src, words, distinct, bundle) are tables; lists of (pattern or bundle,
+    distinct words, words per source) are the heaviest patterns and the bundles of all others, and single the sums of the rest by source.
+    """
     texts = rows.groupBy("h1", "h2", "src").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
     texts = texts.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("src", "words"))).alias("parts"), F.max("size").alias("size"))
-    texts = stage_table(texts.withColumn("pattern", F.concat_ws(",", F.transform("parts", lambda p: p["src"].cast("string")))), "mix-texts")
-    several = texts.where(F.size("parts") > 1)
-    heavy = several.groupBy("pattern").agg(F.sum("size").alias("distinct")).orderBy(F.desc("distinct"), "pattern").limit(most_patterns).collect()
-    spark = rows.sparkSession
-    ids = spark.createDataFrame([(r["pattern"], i) for i, r in enumerate(heavy)], "pattern string, pid int")
-    tagged = texts.join(F.broadcast(ids), "pattern", "left")
-    parts = tagged.select("pid", "size", F.explode("parts").alias("part")).groupBy("pid", "part.src").agg(F.sum("part.words").alias("words"), F.sum("size").alias("distinct"))
-    single, of = {}, [{} for _ in heavy]
-    for r in parts.collect():  # at most most_patterns x sources rows
-        if r["pid"] is None:
-            single[r["src"]] = [r["distinct"], r["words"]]
-        else:
-            of[r["pid"]][r["src"]] = r["words"]
-    listed = [(i, r["distinct"], of[i]) for i, r in enumerate(heavy)]
-    return listed, single, tagged.where("pid is not null").select("h1", "h2", "pid") if heavy else None
+    texts = stage_table(texts.withColumn("pattern", F.when(F.size("parts") > 1, F.concat_ws(",", F.transform("parts", lambda p: p["src"].cast("string")))).otherwise("")), "mix-texts")
+    parts = texts.select("pattern", "size", F.explode("parts").alias("part")).groupBy("pattern", "part.src").agg(F.sum("part.words").alias("words"), F.sum("size").alias("distinct"))
+    parts = stage_table(parts.withColumn("bundle", F.pmod(F.xxhash64("pattern"), F.lit(bundles)).cast("int")), "mix-parts")
+    single = {r["src"]: (r["distinct"], {r["src"]: r["words"]}) for r in parts.where("pattern = ''").collect()}  # a row per source
+    several = parts.where("pattern <> ''")
+    heavy = several.groupBy("pattern").agg(F.max("distinct").alias("distinct")).orderBy(F.desc("distinct"), "pattern").limit(most_patterns)
+    heavy = stage_table(heavy.select("pattern"), "mix-heavy")
+    of: dict[str, tuple[int, dict[int, int]]] = {}
+    for r in several.join(heavy, "pattern", "left_semi").collect():  # at most most_patterns x sources rows
+        of.setdefault(r["pattern"], (r["distinct"], {}))[1][r["src"]] = r["words"]
+    light = several.join(heavy, "pattern", "left_anti")
+    # the distinct words of a pattern stand in each of its rows and count once
+    once = F.when(F.col("src") == F.split_part("pattern", F.lit(","), F.lit(1)).cast("int"), F.col("distinct")).otherwise(0)
+    bundled: dict[int, list] = {}
+    for r in light.groupBy("bundle", "src").agg(F.sum("words").alias("words"), F.sum(once).alias("distinct")).collect():  # at most bundles x sources rows
+        of_bundle = bundled.setdefault(r["bundle"], [0, {}])
+        of_bundle[0] += r["distinct"]
+        of_bundle[1][r["src"]] = r["words"]
+    heaviest = [(p, *of[p]) for p in sorted(of, key=lambda p: (-of[p][0], p))]
+    return texts.where("pattern <> ''").select("h1", "h2", "pattern"), light, heaviest, single, [(b, *bundled[b]) for b in sorted(bundled)]
+
+
+def _route_bundle(most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What a bundle gives to each source, routed to its patterns."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pattern", "src"])
+        sources = sorted(set(rows["src"]))
+        at = {s: i for i, s in enumerate(sources)}
+        due = dict(zip(rows["src"], rows["due"]))
+        listed: dict[str, tuple[int, dict[int, int]]] = {}
+        for pattern, src, words, distinct in zip(rows["pattern"], rows["src"], rows["words"], rows["distinct"]):
+            listed.setdefault(pattern, (int(distinct), {}))[1][at[src]] = int(words)
+        flows = route(list(listed.values()), [int(due[s]) for s in sources], most)
+        out = [(p, sources[s], w, f.get(s, 0)) for (p, (_, words)), f in zip(listed.items(), flows) for s, w in words.items()]
+        return pd.DataFrame(out, columns=["pattern", "src", "words", "flow"])
+
+    return run
 
 
 def _boundary(rows: DataFrame, bucket: str, before: Column) -> DataFrame:
-    """Per cell the bucket in which the remainder ends, and the words of the buckets before it."""
-    sums = rows.groupBy("cell", bucket).agg(F.sum("size").alias("s"), F.first("rest").alias("rest"), F.first(before).alias("before"))
-    ahead = Window.partitionBy("cell").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    """Per cell (pattern and source) the bucket in which the remainder ends, and the words of the buckets before it."""
+    sums = rows.groupBy(*CELL, bucket).agg(F.sum("size").alias("s"), F.first("rest").alias("rest"), F.first(before).alias("before"))
+    ahead = Window.partitionBy(*CELL).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("ahead", F.col("before") + F.coalesce(F.sum("s").over(ahead), F.lit(0)))
-    return sums.where((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("s"))).select("cell", F.col(bucket).alias(f"{bucket}_end"), F.col("ahead").alias(f"{bucket}_ahead"))
+    ends = sums.where((F.col("ahead") <= F.col("rest")) & (F.col("rest") < F.col("ahead") + F.col("s")))
+    return stage_table(ends.select(*CELL, F.col(bucket).alias(f"{bucket}_end"), F.col("ahead").alias(f"{bucket}_ahead")), f"mix-{bucket}")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 17, most_patterns: int = 2048, cut: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), seed: int = 17, most_patterns: int = 2048, bundles: int = 2048, cut: bool = True) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` (its source's) and ``taken`` (words, repeats counted).
 
     Size: runs other than U+0020 and U+0009 to U+000D. Sources, by code point with null last, weigh ``weights`` in turn and share
@@ -165,12 +195,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = F
     and text: whole passes for all, then one more for the first of them; ``cut`` takes a part of the document at the end, else
     that document is taken as a whole if at least half of it is due. No document exceeds twice its size.
 
-    The driver sees a row per source and at most ``most_patterns`` patterns; rarer overlapping patterns are routed by their rows'
-    own sources, which keeps quotas and limits exact. Where a remainder ends is found by sums over 256 buckets of the hash, twice;
-    only the rows of one bucket in 65,536 are sorted. Narrow tables are stored in the shared folder.
+    The flow goes in two steps, so that the driver's part is bounded and no overlap leaves it: the driver routes the ``most_patterns``
+    heaviest patterns and ``bundles`` of all others (by hash, with their distinct words counted once); then each bundle routes what it
+    gives to a source to its own patterns, by the same flow, in a group of its own. Every such share can be routed, so quotas and limits are
+    exact; up to ``most_patterns`` patterns the cost is the least of all, above it the least within each bundle.
+
+    The driver sees a row per source and ``most_patterns`` plus ``bundles`` rows by sources. Where a remainder ends is found by sums
+    over 256 buckets of the hash, twice; only the rows of one bucket in 65,536 are sorted. Narrow tables are stored in the shared folder.
 
     Null text: size 0. Null ``source``: the last source. Null ``doc_id``: kept. Repeated rows: one result row each, rows
-    that are equal in all of this may swap their share. Other columns are not read. An empty table gives no rows. The hash of
+    that are equal in all of this may swap their share. Other columns, whatever their names, are not read. An empty table gives no rows. The hash of
     the text comes back as ``h1``, ``h2``.
     """
     spark = docs.sparkSession
@@ -190,31 +224,26 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = F
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes))
     known = spark.createDataFrame([(r["source"], i, sizes[i], float(targets[i])) for i, r in enumerate(sources)], "name string, src int, source_size bigint, target double")
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    listed, single, pattern_of = _patterns(rows, most_patterns)
-    network = [(distinct, words) for _, distinct, words in listed] + [(single[s][0], {s: single[s][1]}) for s in sorted(single)]
-    flows = route(network, [round(t) for t in targets])
-    cells, number = [], {}
-    for (_, words), flow, pid in zip(network, flows, [*range(len(listed)), *[None] * len(single)]):
-        for s, w in words.items():
-            passes, rest = divmod(flow.get(s, 0), w) if w else (0, 0)
-            number[pid, s] = len(cells)
-            cells.append((len(cells), pid, s, passes, rest))
-    given = F.broadcast(spark.createDataFrame(cells, "cell int, cell_pid int, cell_src int, passes bigint, rest bigint"))
-    if pattern_of is None:
-        rows = rows.withColumn("pid", F.lit(None).cast("int"))
-    else:
-        rows = rows.join(pattern_of, ["h1", "h2"], "left")
-    rows = rows.join(given, F.col("pid").eqNullSafe(F.col("cell_pid")) & (F.col("src") == F.col("cell_src")), "left")
+    pattern_of, light, heaviest, single, bundled = _patterns(rows, most_patterns, bundles)
+    whole = [*heaviest, *[("", *single[s]) for s in sorted(single)]]
+    flows = route([(distinct, words) for _, distinct, words in [*whole, *bundled]], [round(t) for t in targets])
+    routed = [(p, s, w, flow.get(s, 0)) for (p, _, words), flow in zip(whole, flows) for s, w in words.items()]
+    cells = spark.createDataFrame(routed, "pattern string, src int, words bigint, flow bigint")
+    if bundled:
+        due = [(b, s, flow.get(s, 0)) for (b, _, words), flow in zip(bundled, flows[len(whole) :]) for s in words]
+        due = spark.createDataFrame(due, "bundle int, src int, due bigint")
+        cells = cells.union(light.join(due, ["bundle", "src"]).groupBy("bundle").applyInPandas(_route_bundle(2), cells.schema))
+    passes = F.when(F.col("words") > 0, F.expr("flow div words")).otherwise(0)
+    cells = stage_table(cells.select(*CELL, passes.alias("passes"), (F.col("flow") - passes * F.col("words")).alias("rest")), "mix-routed")
+    # joined by measured size: a row per source, and per overlapping pattern and source
+    rows = rows.join(pattern_of, ["h1", "h2"], "left").withColumn("pattern", F.coalesce("pattern", F.lit(""))).join(cells, CELL, "left")
     rows = rows.withColumn("b1", F.pmod(F.shiftright("u", 8), F.lit(256))).withColumn("b2", F.pmod("u", F.lit(256)))
-    rows = stage_table(rows.select("doc_id", "source", "size", "source_size", "target", "cell", "passes", "rest", "b1", "b2", "u", "h1", "h2"), "mix-cells")
-    # one row per cell, of which there are at most most_patterns x sources + sources
-    first = F.broadcast(_boundary(rows, "b1", F.lit(0)))
-    rows = rows.join(first, "cell", "left")
-    second = F.broadcast(_boundary(rows.where(F.col("b1") == F.col("b1_end")), "b2", F.col("b1_ahead")))
-    rows = rows.join(second, "cell", "left")
+    rows = stage_table(rows.select("doc_id", "source", "size", "source_size", "target", *CELL, "passes", "rest", "b1", "b2", "u", "h1", "h2"), "mix-cells")
+    rows = rows.join(_boundary(rows, "b1", F.lit(0)), CELL, "left")
+    rows = rows.join(_boundary(rows.where(F.col("b1") == F.col("b1_end")), "b2", F.col("b1_ahead")), CELL, "left")
     last = (F.col("b1") == F.col("b1_end")) & (F.col("b2") == F.col("b2_end"))
     early = (F.col("b1") < F.col("b1_end")) | (F.col("b1") == F.col("b1_end")) & (F.col("b2") < F.col("b2_end"))
-    inside = Window.partitionBy("cell").orderBy("u", "doc_id", "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*CELL).orderBy("u", "doc_id", "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
     due = F.col("rest") - F.col("b2_ahead") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.least(F.greatest(due, F.lit(0)), F.col("size"))
     if not cut:
@@ -226,12 +255,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = F
 
 
 def take_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as its share says, whole documents only (see ``mix``); all columns kept."""
+    """``docs`` as mixed: each row as often as its share says, whole documents only; all columns, whatever their names, are kept.
+
+    A row without words is not taken. Of repeated rows the first ones take the passes that do not divide evenly. Null columns, ties
+    and empty tables: see ``mix``.
+    """
     text = F.coalesce("text", F.lit(""))
     shares = mix(docs, cut=False, **options).groupBy(F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("h1").alias("k_h1"), F.col("h2").alias("k_h2"))
     shares = shares.agg(F.sum("taken").alias("k_taken"), F.max("size").alias("k_size"), F.count("*").alias("k_rows")).where("k_taken > 0")
-    keys = [F.col("doc_id").eqNullSafe(F.col("k_id")), F.col("source").eqNullSafe(F.col("k_source")), F.xxhash64(text) == F.col("k_h1"), F.xxhash64(F.lit(1), text) == F.col("k_h2")]
-    at = docs.join(shares, keys).withColumn("k_place", F.row_number().over(Window.partitionBy("k_id", "k_source", "k_h1", "k_h2").orderBy("k_h1")))
+    # the row is one struct, so that its names meet no others
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").alias("id"), F.col("source").alias("of"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    keys = [F.col("id").eqNullSafe(F.col("k_id")), F.col("of").eqNullSafe(F.col("k_source")), F.col("h1") == F.col("k_h1"), F.col("h2") == F.col("k_h2")]
+    at = rows.join(shares, keys).withColumn("place", F.row_number().over(Window.partitionBy("k_id", "k_source", "k_h1", "k_h2").orderBy("k_h1")))
     passes = (F.col("k_taken") / F.col("k_size")).cast("bigint")
-    times = F.floor(passes / F.col("k_rows")) + (F.col("k_place") <= passes % F.col("k_rows")).cast("bigint")
-    return at.withColumn("k_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = F.floor(passes / F.col("k_rows")) + (F.col("place") <= passes % F.col("k_rows")).cast("bigint")
+    return at.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select("document.*")

@@ -55,15 +55,18 @@ def test_query(spark, sf_dir):
     assert sorted(map(str, got)) == sorted(map(str, QUERIES["op5_mixing"](spark, sf_dir).collect()))
 
 
-@pytest.mark.parametrize("patterns", [2048, 1])
-def test_overlap_hot_source_and_odd_rows(spark, patterns):
+@pytest.mark.parametrize("patterns, bundles", [(2048, 2048), (1, 2048), (1, 1), (0, 2)])
+def test_overlap_hot_source_and_odd_rows(spark, patterns, bundles):
     r = random.Random(4)
     rows = [(i, r.choice(["a", "b", "\U0001f642", "é", None]), f"w {i} " * r.randint(0, 9)) for i in range(150)]
     rows += [(200 + i, r.choice(["a", "b", None]), "copied text of four words " * 7) for i in range(90)]
     rows += [(300, "z", None), (301, "z", ""), (302, "hot", "x " * 5000), (303, "a", "\x85 \x1c a b")]
-    df = spark.createDataFrame(rows, "doc_id int, source string, text string").withColumn("size", F.lit("clash")).repartition(3)
-    check(rows, mix(df, most_patterns=patterns).collect())
-    whole = take_documents(df, most_patterns=patterns)
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string").withColumn("size", F.lit("clash"))
+    for name in ("k_id", "document", "pattern", "a.b"):
+        df = df.withColumn(name, F.lit("clash"))
+    df = df.repartition(3)
+    check(rows, mix(df, most_patterns=patterns, bundles=bundles).collect())
+    whole = take_documents(df, most_patterns=patterns, bundles=bundles)
     assert whole.columns == df.columns
     counts = {r.doc_id: r["count"] for r in whole.groupBy("doc_id").count().collect()}
     assert max(counts.values()) <= 2
@@ -144,3 +147,27 @@ def test_flow_has_least_cost(seed):
         assert sum(f.get(s, 0) for f in got) == q
     assert all(x <= 2 * w[s] for (_, w), f in zip(patterns, got) for s, x in f.items())
     assert cost(patterns, got) == cost(patterns, brute(patterns, quotas))
+
+
+def test_many_patterns_in_bundles(spark):
+    """5,000 patterns of 14 sources: quotas and limits as exact as in one flow, no words lost, the cost close to the least."""
+    r = random.Random(9)
+    kinds = set()
+    while len(kinds) < 5000:
+        kinds.add(tuple(sorted(r.sample(range(14), r.randint(2, 6)))))
+    rows, kinds = [], sorted(kinds)
+    for k, sources in enumerate(kinds):
+        text = " ".join(f"t{k}x{j}" for j in range(r.randint(1, 12)))
+        rows += [(len(rows) + i, f"s{s:02}", text) for i, s in enumerate(sources)]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    pattern = dict(zip((d for d, _, _ in rows), (k for k, sources in enumerate(kinds) for _ in sources)))
+    costs = []
+    for most, bundles in ((10000, 16), (64, 16)):
+        got = mix(df, most_patterns=most, bundles=bundles).collect()
+        check(rows, got, near=7.0)
+        passes = defaultdict(int)
+        for x in got:
+            passes[pattern[x.doc_id]] += x.taken
+        distinct = {pattern[x.doc_id]: x.size for x in got}
+        costs.append(cost([(distinct[k], None) for k in sorted(passes)], [{0: passes[k]} for k in sorted(passes)]))
+    assert costs[0] <= costs[1] <= 1.1 * costs[0]

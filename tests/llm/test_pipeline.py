@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skyweave.session import stage_table
@@ -93,7 +94,7 @@ def test_odd_rows(spark, sf_dir):
     odd += [(i, " ".join(f"w{j}x{i % 7}" for j in range(60 + i % 7)), "en", "s" if i % 2 else None, 9, i, "k") for i in range(3, 60)] * 2
     names = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, document string"
     for data in (odd, []):
-        docs = spark.createDataFrame(data, names)
+        docs = spark.createDataFrame(data, names).withColumns({c: F.lit("clash") for c in ("k_id", "w_id", "w_n", "a.b", "h1", "pattern")})
         for name, f in corpus_pipeline.STAGES:
             columns = docs.columns
             docs = stage_table(f(spark, docs, sf_dir), "odd")
