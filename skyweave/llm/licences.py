@@ -137,6 +137,8 @@ def fit(docs: DataFrame, sample: int = 4000, copies: int = 8, features: int = 1
     last = drawn.select("u").distinct().orderBy("u").limit(sample).agg(F.max("u")).first()[0]
     drawn = drawn.where(F.col("u") <= F.lit(last)).distinct()
     drawn = drawn.withColumn("own", grams(F.col("body"))).where(_containment(F.col("own"), everything) < 0.5).drop("own")
+    # at most sample rows; stored, as the corpus would be split again by each use
+    drawn = stage_table(drawn, "licence-sample")
     pick = F.element_at(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(t).alias("text")) for f, t in listed]), (F.pmod("u", F.lit(len(listed))) + 1).cast("int"))
     odd = F.pmod(F.shiftright("u", 20), F.lit(2)) == 1
     front = F.pmod(F.shiftright("u", 21), F.lit(2)) == 1
@@ -184,6 +186,8 @@ def scan(docs: DataFrame, classifier: Classifier | None = None, similarity: floa
     family is the likeliest one if the calibrated probability reaches the classifier's threshold and at least ``similarity`` of the
     n-grams of the paragraph or of one of the family's sentences are common; else the family is ``unknown``.
 
+    A notice that is wrapped over several lines is reported by those of its lines that read like a licence on their own.
+
     Null text: no paragraphs. Null ``doc_id``: kept. Repeated rows: reported each. Other columns are not read. An empty
     table gives no rows.
     """
