@@ -329,6 +329,7 @@ def model_round_trip(spark, sf):
 
 # ------------------------------------------------------------------ reading scores
 
+# Names, thresholds and sentences of the rules in the SQL below.
 _SYNTH_NAMES = [
     "ratio_pm25_pm10", "ratio_co_no2", "ratio_so2_no2", "co_x_no2", "so2_x_no2", "aod_x_wind", "fire_x_no2",
     "PM2_5_roll6_std", "NO2_roll6_std", "SO2_roll6_std", "hour_sin", "hour_cos", "month_sin", "month_cos",
@@ -336,6 +337,7 @@ _SYNTH_NAMES = [
     "wind_u", "wind_v", "temp_c", "humidity", "precip", "pressure",
 ]
 
+# Names, thresholds and sentences of the rules in the SQL below.
 _BACK = """
 back AS (
   SELECT *, least(NO2 * 0.15::DOUBLE, 50) AS bg_NO2, least(SO2 * 0.05::DOUBLE, 20) AS bg_SO2, least(CO * 0.12::DOUBLE, 1.2::DOUBLE) AS bg_CO,
@@ -348,6 +350,7 @@ def background_levels(spark, sf):
     return views.readings(spark, sf).select("reading_id", *[scoring.background(n).alias(f"bg_{n}") for n in scoring.BACKGROUND])
 
 
+# Names, thresholds and sentences of the rules in the SQL below.
 _SYNTH = """
 synth AS (
   SELECT reading_id, PM2_5 / (PM10 + 1e-6::DOUBLE) AS ratio_pm25_pm10, CO / (NO2 + 1e-6::DOUBLE) AS ratio_co_no2, SO2 / (NO2 + 1e-6::DOUBLE) AS ratio_so2_no2,
@@ -373,6 +376,7 @@ _LEVELS = [f"(reading_id * {7 + 4 * c} + 31 * {c}) % 97 + 1" for c in range(5)]
 MODELLED = f"""
 leveled AS (SELECT *, [{', '.join(_LEVELS)}] AS lv, {_shares(_LEVELS)} AS prob FROM readings),
 modelled AS (SELECT * EXCLUDE (lv), list_position(lv, list_max(lv)) - 1 AS model_code FROM leveled)"""
+# Names, thresholds and sentences of the rules in the SQL below.
 _RULED = """
 ruled AS (
   SELECT *, CASE WHEN SO2 > 200 THEN CASE WHEN SO2 > 500 THEN 3 ELSE 4 END
@@ -381,6 +385,7 @@ ruled AS (
                  WHEN PM2_5 > 300 OR (PM2_5 > 150 AND fire_count > 5) THEN 1
                  WHEN PM10 > 300 AND PM2_5 / (PM10 + 1e-6::DOUBLE) < 0.35 THEN 2
                  ELSE model_code END AS code FROM modelled)"""
+# Names, thresholds and sentences of the rules in the SQL below.
 _SCORED = f"""
 conf AS (
   SELECT *, CASE WHEN code <> model_code THEN CASE
