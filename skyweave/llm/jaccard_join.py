@@ -35,6 +35,7 @@ from .words import find_words, hash_words, mix, text_slices
 
 BUCKETS = 32
 BITS = 1 << 26
+PARITIES = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -272,28 +273,60 @@ def _crossing(sets: DataFrame) -> DataFrame:
     return cells.where("least <> most").select("s")
 
 
+def _parities() -> Callable:
+    """node and, for each of 1024 classes of hashes, whether the set holds an odd number of that class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                lists = some.column(1)
+                values = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                odd = np.bincount(row * PARITIES + (values & (PARITIES - 1)), minlength=len(lists) * PARITIES) & 1
+                words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+                yield pa.RecordBatch.from_arrays([some.column(0), _lists(words, np.arange(len(lists) + 1) * (PARITIES // 64))], names=["node", "parity"])
+
+    return run
+
+
+def _near_by_parity(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` whose parities differ in no more classes than linked sets of their sizes differ in shingles."""
+    parities = stage_table(sets.select("node", "shingles").mapInArrow(_parities(), "node binary, parity array<bigint>").join(sets.select("node", "n"), "node"), "boundary-parities")
+    own, other = (parities.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    least = F.ceil(total * percent / (100 + percent))
+    return pairs.join(own, "a").join(other, "b").where(apart <= total - 2 * least).select("a", "b")
+
+
 def _boundary_pairs(rest: DataFrame, distances: DataFrame, percent: int) -> DataFrame:
     """Pairs of boundary documents of different regions that may be linked.
 
-    Two linked sets share one of the first n - ceil(t n) + 1 shingles of the larger and one of the first
-    n - ceil(2 t n / (1 + t)) + 1 of the smaller, in any order; here the rarest come first.
+    Linked sets of sizes a and b share ceil(t (a + b) / (1 + t)) shingles at least. In any order of the shingles (here the rarest come
+    first) both therefore hold as many from the first common one on, which is the cell that the pair meets in. A large family of texts
+    has its common shingles last, so that a member with many of its own has too few left to meet the others at all. Of the pairs that
+    meet, parities and the distances to common pivots drop those that are too far apart.
     """
     cells = rest.select("node", "n", "comp", F.explode("shingles").alias("s"))
     # shingles that the same documents hold count as one, with their number as its weight: a shared passage is one cell
+    region = F.xxhash64("comp")
     held = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in range(2)]
-    counted = cells.groupBy("s").agg(F.count("*").alias("df"), *held).where("df > 1").groupBy("df", "x0", "x1").agg(F.min("s").alias("s"), F.count("*").alias("weight"))
-    ranked = cells.join(counted.select("s", "df", "weight"), "s")
-    # those of one document only cannot be shared; they are the first of the order, before the ones that are counted here
+    counted = cells.groupBy("s").agg(F.count("*").alias("df"), F.min("n").alias("least"), F.min(region).alias("c0"), F.max(region).alias("c1"), *held)
+    counted = counted.where("c0 <> c1").groupBy("df", "least", "x0", "x1").agg(F.min("s").alias("s"), F.count("*").alias("weight"))
+    ranked = cells.join(counted.select("s", "df", "least", "weight"), "s")
+    # those of one region only join no pair; they are the first of the order, before the ones that are counted here
     node = Window.partitionBy("node")
-    ahead = F.coalesce(F.sum("weight").over(node.orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.col("n") - F.sum("weight").over(node) + ahead + 1
-    ranked = stage_table(ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("df", "weight"), "boundary-cells")
-    large = ranked.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    small = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1)
-    small = small.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    left = F.sum("weight").over(node.orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a row meets sets of its own size or of others, none of which is below its cell's least
+    meets = (100 + percent) * F.col("left") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100)))
+    ranked = stage_table(ranked.withColumn("left", left).where(meets).select("s", "node", "n", "comp", "left"), "boundary-cells")
+    large, small = (ranked.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("left").alias(f"l{x}")) for x in "ab")
     ordered = (F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))
-    pairs = large.join(small, "s").where(ordered & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), percent))
+    enough = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = large.join(small, "s").where(ordered & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), percent) & enough)
     pairs = stage_table(pairs.select("a", "b").distinct(), "boundary-pairs")
+    pairs = stage_table(_near_by_parity(pairs, rest, percent), "boundary-near")
     to_a = distances.select("a", F.col("b").alias("p"), F.col("d").alias("da"))
     to_b = distances.select(F.col("a").alias("b"), F.col("b").alias("p"), F.col("d").alias("db"))
     apart = pairs.join(to_a, "a").join(to_b, ["b", "p"]).where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.llm.jaccard_join import Sets, components, extra, jaccard_components, needed, prefix
+from skyweave.llm.jaccard_join import Sets, _boundary_pairs, components, extra, jaccard_components, needed, prefix
 from skyweave.llm.queries import ORACLE_SQL, QUERIES
 from skyweave.llm.words import text_slices
 from tests.oracle_check import compare, connect
@@ -136,3 +136,21 @@ def test_sets_are_the_distinct_shingles():
     texts = ["a b c d e f a b c d e f", None, "", "A  b\x0bC", "x" * 5000 + " y", "\U0001f642 b c d e"]
     (_, _, data, offsets), = text_slices(pa.array(texts))
     assert Sets(data, offsets, 5).size.tolist() == [len(shingles(t)) for t in texts]
+
+
+def test_a_family_is_not_paired_with_itself(spark):
+    """Members of a family of near copies that cannot be linked do not meet, and no linked pair is lost."""
+    r = random.Random(5)
+    sets = []
+    for _ in range(400):
+        held = list(range(146))
+        for _ in range(r.choice([1, 2, 3, 6, 7, 8])):
+            i = r.randrange(146)
+            held[max(0, i - 4) : i + 1] = [r.getrandbits(62) + 1000 for _ in held[max(0, i - 4) : i + 1]]
+        sets.append(set(held[: 146 - r.choice([0, 0, 0, 20, 36])]))
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 75 * len(a | b)}
+    rows = [(f"{i:03d}".encode(), len(s), f"c{i:03d}".encode(), sorted(s)) for i, s in enumerate(sets)]
+    rest = spark.createDataFrame(rows, "node binary, n bigint, comp binary, shingles array<bigint>")
+    pairs = _boundary_pairs(rest, spark.createDataFrame([], "a binary, b binary, d double"), 75).collect()
+    got = {tuple(sorted((int(bytes(p.a)), int(bytes(p.b))), reverse=True)) for p in pairs}
+    assert linked and linked <= got and len(got) == len(pairs) < 2 * len(linked) + 400
