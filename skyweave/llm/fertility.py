@@ -152,11 +152,19 @@ def _measure(pieces: str, ranks: str, pattern: str) -> Callable:
 
 def _script() -> Column:
     """The script that most letters are of."""
-    letters = F.array(*[F.char_length(F.regexp_replace("text", f"[^\\p{{Is{name}}}]", "")) for name in SCRIPTS])
-    # by a transform each text is searched once for each script
+    # all letters of this block are Latin, so that one search leaves of most texts nothing that could be of another script
+    rest = F.regexp_replace("text", "[\\x00-\\x{24F}]+", "")
     names = F.array(*[F.lit(name) for name in SCRIPTS])
-    most = F.transform(F.array(letters), lambda n: F.when(F.array_max(n) > 0, F.get(names, F.array_position(n, F.array_max(n)).cast("int") - 1)))
-    return F.coalesce(F.get(most, F.lit(0)), F.lit("none"))
+    others = "[" + "".join(f"\\p{{Is{name}}}" for name in SCRIPTS if name != "Latin") + "]"
+    latin = F.when(F.col("text").rlike("\\p{IsLatin}"), F.lit("Latin"))
+
+    def most(t: Column) -> Column:
+        letters = F.array(*[F.char_length(F.regexp_replace(F.col("text") if name == "Latin" else t, f"[^\\p{{Is{name}}}]+", "")) for name in SCRIPTS])
+        return F.get(F.transform(F.array(letters), lambda n: F.get(names, F.array_position(n, F.array_max(n)).cast("int") - 1)), F.lit(0))
+
+    # by a transform each text is searched once for each script
+    found = F.transform(F.array(rest), lambda t: F.when(t.rlike(others), most(t)).otherwise(latin))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit("none"))
 
 
 def _language() -> Column:
