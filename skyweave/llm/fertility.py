@@ -16,6 +16,8 @@ from skyweave.session import stage_table
 from .words import find_words, hash_words, mix, text_slices, worker_table
 
 SYMBOLS = "#*$%&|<>"
+# The measures hold some 50 bytes for each byte of a slice, besides the vocabularies.
+SLICE_BYTES = 1 << 20
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
 LEVELS = (["language", "size_class"], ["language"], ["script"], [])
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hangul")
@@ -120,7 +122,7 @@ def _measure(pieces: str, ranks: str, pattern: str) -> Callable:
             names = batch.schema.names
             document = batch.column(names.index("document"))
             text = batch.column(names.index("t")) if "t" in names else document.field("text")
-            for a, b, data, offsets in text_slices(text):
+            for a, b, data, offsets in text_slices(text, SLICE_BYTES):
                 n = b - a
                 sizes = np.diff(offsets)
                 starts, ends, row = find_words(data, offsets)
