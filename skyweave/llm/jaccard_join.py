@@ -36,6 +36,8 @@ from .words import find_words, hash_words, mix, text_slices
 BUCKETS = 32
 BITS = 1 << 26
 PARITIES = 1024
+# Cutting and hashing hold some 60 bytes for each byte of a slice.
+SLICE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -115,7 +117,7 @@ def _pick(borders: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> tuple[n
 
 
 def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, Sets]]:
-    for a, b, data, offsets in text_slices(column):
+    for a, b, data, offsets in text_slices(column, SLICE_BYTES):
         yield a, b, Sets(data, offsets, words)
 
 

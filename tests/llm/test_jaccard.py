@@ -1,11 +1,12 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.llm.jaccard_join import Sets, _boundary_pairs, components, extra, jaccard_components, needed, prefix
+from skyweave.llm.jaccard_join import Sets, _boundary_pairs, _describe, components, extra, jaccard_components, needed, prefix
 from skyweave.llm.queries import ORACLE_SQL, QUERIES
 from skyweave.llm.words import text_slices
 from tests.oracle_check import compare, connect
@@ -154,3 +155,16 @@ def test_a_family_is_not_paired_with_itself(spark):
     pairs = _boundary_pairs(rest, spark.createDataFrame([], "a binary, b binary, d double"), 75).collect()
     got = {tuple(sorted((int(bytes(p.a)), int(bytes(p.b))), reverse=True)) for p in pairs}
     assert linked and linked <= got and len(got) == len(pairs) < 2 * len(linked) + 400
+
+
+def test_memory_does_not_follow_the_batch():
+    r = random.Random(4)
+    texts = pa.array([" ".join(f"{r.getrandbits(20):x}" for _ in range(2000)) for _ in range(400)])
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, texts], names=["doc_id", "h1", "h2", "text"])
+    tracemalloc.start()
+    try:
+        assert texts.nbytes > 4 << 20 and sum(out.num_rows for out in _describe(5)(iter([batch]))) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    finally:
+        tracemalloc.stop()
