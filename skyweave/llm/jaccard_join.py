@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.session import stage_table
+from skyweave.session import freed_shuffles, stage_table
 
 from .words import find_words, hash_words, mix, text_slices
 
@@ -153,17 +153,19 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - needed(n, percent) + extra(n))
 
 
-def _emit(words: int, percent: int, nodes: np.ndarray | None, shingles: np.ndarray | None, whole: bool) -> Callable:
+def held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a bitmap of 2^26 bits holds each key."""
+    at = keys & np.uint64(BITS - 1)
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _emit(words: int, percent: int, nodes: np.ndarray | None, shingles: np.ndarray | None, whole: bool, others: np.ndarray | None = None) -> Callable:
     """node, size and shingles (first q(n), or whole sets), once per node and task.
 
-    ``nodes``: bitmap of the nodes wanted. ``shingles``: bitmap of shingles in several regions: only sets of which it holds enough,
-    and of those only what it holds. Both bitmaps have 2^26 bits; what they let through in excess is dropped by later joins.
+    ``nodes``: bitmap of the nodes wanted, ``others``: of those not wanted. ``shingles``: bitmap of shingles in several regions: only sets of
+    which it holds enough, and of those only what it holds. What the bitmaps let through in excess is dropped by later joins.
     """
 
-    def held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(BITS - 1)
-        return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -171,6 +173,8 @@ def _emit(words: int, percent: int, nodes: np.ndarray | None, shingles: np.ndarr
                 want = sets.size > 0
                 if nodes is not None:
                     want &= held(nodes, sets.key[:, 0])
+                if others is not None:
+                    want &= ~held(others, sets.key[:, 0])
                 q = prefix(sets.size, percent)
                 if shingles is not None:
                     at, ends = _pick(sets.border, np.arange(len(q)), q)
@@ -198,10 +202,17 @@ def _emit(words: int, percent: int, nodes: np.ndarray | None, shingles: np.ndarr
 _SETS = "node binary, n bigint, shingles array<bigint>"
 
 
+def _store(df: DataFrame, name: str) -> DataFrame:
+    """A stored table, whose shuffle files go once it is written."""
+    with freed_shuffles(df.sparkSession):
+        return stage_table(df, name)
+
+
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
     """2^26 bits, those of the column's values set; 2^20 words at most reach the driver."""
     bit = F.col(column).bitwiseAND(F.lit(BITS - 1))
-    words = df.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b")).toArrow()
+    with freed_shuffles(df.sparkSession):
+        words = df.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b")).toArrow()
     out = np.zeros(BITS >> 6, np.uint64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return out
@@ -212,14 +223,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of taking the least label of the neighbours and then that label's own label; each round is a stored table.
     """
-    both = stage_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    both = _store(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = _store(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        step = stage_table(step, "labels")
+        step = _store(step, "labels")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        after = stage_table(step.join(jump, "comp").select("node", F.least("comp", "far").alias("comp"), "was"), "labels")
+        after = _store(step.join(jump, "comp").select("node", F.least("comp", "far").alias("comp"), "was"), "labels")
         if after.where("comp <> was").isEmpty():
             return after.select("node", "comp")
         labels = after.select("node", "comp")
@@ -240,11 +251,14 @@ def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, nearest: int, draws: int = 2, drawn_bands: int = 4) -> DataFrame:
-    """Distances of documents to their nearest pivots, of at most 16 + ``draws`` x ``drawn_bands`` that are looked at."""
+def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, nearest: int, draws: int = 2, drawn_bands: int = 4) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Distances of documents to their nearest pivots, of at most 16 + ``draws`` x ``drawn_bands`` that are looked at.
+
+    Also a bitmap that holds all of these documents and pivots, and the whole sets of every node it holds, those in excess included.
+    """
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     groups = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.max("node").alias("most"))
-    near = stage_table(keys.join(groups.where("least <> most").select("band", "key", "m"), ["band", "key"]), "neighbourhoods")
+    near = _store(keys.join(groups.where("least <> most").select("band", "key", "m"), ["band", "key"]), "neighbourhoods")
     near = near.join(near.groupBy("node").agg(F.sum("m").alias("degree")), "node")
     some = F.col("band") < drawn_bands
     drawn = [F.min(F.when(some, F.struct(F.xxhash64(F.lit(r), "band", "node").alias("u"), F.col("node").alias("b")))) for r in range(draws)]
@@ -256,12 +270,11 @@ def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, neare
     agree = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda e: e))
     order = Window.partitionBy("a").orderBy(F.desc("agree"), "b")
     pairs = pairs.select("a", "b", "bit_a", "bit_b", agree.alias("agree")).withColumn("place", F.row_number().over(order))
-    pairs = stage_table(pairs.where(F.col("place") <= nearest).drop("place", "agree"), "pivot-pairs")
+    pairs = _store(pairs.where(F.col("place") <= nearest).drop("place", "agree"), "pivot-pairs")
     wanted = bitmap(pairs.select(F.col("bit_a").alias("bit")).union(pairs.select("bit_b")), "bit")
     sets = texts.mapInArrow(_emit(words, percent, wanted, None, True), _SETS)
-    exact = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stage_table(sets.join(exact, "node", "left_semi").dropDuplicates(["node"]), "pivot-sets")
-    return stage_table(_distances(pairs, sets, percent), "pivot-distances")
+    sets = _store(sets.dropDuplicates(["node"]), "pivot-sets")
+    return _store(_distances(pairs, sets, percent), "pivot-distances"), sets, wanted
 
 
 def _in_regions(sets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -269,12 +282,34 @@ def _in_regions(sets: DataFrame, comps: DataFrame) -> DataFrame:
     return sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _first(sets: DataFrame, percent: int) -> DataFrame:
+    """Whole sets cut to their first q(n) shingles."""
+    q = F.expr(f"cast(least(n, n - (n * {percent} + 99) div 100 + n div 8 + 1) as int)")
+    return sets.withColumn("shingles", F.slice("shingles", F.lit(1), q))
+
+
 def _crossing(sets: DataFrame) -> DataFrame:
     """Shingles that occur in more than one region."""
     cells = sets.select(F.explode("shingles").alias("s"), F.xxhash64("comp").alias("c")).groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"))
     return cells.where("least <> most").select("s")
 
 
+def _enough(shingles: np.ndarray, percent: int) -> Callable:
+    """Sets of which the bitmap holds as many shingles as a set shares at least with one it is linked to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                lists = some.column(some.schema.get_field_index("shingles"))
+                n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                hits = np.concatenate(([0], np.cumsum(held(shingles, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)))))
+                ends = np.concatenate(([0], np.cumsum(n)))
+                yield some.filter(pa.array(hits[ends[1:]] - hits[ends[:-1]] >= needed(n, percent)))
+
+    return run
+
+
 def _parities() -> Callable:
     """node and, for each of 1024 classes of hashes, whether the set holds an odd number of that class."""
 
@@ -294,7 +329,7 @@ def _parities() -> Callable:
 
 def _near_by_parity(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` whose parities differ in no more classes than linked sets of their sizes differ in shingles."""
-    parities = stage_table(sets.select("node", "shingles").mapInArrow(_parities(), "node binary, parity array<bigint>").join(sets.select("node", "n"), "node"), "boundary-parities")
+    parities = _store(sets.select("node", "shingles").mapInArrow(_parities(), "node binary, parity array<bigint>").join(sets.select("node", "n"), "node"), "boundary-parities")
     own, other = (parities.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
     apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITIES // 64)), F.lit(0))
     total = F.col("na") + F.col("nb")
@@ -322,13 +357,13 @@ def _boundary_pairs(rest: DataFrame, distances: DataFrame, percent: int) -> Data
     left = F.sum("weight").over(node.orderBy(F.desc("df"), F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # a row meets sets of its own size or of others, none of which is below its cell's least
     meets = (100 + percent) * F.col("left") >= percent * (F.col("n") + F.greatest("least", F.ceil(F.col("n") * percent / 100)))
-    ranked = stage_table(ranked.withColumn("left", left).where(meets).select("s", "node", "n", "comp", "left"), "boundary-cells")
+    ranked = _store(ranked.withColumn("left", left).where(meets).select("s", "node", "n", "comp", "left"), "boundary-cells")
     large, small = (ranked.select("s", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("left").alias(f"l{x}")) for x in "ab")
     ordered = (F.col("na") > F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))
     enough = (100 + percent) * F.least("la", "lb") >= percent * (F.col("na") + F.col("nb"))
     pairs = large.join(small, "s").where(ordered & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), percent) & enough)
-    pairs = stage_table(pairs.select("a", "b").distinct(), "boundary-pairs")
-    pairs = stage_table(_near_by_parity(pairs, rest, percent), "boundary-near")
+    pairs = _store(pairs.select("a", "b").distinct(), "boundary-pairs")
+    pairs = _store(_near_by_parity(pairs, rest, percent), "boundary-near")
     to_a = distances.select("a", F.col("b").alias("p"), F.col("d").alias("da"))
     to_b = distances.select(F.col("a").alias("b"), F.col("b").alias("p"), F.col("d").alias("db"))
     apart = pairs.join(to_a, "a").join(to_b, ["b", "p"]).where(F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9)
@@ -352,29 +387,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
     """
     texts = docs.select("text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    rows = stage_table(rows.mapInArrow(_describe(words), "doc_id bigint, h1 bigint, h2 bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>"), "jaccard-rows")
-    nodes = stage_table(rows.where("node is not null").dropDuplicates(["node"]).drop("doc_id", "h1", "h2"), "jaccard-nodes")
-    distances = _regions(nodes, texts, words, percent, nearest)
+    rows = _store(rows.mapInArrow(_describe(words), "doc_id bigint, h1 bigint, h2 bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>"), "jaccard-rows")
+    nodes = _store(rows.where("node is not null").dropDuplicates(["node"]).drop("doc_id", "h1", "h2"), "jaccard-nodes")
+    distances, sets, described = _regions(nodes, texts, words, percent, nearest)
     links = distances.where("linked").select("a", "b")
     comps = components(links)
-    first = _in_regions(texts.mapInArrow(_emit(words, percent, None, None, False), _SETS), comps)
-    crossing = stage_table(_crossing(first), "crossing")
+    # only nodes whose sets are stored can lie in a region with others: the rest are dealt by shingle without looking for theirs
+    alone = texts.mapInArrow(_emit(words, percent, None, None, False, described), _SETS).withColumn("comp", F.col("node"))
+    first = alone.unionByName(_in_regions(_first(sets, percent), comps))
+    crossing = _store(_crossing(first), "crossing")
     if not crossing.isEmpty():
         # exact counts follow the bitmap, so that a full one costs a shuffle of the first shingles and no more
         hits = texts.mapInArrow(_emit(words, percent, None, bitmap(crossing, "s"), False), _SETS).dropDuplicates(["node"])
         hits = hits.select("node", "n", F.explode("shingles").alias("s")).join(crossing, "s").groupBy("node", "n").agg(F.count("*").alias("hits"))
         least = F.ceil(F.col("n") * percent / 100)
         wanted = hits.where(F.col("hits") >= F.floor(least / 8) + 1).select("node").join(nodes.select("node", "bit"), "node")
-        wanted = stage_table(wanted, "boundary-nodes")
+        wanted = _store(wanted, "boundary-nodes")
         rest = texts.mapInArrow(_emit(words, percent, bitmap(wanted, "bit"), None, True), _SETS)
-        rest = stage_table(_in_regions(rest.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), comps), "boundary")
-        inner = _crossing(rest).withColumnRenamed("s", "s2")
-        shared = rest.select("node", "n", F.explode("shingles").alias("s2")).join(inner, "s2").groupBy("node", "n").agg(F.count("*").alias("shared"))
-        last = shared.where(100 * F.col("shared") >= percent * F.col("n")).select("node")
-        last = stage_table(rest.join(last, "node"), "boundary-last")
+        rest = _store(_in_regions(rest.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), comps), "boundary")
+        # sets that a full bitmap lets through have too few common shingles to get a cell below
+        last = _store(rest.mapInArrow(_enough(bitmap(_crossing(rest), "s"), percent), rest.schema), "boundary-last")
         if not last.isEmpty():
             more = _distances(_boundary_pairs(last, distances, percent), last, percent)
-            more = stage_table(more.where("linked").select("a", "b"), "boundary-links")
+            more = _store(more.where("linked").select("a", "b"), "boundary-links")
             if not more.isEmpty():
                 comps = components(links.union(more))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.llm.jaccard_join import Sets, _boundary_pairs, _describe, components, extra, jaccard_components, needed, prefix
+from skyweave.llm import jaccard_join
+from skyweave.llm.jaccard_join import BITS, Sets, _boundary_pairs, _describe, components, extra, jaccard_components, needed, prefix
 from skyweave.llm.queries import ORACLE_SQL, QUERIES
 from skyweave.llm.words import text_slices
 from tests.oracle_check import compare, connect
@@ -168,3 +169,21 @@ def test_memory_does_not_follow_the_batch():
         assert tracemalloc.get_traced_memory()[1] < 120 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_bitmaps_may_hold_everything(spark, monkeypatch):
+    rows = corpus(4)
+    monkeypatch.setattr(jaccard_join, "bitmap", lambda df, column: np.full(BITS >> 6, 2**64 - 1, np.uint64))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_shuffle_files_go_with_each_stored_table(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle")}
+
+    docs = spark.createDataFrame(corpus(5), "doc_id bigint, text string")
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    jaccard_components(docs)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
