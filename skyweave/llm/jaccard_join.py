@@ -428,9 +428,11 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Documents without words (null and empty texts among them) are linked with nothing and all stay. Null ``doc_id``: counts as the
     largest. Any other columns, whatever their names, are kept. An empty table gives no rows. Options: see ``jaccard_components``.
     """
-    stay = jaccard_components(docs, **options).where("first").groupBy(F.col("doc_id").alias("w_id"), F.col("h1").alias("w_h1"), F.col("h2").alias("w_h2")).agg(F.max("n_shingles").alias("w_n"))
+    # both sides name a key alike and without nulls, so that the window finds the rows as the join has dealt them
+    keys = ["id", "none", "h1", "h2"]
+    own = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    stay = jaccard_components(docs, **options).where("first").select(*own, "h1", "h2", "n_shingles").groupBy(keys).agg(F.max("n_shingles").alias("w_n"))
     # the row is one struct, so that its names meet no others
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    keys = [F.col("id").eqNullSafe(F.col("w_id")), F.col("h1") == F.col("w_h1"), F.col("h2") == F.col("w_h2")]
-    at = rows.join(stay, keys).withColumn("place", F.row_number().over(Window.partitionBy("w_id", "w_h1", "w_h2").orderBy("w_n")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), *own, F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    at = rows.join(stay, keys).withColumn("place", F.row_number().over(Window.partitionBy(keys).orderBy("w_n")))
     return at.where((F.col("w_n") == 0) | (F.col("place") == 1)).select("document.*")

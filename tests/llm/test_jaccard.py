@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyweave.llm import jaccard_join
-from skyweave.llm.jaccard_join import BITS, Sets, _boundary_pairs, _describe, components, extra, jaccard_components, needed, prefix
+from skyweave.llm.jaccard_join import BITS, Sets, _boundary_pairs, _describe, components, drop_near_duplicates, extra, jaccard_components, needed, prefix
 from skyweave.llm.queries import ORACLE_SQL, QUERIES
 from skyweave.llm.words import text_slices
 from tests.oracle_check import compare, connect
@@ -187,3 +187,12 @@ def test_shuffle_files_go_with_each_stored_table(spark):
     jaccard_components(docs)
     assert not files() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_whole_rows_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} " * 9) for i in range(40)] + [(None, "none")] * 2, "doc_id int, text string")
+    out = drop_near_duplicates(docs)
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)", plan)
+    assert sum("document#" in x for x in inputs) <= 1 < len(inputs)
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["0", "1", "2", "None"]
