@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .words import text_slices, word_ids
 
-MAGIC, VERSION = b"IDCM", 1
-BLOCK, LANES = 2048, 2048
+MAGIC, VERSION = b"IDCM", 2
+# A step costs much the same for few lanes as for many: a segment holds as many as memory allows.
+BLOCK, LANES = 2048, 4096
+CHUNK = 1 << 20
 SYMBOLS, TOTAL, FLOOR = 8, 1 << 14, 24
 # Symbols 0 and 1: order 2, order 1. Symbols 2 to 7: classes of ranks, by first rank and bits.
 WIDTH = np.array([3, 5, 7, 9, 11, 16], dtype=np.uint64)
@@ -32,131 +34,146 @@ FIRST = np.concatenate(([0], np.cumsum(2 ** WIDTH[:-1].astype(np.int64))))
 _PLAIN = np.concatenate((np.zeros(2, np.uint64), WIDTH))
 _BASE = np.concatenate((np.zeros(2, np.uint32), FIRST.astype(np.uint32)))
 _CLASS = (np.searchsorted(FIRST, np.arange(1 << 16), "right") + 1).astype(np.uint8)
-# Upper ends of the symbols' shares, the last one implied. An update moves them towards those that give all but a floor to the symbol seen.
+# Upper ends of the symbols' shares, the last one always the total. An update moves them towards those that give all but a floor to the symbol seen.
 _K = np.arange(1, SYMBOLS + 1)
-_TARGET = np.where(_K[None, :] <= np.arange(SYMBOLS)[:, None], _K[None, :] * FLOOR, TOTAL - (SYMBOLS - _K[None, :]) * FLOOR).astype(np.int16)
+_TARGET = np.where(_K[None, :] <= np.arange(SYMBOLS)[:, None], _K[None, :] * FLOOR, TOTAL - (SYMBOLS - _K[None, :]) * FLOOR).astype(np.int16).view(np.complex128).ravel()
 _START = (_K * (TOTAL // SYMBOLS)).astype(np.int16)
-_LOG = np.array([0, *[v.bit_length() * 16 + ((v << 4 >> v.bit_length() - 1) & 15) for v in range(1, TOTAL + 1)]], dtype=np.int32) * 16
+_LOG = np.array([0, *[v.bit_length() * 16 + ((v << 4 >> v.bit_length() - 1) & 15) for v in range(1, TOTAL + 1)]], dtype=np.int16) * np.int16(16)
 _BITS = 16
 _MASK = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
-_SLOTS2, _SLOTS1 = 11, 10
+_SLOTS = np.array([[11], [10]])
+_CONTEXT = np.array([[1], [3]], dtype=np.uint32)
 _ONES = np.uint64(0x0101010101010101)
+# Of a slot by how sure it is, and 8 more where it was right: whether it stays, and what is added then.
+_STAYS = np.arange(16) >= 2
+_SURER = np.array([0, 0, *[-((s + 1) >> 1) for s in range(2, 8)], *[1] * 7, 0]).astype(np.uint32)
 
 
 class Model:
-    """State of the model of ``lanes`` blocks. A predictor's slot holds a rank and, in its last three bits, how sure it is."""
+    """State of the model of ``lanes`` blocks. A predictor's slot holds a rank and, in its last three bits, how sure it is.
+
+    Order 2 and order 1 are the two rows of one array wherever both take the same step. An empty slot holds a rank that no id has.
+    """
 
     def __init__(self, lanes: int):
-        self.slots2, self.slots1 = np.zeros(lanes << _SLOTS2, np.uint32), np.zeros(lanes << _SLOTS1, np.uint32)
-        self.last, self.before, self.symbol = (np.zeros(lanes, np.uint32) for _ in range(3))
+        place = np.arange(lanes)
+        self.slots = np.full(lanes * int((1 << _SLOTS).sum()), 0xFFFFFFF8, np.uint32)
+        self.first_slot = (place << _SLOTS) + np.array([[0], [lanes << int(_SLOTS[0, 0])]])
+        self.last, self.before, self.symbol = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), np.zeros(lanes, np.intp)
         # a context's distribution is eight 16-bit numbers; as one record it is read and written at once
-        self.cdf2, self.cdf1, self.cdf0 = (np.tile(_START, n).view(np.complex128) for n in (lanes * 16, lanes * 64, lanes))
+        self.cdf, self.cdf0 = (np.tile(_START, n).view(np.complex128) for n in (lanes * 80, lanes))
+        self.first_row = np.stack((place * 16, lanes * 16 + place * 64))
         self.held = np.empty(3 * lanes, np.complex128)
-        self.score = np.zeros((3, lanes), np.int32)
-        self.lane = np.arange(lanes, dtype=np.uint32)
-        self.place = np.arange(lanes)
-        self.flat = self.place * SYMBOLS
+        # a zero in front, so that the share of a row's first symbol begins at the end before it: a row ends at 65,536, which is 0 in 16 bits
+        self.ends = np.zeros(lanes * SYMBOLS + 1, np.uint16)
+        self.score = np.zeros(3 * lanes, np.int16)
+        self.flat = place * SYMBOLS
+        self.place = place
 
     def predict(self, n: int) -> np.ndarray:
-        """The mixed distribution of the symbol of the first n lanes (upper ends in 65,536ths, the last one implied)."""
-        last, lane = self.last[:n], self.lane[:n]
+        """The mixed distribution of the symbol of the first n lanes (upper ends in 65,536ths, the last one 0 for all of them)."""
+        last = self.last[:n]
         key = last * np.uint32(2654435761)
-        self.at2 = (lane << np.uint32(_SLOTS2)) + ((key ^ self.before[:n] * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS2))
-        self.at1 = (lane << np.uint32(_SLOTS1)) + (key >> np.uint32(32 - _SLOTS1))
-        self.v2, self.v1 = two, one = self.slots2.take(self.at2), self.slots1.take(self.at1)
-        self.s2, self.s1 = two & np.uint32(7), one & np.uint32(7)
-        self.p2, self.p1 = two >> np.uint32(3), one >> np.uint32(3)
-        self.row2 = (lane << np.uint32(4)) + (self.s2 << np.uint32(1)) + (self.p1 == self.p2)
-        self.row1 = (lane << np.uint32(6)) + (self.s1 << np.uint32(3)) + self.symbol[:n]
-        held = self.held[: 3 * n].reshape(3, n)
-        held[0], held[1], held[2] = self.cdf2.take(self.row2), self.cdf1.take(self.row1), self.cdf0[:n]
-        self.c = held.view(np.int16).reshape(3, n, SYMBOLS)
-        two, one, none = self.score[:, :n]
-        best = np.where(two >= np.maximum(one, none), 0, 2 * n - n * (one >= none)) + self.place[:n]
-        c = self.c.view(np.uint16)
-        mixed = self.held.take(best).view(np.uint16).reshape(n, SYMBOLS)
-        mixed += c[0]
+        self.at = at = np.empty((2, n), np.intp)
+        at[0] = (key ^ self.before[:n] * np.uint32(2246822519)) >> np.uint32(32 - _SLOTS[0, 0])
+        at[1] = key >> np.uint32(32 - _SLOTS[1, 0])
+        at += self.first_slot[:, :n]
+        self.v = v = self.slots.take(at)
+        self.s, self.p = v & np.uint32(7), v >> np.uint32(3)
+        self.row = row = self.first_row[:, :n] + (self.s << _CONTEXT)
+        row[0] += self.p[0] == self.p[1]
+        row[1] += self.symbol[:n]
+        held = self.held[: 3 * n]
+        self.cdf.take(row, out=held[: 2 * n].reshape(2, n), mode="clip")
+        held[2 * n :] = self.cdf0[:n]
+        self.c = held.view(np.int16)
+        two, one, none = self.score.reshape(3, -1)[:, :n]
+        best = (two < np.maximum(one, none)) * (2 * n - n * (one >= none)) + self.place[:n]
+        c = held.view(np.uint16).reshape(3, n * SYMBOLS)
+        mixed = self.ends[1 : n * SYMBOLS + 1]
+        np.add(held.take(best).view(np.uint16), c[0], out=mixed)
         mixed += c[1]
         mixed += c[2]
-        return mixed
+        return mixed.reshape(n, SYMBOLS)
 
-    def find(self, ranks: np.ndarray) -> np.ndarray:
-        """Symbol of each rank."""
-        symbol = _CLASS.take(ranks)
-        symbol[(ranks == self.p1) & (self.s1 > 0)] = 1
-        symbol[(ranks == self.p2) & (self.s2 > 0)] = 0
-        return symbol.astype(np.int64)
-
-    def interval(self, mixed: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each symbol's share."""
-        at = self.flat[: len(symbol)] + symbol
-        top = np.where(symbol < SYMBOLS - 1, mixed.ravel().take(at), np.uint64(1 << _BITS)).astype(np.uint64)
-        low = np.where(symbol > 0, mixed.ravel().take(at - (symbol > 0)), np.uint64(0)).astype(np.uint64)
-        return low, top - low
-
-    def learn(self, ranks: np.ndarray, symbol: np.ndarray) -> None:
-        n, later = len(ranks), symbol > 0
-        at = self.flat[:n] + symbol
-        ends = self.c.reshape(3, -1)
-        width = ends.take(at, axis=1) - ends.take(at - later, axis=1) * later
-        self.score[:, :n] += (_LOG.take(width) - self.score[:, :n]) >> 4
-        self.c += (_TARGET.take(symbol, axis=0) - self.c) >> 4
-        two, one, none = self.c.reshape(3, -1).view(np.complex128)
-        self.cdf2[self.row2], self.cdf1[self.row1], self.cdf0[:n] = two, one, none
+        self.seen = at = self.flat[: len(symbol)] + symbol
+        low = self.ends.take(at)
+        return low, self.ends.take(at + 1) - low
+
+    def learn(self, ranks: np.ndarray, right: np.ndarray, symbol: np.ndarray) -> None:
+        """``right``: which of the two predictors named the rank."""
+        n, c = len(ranks), self.c
+        at = (self.seen + np.arange(0, 3 * n * SYMBOLS, n * SYMBOLS)[:, None]).ravel()
+        # the total is 0 in these bits, so that the first symbol's share begins at the end before it
+        width = (c.take(at) - c.take(at - 1)) & np.int16(TOTAL - 1)
+        score = self.score.reshape(3, -1)[:, :n]
+        score += (_LOG.take(width).reshape(3, n) - score) >> 4
+        c = c.reshape(3, n * SYMBOLS)
+        c += (_TARGET.take(symbol).view(np.int16) - c) >> 4
+        held = self.held[: 3 * n]
+        self.cdf[self.row.ravel()] = held[: 2 * n]
+        self.cdf0[:n] = held[2 * n :]
         # right: surer; wrong: half as sure, and replaced once that is not enough
-        fresh = (ranks << np.uint32(3)) + np.uint32(1)
-        for slots, at, v, p, s in ((self.slots2, self.at2, self.v2, self.p2, self.s2), (self.slots1, self.at1, self.v1, self.p1, self.s1)):
-            right = (p == ranks) & (s > 0)
-            slots[at] = np.where(right, v + (s < 7), np.where(s < 2, fresh, v - ((s + np.uint32(1)) >> np.uint32(1))))
+        how = (right << np.uint32(3)) + self.s
+        self.slots[self.at] = np.where(_STAYS.take(how), self.v + _SURER.take(how), (ranks << np.uint32(3)) + np.uint32(1))
         self.before[:n] = self.last[:n]
         self.last[:n] = ranks
         self.symbol[:n] = symbol
 
 
-def _shift(low: np.ndarray, range_: np.ndarray) -> np.ndarray:
-    """Lanes of which the upper half of ``low`` is settled, or has to be: their range is cut at its border."""
-    settled = (low ^ (low + range_ - np.uint64(1))) >> _32 == 0
-    short = ~settled & (range_ >> _32 == 0)
-    if short.any():
-        range_[short] = (np.uint64(0) - low[short]) & _MASK
-    return np.flatnonzero(settled | short)
+def _shift(low: np.ndarray, range_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose range has shrunk to 32 bits, and their ``low``: a range over a border of its upper half is cut there."""
+    go = np.flatnonzero(range_ <= _MASK)
+    lo, rg = low.take(go), range_.take(go)
+    over = (lo ^ (lo + rg - np.uint64(1))) > _MASK
+    range_[go] = np.where(over, (np.uint64(0) - lo) & _MASK, rg) << _32
+    low[go] = lo << _32
+    return go, lo >> _32
 
 
 def encode_blocks(ranks: np.ndarray) -> list[bytes]:
     """Blocks of ``BLOCK`` ranks (below 65,536), each coded alone; the last one may be shorter."""
     lanes = -(-len(ranks) // BLOCK)
-    table = np.zeros(lanes * BLOCK, np.uint32)
-    table[: len(ranks)] = ranks
-    table = np.ascontiguousarray(table.reshape(lanes, BLOCK).T)
+    table = np.zeros((BLOCK, lanes), np.uint16)
+    full = len(ranks) // BLOCK
+    table[:, :full] = ranks[: full * BLOCK].reshape(full, BLOCK).T
+    table[: len(ranks) - full * BLOCK, full:] = ranks[full * BLOCK :, None]
     tail = len(ranks) - (lanes - 1) * BLOCK
     model = Model(lanes)
     low, range_ = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
     # a step adds 32 bits at most, the end 64
-    out, used = np.zeros((lanes, BLOCK + 4), np.uint32), np.zeros(lanes, np.int64)
+    size = BLOCK + 4
+    out, begin = np.zeros(lanes * size, np.uint32), np.arange(lanes) * size
+    used = begin.copy()
     for t in range(BLOCK if lanes > 1 else tail * lanes):
         n = lanes if t < tail else lanes - 1
-        now = table[t, :n]
-        mixed = model.predict(n)
-        symbol = model.find(now)
-        start, width = model.interval(mixed, symbol)
+        now = table[t, :n].astype(np.uint32)
+        model.predict(n)
+        right = model.p == now
+        symbol = _CLASS.take(now)
+        np.copyto(symbol, 1, where=right[1])
+        np.copyto(symbol, 0, where=right[0])
+        symbol = symbol.astype(np.intp)
+        start, width = model.interval(symbol)
         lo, rg = low[:n], range_[:n]
         unit = rg >> np.uint64(_BITS)
         lo += unit * start
-        rg[:] = unit * width
+        np.multiply(unit, width, out=rg)
         rg >>= _PLAIN.take(symbol)
-        lo += rg * ((now - _BASE.take(symbol)) * (symbol > 1)).astype(np.uint64)
-        go = _shift(lo, rg)
-        out[go, used[go]] = lo[go] >> _32
-        used[go] += 1
-        lo[go] <<= _32
-        rg[go] <<= _32
-        model.learn(now, symbol)
+        lo += rg * ((now - _BASE.take(symbol)) * (symbol > 1)).astype(np.uint32)
+        go, word = _shift(lo, rg)
+        to = used.take(go)
+        out[to] = word
+        used[go] = to + 1
+        model.learn(now, right, symbol)
     for _ in range(2):
-        out[np.arange(lanes), used] = low >> _32
+        out[used] = low >> _32
         used += 1
         low <<= _32
-    return [out[i, : used[i]].astype("<u4").tobytes() for i in range(lanes)]
+    return [out[a:b].astype("<u4").tobytes() for a, b in zip(begin.tolist(), used.tolist())]
 
 
 def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
@@ -165,52 +182,70 @@ def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
     if lanes != -(-total // BLOCK):
         raise ValueError("blocks are missing")
     tail = total - (lanes - 1) * BLOCK
-    most = max((len(b) // 4 for b in blocks), default=0) + 2
-    words = np.zeros((lanes, most), np.uint64)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-    table = np.zeros((BLOCK, lanes), np.uint32)
+    # all blocks' words end to end, two zeros behind for what a block reads beyond its end
+    words = np.frombuffer(b"".join([*blocks, bytes(8)]), "<u4")
+    used = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blocks])))[:-1].astype(np.intp)
+    table = np.zeros((BLOCK, lanes), np.uint16)
     model = Model(lanes)
     low, range_ = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    code, used = (words[:, 0] << _32) | words[:, 1] if lanes else low, np.full(lanes, 2)
+    code = (words[used].astype(np.uint64) << _32) | words[used + 1]
+    used += 2
     for t in range(BLOCK if lanes > 1 else tail * lanes):
         n = lanes if t < tail else lanes - 1
         mixed = model.predict(n)
         lo, rg, cd = low[:n], range_[:n], code[:n]
         unit = rg >> np.uint64(_BITS)
-        place = np.minimum((cd - lo) // unit, np.uint64((1 << _BITS) - 1)).astype(np.uint16)
-        # ends at or below the place, the implied one aside, counted by bytes
-        passed = mixed <= place[:, None]
-        passed[:, -1] = False
-        symbol = ((passed.view(np.uint64).ravel() * _ONES) >> np.uint64(56)).astype(np.int64)
-        start, width = model.interval(mixed, symbol)
-        lo += unit * start
-        rg[:] = unit * width
-        now = np.where(symbol == 0, model.p2, model.p1)
+        left = cd - lo
+        place = np.minimum(left // unit, np.uint64((1 << _BITS) - 1)).astype(np.uint16)
+        # ends at or below the place, the last one (0) aside, counted by bytes
+        passed = (mixed <= place[:, None]).view(np.uint64).ravel()
+        symbol = ((passed * _ONES) >> np.uint64(56)).astype(np.intp)
+        symbol -= 1
+        start, width = model.interval(symbol)
+        start = unit * start
+        lo += start
+        left -= start
+        np.multiply(unit, width, out=rg)
         bits = _PLAIN.take(symbol)
         rg >>= bits
-        place = np.minimum((cd - lo) // rg, (np.uint64(1) << bits) - np.uint64(1))
+        place = np.minimum(left // rg, (np.uint64(1) << bits) - np.uint64(1))
         lo += rg * place
-        now = np.where(symbol > 1, _BASE.take(symbol) + place.astype(np.uint32), now)
+        now = _BASE.take(symbol) + place.astype(np.uint32)
+        np.copyto(now, model.p[1], where=symbol == 1)
+        np.copyto(now, model.p[0], where=symbol == 0)
         table[t, :n] = now
-        go = _shift(lo, rg)
-        lo[go] <<= _32
-        rg[go] <<= _32
-        cd[go] = (cd[go] << _32) | words[go, np.minimum(used[go], most - 1)]
-        used[go] += 1
-        model.learn(now, symbol)
+        go, _ = _shift(lo, rg)
+        at = used.take(go)
+        code[go] = (cd.take(go) << _32) | words.take(at, mode="clip")
+        used[go] = at + 1
+        model.learn(now, model.p == now, symbol)
     return table.T.ravel()[:total]
 
 
+def _each(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``table.take(at)``, by chunks: an index takes 64 bits while it is used."""
+    out = np.empty(len(at), table.dtype)
+    for i in range(0, len(at), CHUNK):
+        out[i : i + CHUNK] = table.take(at[i : i + CHUNK])
+    return out
+
+
 def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids, the most frequent first (ties: the smaller), and each id's place among them."""
-    distinct, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and (top := int(ids.max())) < CHUNK:
+        # ids of a vocabulary are counted in place, wider ones are sorted
+        at, count = ids, sum(np.bincount(ids[i : i + CHUNK], minlength=top + 1) for i in range(0, len(ids), CHUNK))
+        distinct = values = np.flatnonzero(count)
+        count = count[distinct]
+    else:
+        distinct, at, count = np.unique(ids, return_inverse=True, return_counts=True)
+        values = np.arange(len(distinct))
     if len(distinct) > 1 << 16:
         raise ValueError("more than 65,536 distinct ids in a segment")
     order = np.lexsort((distinct, -count))
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    return distinct[order].astype(np.uint32), place[inverse]
+    place = np.zeros(int(values[-1]) + 1 if len(values) else 0, np.uint16)
+    place[values[order]] = np.arange(len(order))
+    return distinct[order].astype(np.uint32), _each(place, at)
 
 
 _HEAD = "<4sHIQQII"
@@ -223,9 +258,11 @@ def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarra
     is 0 for a null doc_id, the doc_ids (64 bit), the numbers of ids (64 bit), the distinct ids by rank (32 bit), then per block its bytes
     and crc32 (32 bit each). crc32 of all that. Blocks.
     """
+    total = len(ids)
     by_rank, ranks = rank_ids(ids)
+    del ids
     blocks = encode_blocks(ranks)
-    head = struct.pack(_HEAD, MAGIC, VERSION, BLOCK, len(doc_ids), len(ids), len(blocks), len(by_rank))
+    head = struct.pack(_HEAD, MAGIC, VERSION, BLOCK, len(doc_ids), total, len(blocks), len(by_rank))
     head += bytes(d is not None for d in doc_ids)
     head += np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(lengths, "<i8").tobytes() + by_rank.astype("<u4").tobytes()
     head += np.array([[len(b), zlib.crc32(b)] for b in blocks], "<u4").tobytes()
@@ -251,7 +288,7 @@ def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         at += size
         if zlib.crc32(blocks[-1]) != crc:
             raise ValueError(f"block {i} is damaged")
-    return [d if k else None for d, k in zip(doc_ids, known)], lengths, by_rank.take(decode_blocks(blocks, total)) if total else by_rank
+    return [d if k else None for d, k in zip(doc_ids, known)], lengths, _each(by_rank, decode_blocks(blocks, total))
 
 
 _FILE = "part bigint, first bigint, n_docs bigint, n_ids bigint, segment binary"
@@ -268,13 +305,18 @@ def _encode(tokenizer: str, end_id: int) -> Callable:
         held: list[np.ndarray] = []
         size = first = 0
 
+        def joined() -> np.ndarray:
+            ids = np.concatenate(held) if held else np.zeros(0, np.uint32)
+            held.clear()
+            return ids
+
         def flush() -> pa.RecordBatch:
             nonlocal size, first
-            raw = write_segment(doc_ids, np.array(lengths, np.int64), np.concatenate(held) if held else np.zeros(0, np.uint32))
+            raw = write_segment(doc_ids, np.array(lengths, np.int64), joined())
             batch = pa.RecordBatch.from_pydict({"part": [part], "first": [first], "n_docs": [len(doc_ids)], "n_ids": [size], "segment": pa.array([raw], pa.binary())})
             first += size
             size = 0
-            for x in (doc_ids, lengths, held):
+            for x in (doc_ids, lengths):
                 x.clear()
             return batch
 
@@ -301,10 +343,11 @@ def _encode(tokenizer: str, end_id: int) -> Callable:
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            (row,) = batch.slice(i, 1).to_pylist()
             doc_ids, lengths, ids = read_segment(row["segment"])
             ends = np.cumsum(lengths)
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             for s in range(0, len(doc_ids), 2000):
                 some = slice(s, s + 2000)
                 own = [bytes(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends[some].tolist(), lengths[some].tolist())]
@@ -317,7 +360,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     """Encode all documents, each with the end id, in ascending ``doc_id`` order into id files at ``path``.
 
     Documents are dealt to range partitions by id (and text, for repeated ids), sorted, tokenised and coded in segments of about
-    four million ids; a file is a Parquet table of segments, so that any store Spark writes to will do. Null text: the end id alone. Null
+    eight million ids; a file is a Parquet table of segments, so that any store Spark writes to will do. Null text: the end id alone. Null
     ``doc_id``: first. Repeated rows: written each. Other columns are not read.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

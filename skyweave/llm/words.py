@@ -8,9 +8,11 @@ by that figure, or by a single text beyond it.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -74,19 +76,25 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         at = stop
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, white: bytes = WHITE, at_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the row it is in. at_marks: also cut between an ASCII letter and a mark."""
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 3
+def _begins(data: np.ndarray, offsets: np.ndarray, white: bytes, at_marks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte whether it is in a word and whether it begins one; the bytes after which a mark cuts."""
     inside = ~_table(white)[data]
     first = np.zeros(len(data), dtype=bool)
     first[0] = True
     first[1:] = ~inside[:-1]
-    border = offsets[:-1][offsets[:-1] < len(data)]
-    first[border] = True
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
     cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) if at_marks else np.zeros(0, np.int64)
     first[cut + 1] = True
     first &= inside
+    return inside, first, cut
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, white: bytes = WHITE, at_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the row it is in. at_marks: also cut between an ASCII letter and a mark."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    inside, first, cut = _begins(data, offsets, white, at_marks)
+    border = offsets[:-1][offsets[:-1] < len(data)]
     last = np.zeros(len(data), dtype=bool)
     last[-1] = True
     last[:-1] = ~inside[1:]
@@ -131,8 +139,29 @@ class WordIds:
         if self.separator_id is None:
             raise ValueError(f"{separator} is no token of {path}")
         self.keep = keep
+        self.model = self.tokenizer.model
+        self._learn_letters()
         self._clear()
 
+    def _learn_letters(self) -> None:
+        """What the model sees of a letter, where the file makes any run of letters one pre-token letter by letter, else nothing.
+
+        Asked of the file's own normalizer and pre-tokenizer; precomposed Latin letters only, which nothing composes with.
+        """
+        letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if chr(c).isalpha()]
+        cut, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+
+        def seen(text: str) -> str | None:
+            pieces = cut.pre_tokenize_str(normal.normalize_str(text) if normal is not None else text) if cut is not None else []
+            return pieces[0][0] if len(pieces) == 1 else None
+
+        alone = [seen(c) for c in letters]
+        run = "".join(letters)
+        special = any(t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
+        proven = not special and all(alone) and all(seen(x) == "".join(map(str, (alone if x is run else alone[::-1]))) for x in (run, run[::-1]))
+        self.seen = {ord(c): x for c, x in zip(letters, alone)} if proven else {}
+        self.letters = re.compile(f"[{run}]+" if proven else "(?!)")
+
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
@@ -141,31 +170,23 @@ class WordIds:
 
     def _encode_new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and counts of distinct words."""
-        odd = [i for i, w in enumerate(words) if "<|" in w]
-        plain = words
-        if odd:
-            plain = list(words)
-            for i in odd:
-                plain[i] = ""
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        coded = self.tokenizer.encode_batch_fast([self.separator.join(g) for g in groups], add_special_tokens=False)
-        flat, counts = [], []
+        run, seen, model = self.letters.fullmatch, self.seen, self.model
+        # runs of letters need neither normalizer nor pattern: the file's model merges them at once
+        parts: list[list[int] | None] = [[t.id for t in model.tokenize(w.translate(seen))] if run(w) else None for w in words]
+        rest = [i for i, p in enumerate(parts) if p is None]
+        for i in [i for i in rest if "<|" in words[i]]:
+            parts[i] = self.tokenizer.encode(words[i], add_special_tokens=False).ids
+        rest = [i for i in rest if parts[i] is None]
+        groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
+        coded = self.tokenizer.encode_batch_fast([self.separator.join([words[i] for i in g]) for g in groups], add_special_tokens=False)
         for group, c in zip(groups, coded):
-            ids = np.array(c.ids, dtype=np.uint32)
-            at = np.flatnonzero(ids == self.separator_id)
+            ids = c.ids
+            at = np.flatnonzero(np.array(ids, dtype=np.uint32) == self.separator_id).tolist()
             if len(at) != len(group) - 1:
                 raise RuntimeError("the tokenizer did not keep its separator")
-            edges = np.concatenate(([-1], at, [len(ids)]))
-            counts.append(np.diff(edges) - 1)
-            flat.append(np.delete(ids, at))
-        ids, n = np.concatenate(flat), np.concatenate(counts)
-        if odd:
-            parts = np.split(ids, np.cumsum(n)[:-1])
-            for i in odd:
-                parts[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32)
-                n[i] = len(parts[i])
-            ids = np.concatenate(parts)
-        return ids, n
+            for i, a, b in zip(group, [-1, *at], [*at, len(ids)]):
+                parts[i] = ids[a + 1 : b]
+        return np.fromiter(chain.from_iterable(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def _rows_of(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Row in the table of each of the sorted distinct ``keys``; starts and ends: one occurrence of each."""
@@ -193,22 +214,24 @@ class WordIds:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and the border of each row in them."""
         n_rows = len(offsets) - 1
-        starts, ends, row = find_words(data, offsets, b" \n", at_marks=True)
         tail = 0 if end_id is None else 1
+        starts = np.flatnonzero(_begins(data, offsets, b" \n", True)[1]) if len(data) else np.zeros(0, np.int64)
         if not len(starts):
             return np.full(n_rows * tail, end_id or 0, np.uint32), np.arange(n_rows + 1, dtype=np.int64) * tail
+        # words with the white space behind them lie end to end, so that Arrow finds the equal ones; the rest is done once for each
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        _, edges, raw = words.dictionary.buffers()
+        distinct = np.frombuffer(raw, np.uint8)[: np.frombuffer(edges, np.int64)[len(words.dictionary)]]
+        first, last, _ = find_words(distinct, np.frombuffer(edges, np.int64)[: len(words.dictionary) + 1], b" \n")
         # "<" may begin a special token, which counts in its own case; beyond ASCII lower-casing belongs after composing
-        odd = np.logical_or.reduceat((data >= 128) | (data == ord("<")), starts)
-        data = np.where(np.repeat(odd, np.diff(np.append(starts, len(data)))), data[starts[0] :], _LOWER[data[starts[0] :]])
-        starts, ends = starts - starts[0], ends - starts[0]
-        keys, first, inverse = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
-        rows = self._rows_of(keys, data, starts[first], ends[first])[inverse]
+        odd = np.logical_or.reduceat((distinct >= 128) | (distinct == ord("<")), first)
+        distinct = np.where(np.repeat(odd, np.diff(np.append(first, len(distinct)))), distinct, _LOWER[distinct])
+        keys, one, inverse = np.unique(hash_words(distinct, first, last), return_index=True, return_inverse=True)
+        rows = self._rows_of(keys, distinct, first[one], last[one])[inverse][words.indices.to_numpy()]
         counts = self.pointer[rows + 1] - self.pointer[rows]
-        per_row = np.bincount(row, weights=counts, minlength=n_rows).astype(np.int64) + tail
-        borders = np.concatenate(([0], np.cumsum(per_row)))
-        total = int(counts.sum())
-        before = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        ids = self.flat[np.repeat(self.pointer[rows] - before, counts) + np.arange(total)]
+        before = np.concatenate(([0], np.cumsum(counts)))
+        borders = before[np.searchsorted(starts, offsets)] + np.arange(n_rows + 1) * tail
+        ids = self.flat[np.repeat(self.pointer[rows] - before[:-1], counts) + np.arange(before[-1])]
         if not tail:
             return ids, borders
         out = np.full(int(borders[-1]), end_id, np.uint32)

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -10,6 +12,7 @@ from tokenizers import Tokenizer
 
 from skyweave.llm.id_coder import BLOCK, decode_blocks, encode_blocks, id_files, rank_ids, read_ids, read_segment, write_ids, write_segment
 from skyweave.llm.queries import QUERIES
+from skyweave.llm.words import WordIds, text_slices
 from skyweave.session import shared_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +61,43 @@ def expected(rows):
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in rows], add_special_tokens=False)]
 
 
+def encoded(table, texts):
+    (_, _, data, offsets), = text_slices(pa.array(texts))
+    ids, borders = table.encode(data, offsets, 1)
+    return [ids[a:b].tolist() for a, b in zip(borders, borders[1:])]
+
+
+def test_runs_of_letters_go_to_the_model_alone():
+    table, sent = WordIds(PATH), []
+
+    class Recorded:
+        def __getattr__(self, name):
+            return getattr(WordIds(PATH).tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return Tokenizer.from_file(PATH).encode_batch_fast(texts, **options)
+
+    table.tokenizer = Recorded()
+    texts = ["Plain words, Éclairs ÜBER straße ÿ", "naïve x 12"]
+    assert encoded(table, texts) == expected(texts)
+    assert sorted(table.separator.join(sent).split(table.separator)) == [",", "12"]
+
+
+def test_words_as_the_library_splits_them():
+    r = random.Random(7)
+    letters = "aB'sS tT9.,!<|>éÉßẞñÿŸ×÷ªº中\u0301\u0308Σς İ\n\t\r\x0b%#&*()x0  'llre"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(3000)] + ["", " ", " \n lead", "trail \n", "E\u0301x", "<|startoftext|>A<|ENDOFTEXT|>"]
+    assert encoded(WordIds(PATH), texts) == expected(texts)
+
+
+def test_wide_and_narrow_ids_are_ranked_alike():
+    x = np.random.default_rng(2).zipf(1.5, 3_000_000) % 50_000
+    by_rank, ranks = rank_ids(x.astype(np.uint32))
+    wide, same = rank_ids((x + (1 << 31)).astype(np.uint32))
+    assert ranks.dtype == np.uint16 and (ranks == same).all() and (by_rank == wide - (1 << 31)).all() and (by_rank[ranks] == x).all()
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r for r in QUERIES["op6_id_files"](spark, sf_dir).collect()}
