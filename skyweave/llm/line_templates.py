@@ -23,13 +23,13 @@ TURN = 0x2AAAAAAAAAAAAAAA
 MINIMA = ["m1", "m2", "m3", "m4"]
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit as a field."""
+def _tokens(line: Column, words: Column) -> Column:
+    """Tokens of a line, those with a digit as a field; ``words``: the line cut at blanks."""
     masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", FIELD)
     masked = F.when(line.rlike("[0-9]"), masked).otherwise(line)
     # most lines hold single blanks and no digit: they are cut without a pattern
     odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | line.rlike(r"[0-9\x09-\x0D]")
-    return F.when(odd, F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)).otherwise(F.split(line, " "))
+    return F.when(odd, F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), SPACE)).otherwise(words)
 
 
 def _fixed() -> Column:
@@ -37,10 +37,9 @@ def _fixed() -> Column:
     return F.when(F.array_contains("tokens", FIELD), F.size(F.filter("tokens", lambda w: w != FIELD))).otherwise(F.size("tokens"))
 
 
-def _minima(lines: Column) -> Column:
-    """Per line four minima of the hashes of its runs of four words (cut at blanks; a shorter line is one run)."""
+def _minima(words: Column) -> Column:
+    """Per line (its words, cut at blanks) four minima of the hashes of its runs of four words; a shorter line is one run."""
     # a transform each, so that what is used several times is computed once
-    words = F.transform(lines, lambda x: F.split(x, " "))
     pairs = F.transform(words, lambda w: F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.xxhash64(a, b)))
     runs = F.transform(pairs, lambda p: F.slice(F.zip_with(p, F.slice(p, 3, 1 << 30), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(p) - 3, F.lit(1))))
     # least and greatest, and the least and greatest by another order
@@ -56,10 +55,14 @@ def _split(docs: DataFrame, columns: list, minima: bool = False) -> DataFrame:
     """A row per line with a token."""
     # what is computed once per text or line has to stand below the generator: above it, every use computes it again
     cut = F.split("text", "\n")
-    lines = F.transform(cut, _tokens)
+    texts = docs.where("text is not null")
     if minima:
-        lines = F.zip_with(lines, _minima(cut), lambda a, m: F.struct(a.alias("tokens"), *[m[k].alias(k) for k in MINIMA]))
-    texts = docs.where("text is not null").select(*columns, lines.alias("lines"))
+        # columns of their own: the optimizer leaves apart what is expensive and used twice, so that a line is cut at blanks once
+        texts = texts.select(*columns, cut.alias("cut")).select("*", F.transform("cut", lambda x: F.split(x, " ")).alias("words"))
+        lines = F.zip_with(F.zip_with("cut", "words", _tokens), _minima(F.col("words")), lambda a, m: F.struct(a.alias("tokens"), *[m[k].alias(k) for k in MINIMA]))
+        texts = texts.select("*", lines.alias("lines")).drop("cut", "words")
+    else:
+        texts = texts.select(*columns, F.transform(cut, lambda x: _tokens(x, F.split(x, " "))).alias("lines"))
     # outer: a plain explode infers a filter on the array, which cuts every text again; there are no null arrays here
     lines = texts.select("*", F.posexplode_outer("lines").alias("line_no", "line" if minima else "tokens")).drop("lines")
     if minima:
@@ -91,11 +94,18 @@ def _held(bitmap: Column, column: str) -> Column:
     return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
 
 
+def _one_text_each(forms: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+    """h1 of the text that stands for each form longer than ``depth`` in the leaves."""
+    return forms.where(F.col("n") > depth).join(leaves, "leaf", "left_semi").select(F.col("held_by").alias("h1"))
+
+
 def _generalised(docs: DataFrame, forms: DataFrame, depth: int, least: int, share: float) -> DataFrame:
     """Template of every form in a leaf that holds several: t1, t2, and its constants."""
     leaves = forms.where(F.col("n") > depth).groupBy("leaf").agg(F.count("*").alias("forms"), F.sum("texts").alias("texts")).where((F.col("forms") > 1) & (F.col("texts") >= least))
     leaves = stage_table(leaves.select("leaf"), "template-leaves")
-    lines = _with_leaf(_split(docs, []), depth).where(_held(_bitmap(leaves, "leaf"), "leaf"))
+    # one text of each form gives its tokens: only these are cut again; a clash of bits cuts a text more
+    texts = docs.select("text", _text_keys()[0]).where(_held(_bitmap(_one_text_each(forms, leaves, depth), "h1"), "h1"))
+    lines = _with_leaf(_split(texts, []), depth).where(_held(_bitmap(leaves, "leaf"), "leaf"))
     known = forms.select("f1", "f2", "texts")
     lines = lines.select("leaf", "f1", "f2", "n", "tokens").dropDuplicates(["f1", "f2"]).join(leaves, "leaf", "left_semi").join(known, ["f1", "f2"])
     cells = stage_table(lines.select("leaf", "f1", "f2", "n", "texts", F.posexplode("tokens").alias("at", "token")).select("leaf", "f1", "f2", "n", "texts", "at", F.when(F.col("token") != FIELD, F.xxhash64("token")).alias("token")), "template-cells")
@@ -123,7 +133,7 @@ def recurring_lines(docs: DataFrame, depth: int = 3, least: int = 3, share: floa
     lines = stage_table(lines, "template-lines")
     # equal texts are one: a line counts once for all copies of its document
     held = lines.groupBy("f1", "f2", "h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("fixed").alias("fixed"))
-    forms = stage_table(held.groupBy("f1", "f2").agg(F.count("*").alias("texts"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("fixed").alias("fixed")), "template-forms")
+    forms = stage_table(held.groupBy("f1", "f2").agg(F.count("*").alias("texts"), F.min("h1").alias("held_by"), F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.first("fixed").alias("fixed")), "template-forms")
     wide = stage_table(_generalised(docs, forms, depth, least, share), "templates")
     exact = forms.where((F.col("texts") >= least) & (F.col("fixed") >= share * F.col("n")))
     forms = exact.select("f1", "f2", "fixed").join(wide, ["f1", "f2"], "full")

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from skyweave.llm import line_templates
 from skyweave.llm.line_templates import _bitmap, _held, drop_recurring_lines
 from skyweave.llm.queries import QUERIES
 
@@ -140,6 +141,23 @@ def test_short_documents_around_a_passage(spark, passage, own):
         assert sum(x.n_dropped for x in got) == 29
 
 
+def test_only_texts_that_stand_for_a_form_are_cut_again(spark, monkeypatch):
+    cut, split = [], line_templates._split
+
+    def counted(docs, columns, minima=False):
+        cut.append(docs.where("text is not null").count())
+        return split(docs, columns, minima)
+
+    monkeypatch.setattr(line_templates, "_split", counted)
+    r = random.Random(8)
+    rows = [(d, " ".join(word(r) for _ in range(9)) + "\n" + " ".join(word(r) for _ in range(5))) for d in range(200)]
+    rows += [(500 + d, f"the page was written by {word(r)} for our readers everywhere in town\n" + " ".join(word(r) for _ in range(12))) for d in range(10)]
+    got = drop_recurring_lines(spark.createDataFrame(rows + [(900, None)], "doc_id int, text string")).collect()
+    assert sum(x.n_dropped for x in got) == 9 and all(x.n_dropped == 0 for x in got if x.document.doc_id in (500, 900) or x.document.doc_id < 500)
+    # one text holds each of the ten forms of the template; two bits of 2^23 may clash
+    assert cut[0] == 210 and 10 <= cut[1] <= 11
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op2_line_templates"](spark, sf_dir).collect()
