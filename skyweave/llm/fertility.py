@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from skyweave.session import stage_table
 
-from .words import find_words, hash_words, mix, text_slices, worker_table
+from .words import find_words, hash_words, lean, mix, text_slices, worker_table
 
 SYMBOLS = "#*$%&|<>"
 # The measures hold some 50 bytes for each byte of a slice, besides the vocabularies.
@@ -186,7 +186,7 @@ def measure(docs: DataFrame, pieces: str, ranks: str, pattern: str, carry: list[
         columns.append(F.col("text").alias("t"))
     rows = docs.select(*columns).withColumn("language", F.coalesce("code", "script")).drop("code")
     schema = T.StructType([rows.schema["document"], T.StructField("language", T.StringType()), T.StructField("script", T.StringType()), *[T.StructField(n, T.LongType() if pa.types.is_integer(t) else T.DoubleType()) for n, t in _KINDS]])
-    return rows.mapInArrow(_measure(pieces, ranks, pattern), schema)
+    return rows.mapInArrow(lean(_measure(pieces, ranks, pattern)), schema)
 
 
 def _size() -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skyweave.session import freed_shuffles, stage_table
 
-from .words import find_words, hash_words, mix, text_slices
+from .words import find_words, hash_words, lean, mix, text_slices
 
 BUCKETS = 32
 BITS = 1 << 26
@@ -272,7 +272,7 @@ def _regions(nodes: DataFrame, texts: DataFrame, words: int, percent: int, neare
     pairs = pairs.select("a", "b", "bit_a", "bit_b", agree.alias("agree")).withColumn("place", F.row_number().over(order))
     pairs = _store(pairs.where(F.col("place") <= nearest).drop("place", "agree"), "pivot-pairs")
     wanted = bitmap(pairs.select(F.col("bit_a").alias("bit")).union(pairs.select("bit_b")), "bit")
-    sets = texts.mapInArrow(_emit(words, percent, wanted, None, True), _SETS)
+    sets = texts.mapInArrow(lean(_emit(words, percent, wanted, None, True)), _SETS)
     sets = _store(sets.dropDuplicates(["node"]), "pivot-sets")
     return _store(_distances(pairs, sets, percent), "pivot-distances"), sets, wanted
 
@@ -329,7 +329,7 @@ def _parities() -> Callable:
 
 def _near_by_parity(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` whose parities differ in no more classes than linked sets of their sizes differ in shingles."""
-    parities = _store(sets.select("node", "shingles").mapInArrow(_parities(), "node binary, parity array<bigint>").join(sets.select("node", "n"), "node"), "boundary-parities")
+    parities = _store(sets.select("node", "shingles").mapInArrow(lean(_parities()), "node binary, parity array<bigint>").join(sets.select("node", "n"), "node"), "boundary-parities")
     own, other = (parities.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
     apart = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PARITIES // 64)), F.lit(0))
     total = F.col("na") + F.col("nb")
@@ -387,26 +387,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, neare
     """
     texts = docs.select("text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    rows = _store(rows.mapInArrow(_describe(words), "doc_id bigint, h1 bigint, h2 bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>"), "jaccard-rows")
+    rows = _store(rows.mapInArrow(lean(_describe(words)), "doc_id bigint, h1 bigint, h2 bigint, node binary, bit bigint, n_shingles bigint, bands array<bigint>"), "jaccard-rows")
     nodes = _store(rows.where("node is not null").dropDuplicates(["node"]).drop("doc_id", "h1", "h2"), "jaccard-nodes")
     distances, sets, described = _regions(nodes, texts, words, percent, nearest)
     links = distances.where("linked").select("a", "b")
     comps = components(links)
     # only nodes whose sets are stored can lie in a region with others: the rest are dealt by shingle without looking for theirs
-    alone = texts.mapInArrow(_emit(words, percent, None, None, False, described), _SETS).withColumn("comp", F.col("node"))
+    alone = texts.mapInArrow(lean(_emit(words, percent, None, None, False, described)), _SETS).withColumn("comp", F.col("node"))
     first = alone.unionByName(_in_regions(_first(sets, percent), comps))
     crossing = _store(_crossing(first), "crossing")
     if not crossing.isEmpty():
         # exact counts follow the bitmap, so that a full one costs a shuffle of the first shingles and no more
-        hits = texts.mapInArrow(_emit(words, percent, None, bitmap(crossing, "s"), False), _SETS).dropDuplicates(["node"])
+        hits = texts.mapInArrow(lean(_emit(words, percent, None, bitmap(crossing, "s"), False)), _SETS).dropDuplicates(["node"])
         hits = hits.select("node", "n", F.explode("shingles").alias("s")).join(crossing, "s").groupBy("node", "n").agg(F.count("*").alias("hits"))
         least = F.ceil(F.col("n") * percent / 100)
         wanted = hits.where(F.col("hits") >= F.floor(least / 8) + 1).select("node").join(nodes.select("node", "bit"), "node")
         wanted = _store(wanted, "boundary-nodes")
-        rest = texts.mapInArrow(_emit(words, percent, bitmap(wanted, "bit"), None, True), _SETS)
+        rest = texts.mapInArrow(lean(_emit(words, percent, bitmap(wanted, "bit"), None, True)), _SETS)
         rest = _store(_in_regions(rest.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), comps), "boundary")
         # sets that a full bitmap lets through have too few common shingles to get a cell below
-        last = _store(rest.mapInArrow(_enough(bitmap(_crossing(rest), "s"), percent), rest.schema), "boundary-last")
+        last = _store(rest.mapInArrow(lean(_enough(bitmap(_crossing(rest), "s"), percent)), rest.schema), "boundary-last")
         if not last.isEmpty():
             more = _distances(_boundary_pairs(last, distances, percent), last, percent)
             more = _store(more.where("linked").select("a", "b"), "boundary-links")

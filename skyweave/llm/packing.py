@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import text_slices, word_ids
+from .words import lean, text_slices, word_ids
 
+# Encoding holds some 20 bytes for each byte of a slice.
+SLICE_BYTES = 1 << 20
 SCHEMA = "doc_id bigint, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -104,7 +106,7 @@ def _pack(tokenizer: str, window: int, end_id: int) -> Callable:
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, _, data, offsets in text_slices(batch.column(1)):
+            for first, _, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 flat, borders = table.encode(data, offsets, end_id)
                 for k, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist())):
                     ids, doc = flat[a:b], doc_ids[first + k]
@@ -141,4 +143,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     Null and empty text: the end id alone. Null ``doc_id``: kept. Repeated rows: packed each. Other columns are not
     read. An empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, window, end_id), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(_pack(tokenizer, window, end_id)), SCHEMA)

@@ -7,6 +7,7 @@ by that figure, or by a single text beyond it.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
@@ -206,9 +207,7 @@ class WordIds:
             out[new] = first + np.arange(len(new))
             self.flat = np.concatenate((self.flat, ids))
             self.pointer = np.concatenate((self.pointer, self.pointer[-1] + np.cumsum(n)))
-            merged = np.concatenate((self.keys, keys[new]))
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.rows = merged[order], np.concatenate((self.rows, out[new]))[order]
+            self.keys, self.rows = np.insert(self.keys, at[new], keys[new]), np.insert(self.rows, at[new], out[new])
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -241,6 +240,29 @@ class WordIds:
         return out, borders
 
 
+def give_back() -> None:
+    """What the process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the GNU C library keeps it else
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task; at its end the worker gives back what it has freed.
+
+    Workers outlive their tasks, and an executor holds the memory of all of them beside its own.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def worker_table(key: str, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, kept as long as the Python worker lives or until another key is asked for.
 
