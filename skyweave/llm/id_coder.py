@@ -24,7 +24,9 @@ from .words import text_slices, word_ids
 
 MAGIC, VERSION = b"IDCM", 2
 # A step costs much the same for few lanes as for many: a segment holds as many as memory allows.
-BLOCK, LANES = 2048, 4096
+BLOCK, LANES = 2048, 8192
+# Encoding holds some 20 bytes for each byte of a slice.
+SLICE_BYTES = 1 << 20
 CHUNK = 1 << 20
 SYMBOLS, TOTAL, FLOOR = 8, 1 << 14, 24
 # Symbols 0 and 1: order 2, order 1. Symbols 2 to 7: classes of ranks, by first rank and bits.
@@ -322,7 +324,7 @@ def _encode(tokenizer: str, end_id: int) -> Callable:
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 ids, borders = table.encode(data, offsets, end_id)
                 at = 0
                 while at < b - a:
@@ -359,11 +361,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode all documents, each with the end id, in ascending ``doc_id`` order into id files at ``path``.
 
-    Documents are dealt to range partitions by id (and text, for repeated ids), sorted, tokenised and coded in segments of about
-    eight million ids; a file is a Parquet table of segments, so that any store Spark writes to will do. Null text: the end id alone. Null
+    Documents are dealt to range partitions by id (and text, for repeated ids), sorted, tokenised and coded in segments of at most
+    about sixteen million ids; there are half as many partitions as a shuffle has, because segments of more blocks are coded with less
+    work an id. A file is a Parquet table of segments, so that any store Spark writes to will do. Null text: the end id alone. Null
     ``doc_id``: first. Repeated rows: written each. Other columns are not read.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     rows.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), _FILE).write.parquet(path)

@@ -125,3 +125,13 @@ def test_odd_rows(spark):
     path = shared_path(spark, "none")
     write_ids(df.limit(0), path, PATH)
     assert read_ids(id_files(df, path)).count() == 0
+
+
+def test_few_segments_of_many_blocks(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('a', id % 7, ' '), 50) AS text").repartition(5)
+    path = shared_path(spark, "few")
+    write_ids(df, path, PATH)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+    assert 1 <= id_files(df, path).count() <= max(1, most)
+    got = read_ids(id_files(df, path)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(4000)) and [r.start for r in got[:2]] == [0, got[0].n_tokens]
